@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op2_substring import op2_substring_dedup
+from .op4_jaccard import op4_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_substring_dedup,
+        op4_jaccard_join,
     )
 }
 ORACLE_SQL: dict[str, str] = {}

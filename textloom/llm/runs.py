@@ -20,15 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN_BYTES = 4 << 20
+RUN_BYTES, RUN_TEXTS = 2 << 20, 1 << 16
 KEYS_PER_BUCKET = 2_000_000
+#: In a run, stands for null.
+NO_ID = -(1 << 63)
 
 MEMBER = "doc_id bigint, digest binary, n_words bigint"
 RUN = "run_id bigint, digests binary, n_words binary, ids binary, copies binary, ends binary, texts binary"
-
-
-def _lower(text: bytes) -> bytes:
-    return text.lower()  # of bytes: A-Z alone
+RUN_COLUMNS = [x.split()[0] for x in RUN.split(", ")]
 
 
 def members(docs: DataFrame, lower: bool, texts: bool) -> DataFrame:
@@ -41,7 +40,7 @@ def members(docs: DataFrame, lower: bool, texts: bool) -> DataFrame:
             digest, count, packed = [], [], []
             for x in b.column(1):
                 raw = x.as_buffer().to_pybytes() if x.is_valid else b""
-                found = (raw.lower() if lower else raw).split()
+                found = (raw.lower() if lower else raw).split()  # of bytes: A-Z alone
                 joined = b" ".join(found)
                 digest.append(hashlib.sha256(joined).digest())
                 count.append(len(found))
@@ -54,8 +53,7 @@ def members(docs: DataFrame, lower: bool, texts: bool) -> DataFrame:
 
 
 def runs(docs: DataFrame, lower: bool, least_words: int = 1) -> DataFrame:
-    """Runs of the distinct texts of at least ``least_words`` words. A text keeps the smallest doc_id (null: -1 stands
-    for it, last) and the number of its rows. Write the result before use: run_id holds for one execution."""
+    """Runs of the distinct texts of at least ``least_words`` words. A text keeps the smallest doc_id and the number of its rows. Write the result before use: run_id holds for one execution."""
     each = members(docs, lower, texts=True).where(F.col("n_words") >= least_words)
     distinct = each.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("z").alias("z"))
 
@@ -67,18 +65,18 @@ def runs(docs: DataFrame, lower: bool, least_words: int = 1) -> DataFrame:
             nonlocal made, held, size
             texts = [x[4] for x in held]
             row = [
-                (task << 32) + made, b"".join(x[0] for x in held), np.array([x[3] for x in held], np.int64).tobytes(),
-                np.array([-1 if x[1] is None else x[1] for x in held], np.int64).tobytes(), np.array([x[2] for x in held], np.int64).tobytes(),
+                (task << 24) + made, b"".join(x[0] for x in held), np.array([x[3] for x in held], np.int64).tobytes(),
+                np.array([NO_ID if x[1] is None else x[1] for x in held], np.int64).tobytes(), np.array([x[2] for x in held], np.int64).tobytes(),
                 np.cumsum([len(x) for x in texts]).astype(np.int64).tobytes(), pack(b"".join(texts)),
             ]
             made, held, size = made + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=[x.split()[0] for x in RUN.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=RUN_COLUMNS)
 
         for b in batches:
             for digest, i, copies, n, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.append((digest, i, copies, n, unpack(z)))
                 size += len(held[-1][4])
-                if size >= RUN_BYTES:
+                if size >= RUN_BYTES or len(held) >= RUN_TEXTS:
                     yield flush()
         if held:
             yield flush()
@@ -86,6 +84,17 @@ def runs(docs: DataFrame, lower: bool, least_words: int = 1) -> DataFrame:
     return distinct.select("digest", "id", "copies", "n_words", "z").mapInArrow(packed, RUN)
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """Runs with size, their number of words, to size buckets by."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = [int(np.frombuffer(x.as_buffer(), np.int64).sum()) for x in b.column(RUN_COLUMNS.index("n_words"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size, pa.int64())], names=[*RUN_COLUMNS, "size"])
+
+    return table.mapInArrow(add, RUN + ", size bigint")
+
+
 class Run:
     """One unpacked run."""
 

@@ -25,6 +25,8 @@ LOWER[0x41:0x5B] += 32
 _u = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**63, 256, dtype=np.uint64) * _u(2) + _u(1)
+#: Bytes hashed at a time: small enough for a core's cache.
+CHUNK = 1 << 16
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -32,7 +34,7 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     got = _powers.get(base)
     if got is None or len(got[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 17)
         inverse = pow(base, -1, 1 << 64)
         up, down = np.full(n, _u(base)), np.full(n, _u(inverse))
         up[0] = down[0] = 1
@@ -61,12 +63,16 @@ class Words:
 
     @property
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        out = np.zeros(len(self.start), np.uint64)
+        cuts = np.unique(np.searchsorted(self.start, np.arange(0, len(self.data) + CHUNK, CHUNK)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            low, high = int(self.start[a]), int(self.end[b - 1])
+            up, down = powers(high - low + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTES[self.data[low:high]] * up[:-1], out=sums[1:])
+            start, end = self.start[a:b] - low, self.end[a:b] - low
+            out[a:b] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
@@ -90,7 +96,7 @@ def window_hashes(h: np.ndarray, doc: np.ndarray, size: int, seed: int = 0) -> t
     if size <= 4:
         total = np.zeros(n, np.uint64)
         for i in range(size):
-            total += mix(h[i : n + i] + _u(i + 7 * seed + 1))* _u(pow(base, i, 1 << 64))
+            total += mix(h[i : n + i] + _u(i + 7 * seed + 1)) * _u(pow(base, i, 1 << 64))
     else:
         up, down = powers(len(h) + 1, base)
         sums = np.zeros(len(h) + 1, np.uint64)

@@ -34,9 +34,8 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     got = _powers.get(base)
     if got is None or len(got[0]) < n:
-        n = max(n, 1 << 17)
-        inverse = pow(base, -1, 1 << 64)
-        up, down = np.full(n, _u(base)), np.full(n, _u(inverse))
+        size, inverse = max(n, 1 << 17), pow(base, -1, 1 << 64)
+        up, down = np.full(size, _u(base)), np.full(size, _u(inverse))
         up[0] = down[0] = 1
         got = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
     return got[0][:n], got[1][:n]

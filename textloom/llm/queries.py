@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op3_urls
+from .op1_html import op1_html_extraction
 from .op2_substring import op2_substring_dedup
+from .op3_urls import op3_url_filters
 from .op4_jaccard import op4_jaccard_join
+from .op5_decontaminate import op5_decontamination
+from .op6_language import op6_language_id
+from .op7_tokens import op7_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_substring_dedup,
+        op3_url_filters,
         op4_jaccard_join,
+        op5_decontamination,
+        op6_language_id,
+        op7_token_output,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can express a query; the others are tested against brute force, a round trip or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": op3_urls.ORACLE}

@@ -22,7 +22,7 @@ item_ids are left out of items_sha256; extra columns are ignored; empty tables a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,16 +144,19 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
     yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with
-    ``spans`` also hits, the (start, end) of hit stretches in words, and items, their item_ids."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """For each row of ``docs`` (text, and the columns to ``keep``): those columns, n_words, n_hit, n_items,
+    items_sha256, contaminated; with ``spans`` also hits, the (start, end) of hit stretches in words, and items, their
+    item_ids."""
     spark = docs.sparkSession
     indexes = [build(block, window) for block in _blocks(benchmark)]
     shared = [spark.sparkContext.broadcast(x) for x in indexes]
+    columns_in = list(dict.fromkeys([*keep, "text"]))
+    at, kept = columns_in.index("text"), [columns_in.index(c) for c in keep]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low, high, data, offsets in slices(b.column(1)):
+            for low, high, data, offsets in slices(b.column(at)):
                 w = words(LOWER[data], offsets, ALNUM)
                 hit = np.zeros(len(w.start), bool)
                 items: dict[int, set] = {}
@@ -168,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sp
                 n_hit = sums[w.first[1:]] - sums[w.first[:-1]]
                 none = _digest(())
                 columns = [
-                    b.column(0).slice(low, high - low), pa.array(np.diff(w.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(items.get(i, ())) for i in range(high - low)], pa.int64()),
+                    *(b.column(i).slice(low, high - low) for i in kept), pa.array(np.diff(w.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(items.get(i, ())) for i in range(high - low)], pa.int64()),
                     pa.array([_digest(items[i]) if i in items else none for i in range(high - low)], pa.string()), pa.array(n_hit > 0, pa.bool_()),
                 ]
                 if spans:
@@ -178,15 +181,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sp
                         turns = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
                         stretches.append([{"start": int(s), "end": int(e)} for s, e in zip(turns[::2], turns[1::2], strict=True)])
                     columns += [pa.array(stretches, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted((x for x in items.get(i, ()) if x is not None), key=str) for i in range(high - low)], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=NAMES[: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *NAMES[: len(columns) - len(keep)]])
 
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema + ", hits array<struct<start:bigint,end:bigint>>, items array<bigint>" * spans)
+    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep) + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    return docs.select(*columns_in).mapInArrow(rows, schema + ", hits array<struct<start:bigint,end:bigint>>, items array<bigint>" * spans)
 
 
-NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"]
+NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"]
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contaminated(documents.select("doc_id", "text"), benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))
+    return contaminated(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))

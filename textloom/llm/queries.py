@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_urls
+from . import op3_urls, op10_licenses
 from .op1_html import op1_html_extraction
 from .op2_substring import op2_substring_dedup
 from .op3_urls import op3_url_filters
@@ -14,6 +14,17 @@ from .op4_jaccard import op4_jaccard_join
 from .op5_decontaminate import op5_decontamination
 from .op6_language import op6_language_id
 from .op7_tokens import op7_token_output
+from .op8_quality import op8_quality_rules
+from .op9_mixing import op9_mixing
+from .op10_licenses import op10_license_scans
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, which lies at the top of the repository and imports this subpackage."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -25,7 +36,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_decontamination,
         op6_language_id,
         op7_token_output,
+        op8_quality_rules,
+        op9_mixing,
+        op10_license_scans,
+        pipeline,
     )
 }
 #: Where SQL can express a query; the others are tested against brute force, a round trip or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": op3_urls.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": op3_urls.ORACLE, "op10_license_scans": op10_licenses.ORACLE}

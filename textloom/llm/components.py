@@ -22,18 +22,19 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = towards.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         moved = towards.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
 
 
-def components(scope: Scope, edges: DataFrame) -> DataFrame:
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one link upwards, or only links downwards."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
+def components(scope: Scope, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """``edges``: (a, b). Gives (node, component): each node that has an edge to another, and the smallest node it is
-    connected with. Nulls, loops and repeated edges count for nothing."""
-    links = scope.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if not now[0] or now == state:
-            break
-        state = now
-        links = scope.table(_star(_star(links, large=True), large=False))
+    connected with. Nulls, loops and repeated edges count for nothing. ``parts``: files of each round's table."""
+    links = scope.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), parts)
+    while not _are_stars(links):
+        links = scope.table(_star(_star(links, large=True), large=False).distinct(), parts)
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -12,11 +12,13 @@ Tokens are distinct 3-word shingles. Two documents link when 100 * intersection
    If frequent tokens are in it, the prefix is extended to n - o + g + 1 tokens, of which partners without a common
    rare token share g + 1 frequent ones; these fall into g hash classes, so two of them share a class, and the pairs of
    frequent tokens of one class are indexed. g grows with n, so a document has about n / 5 such pairs.
-4. Keys deal out candidates by rounds, and the true texts verify them. The first round compares the smallest text of
-   each key with the others; then links are contracted to components, and later rounds compare only texts that are
-   still in different components, with four times as many pivots for each key, until every pair of a key is compared
-   or connected. A group of near copies so costs a few comparisons for each copy and not all pairs, while no component
-   that all pairs would connect is missed.
+4. Keys deal out candidates by rounds, and the true texts verify them. Before that, sizes and a parity sketch bound the
+   overlap: of 512 hash classes, those that hold an odd number of tokens of one text and an even one of the other
+   each hold a token that isn't shared. The first round compares one text of each key, that of the fewest unshared
+   tokens, with the others. Then links are contracted to components, and only pairs of different components are
+   compared: texts outside their key's largest component with all of the key, in slices while that would be too much
+   at once. A group of near copies so costs a few comparisons for each copy and not all pairs, while no component that
+   all pairs would connect is missed.
 
 Null and empty texts have no tokens and link with nothing; their component is their own doc_id. Texts of one or two
 words have their whole sequence as one token. Repeated rows and doc_ids are gathered by text. A null doc_id gets the
@@ -117,7 +119,17 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray, numerator: int, denomina
     return np.unique(np.concatenate(out))
 
 
-TEXT = "digest binary, uid bigint, id bigint, n bigint, keys array<bigint>, z binary"
+TEXT = "digest binary, uid bigint, id bigint, n bigint, keys array<bigint>, z binary, alone bigint, sketch array<bigint>"
+#: Longs of a parity sketch.
+SKETCH = 8
+#: Comparisons for each posting that one round may make.
+MOST_COMPARISONS = 1000
+
+
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH hash classes, whether it holds an odd number of the distinct tokens."""
+    odd = np.bincount(((tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _indexed(scope: Scope, table: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
@@ -150,20 +162,20 @@ def _indexed(scope: Scope, table: DataFrame, shingle: int, numerator: int, denom
             n = np.diff(first)
             alone = np.concatenate([[0], np.cumsum(classes == 0)])
             alone = alone[first[1:]] - alone[first[:-1]]
-            keys, z = [None] * len(n), [None] * len(n)
+            keys, z, sketch = ([None] * len(n) for _ in range(3))
             for i in np.flatnonzero(alone < n + (-numerator * n) // denominator + 1).tolist():
                 got = index_keys(tokens[first[i] : first[i + 1]], classes[first[i] : first[i + 1]], numerator, denominator)
                 if len(got):
-                    keys[i], z[i] = got.view(np.int64), pack(run.text(i))
+                    keys[i], z[i], sketch[i] = got.view(np.int64), pack(run.text(i)), parity_sketch(tokens[first[i] : first[i + 1]])
             uid = (row["run_id"] << 16) + np.arange(len(n))
             ids = pa.array(run.ids, pa.int64(), mask=run.ids == R.NO_ID)
-            yield pa.RecordBatch.from_arrays([pa.array(run.digests, pa.binary()), pa.array(uid, pa.int64()), ids, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary())], names=["digest", "uid", "id", "n", "keys", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array(run.digests, pa.binary()), pa.array(uid, pa.int64()), ids, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary()), pa.array(alone, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["digest", "uid", "id", "n", "keys", "z", "alone", "sketch"])
 
     counted = R.merge(table.mapInArrow(pieces, R.PIECE), _classes)
     return scope.table(R.returned(counted, table.drop("size")).mapInArrow(texts, TEXT))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int, parts: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts link."""
 
     def check(batches):
@@ -194,37 +206,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int,
 
     z = texts.select(F.col("uid"), F.col("z"))
     full = pairs.join(z.select(F.col("uid").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("uid").alias("b"), F.col("z").alias("zb")), "b")
-    return full.select("a", "b", "za", "zb").mapInArrow(check, "a bigint, b bigint")
+    return full.select("a", "b", "za", "zb").coalesce(parts).mapInArrow(check, "a bigint, b bigint")
 
 
 def _links(scope: Scope, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
     """(node, component) of all texts that link with another."""
     listed = texts.where(F.col("keys").isNotNull())
-    each = listed.select("uid", "n", F.explode("keys").alias("key"))
-    sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("least")).where("size > 1")
-    postings = scope.table(each.join(sizes, "key"))
-    near = F.expr(f"{denominator} * least(n, pn) >= {numerator} * greatest(n, pn)")
-    leads = listed.select(F.col("uid").alias("least"), F.col("n").alias("pn"))
-    pairs = postings.where("uid <> least").select("uid", "n", "least").distinct().join(leads, "least").where(near).select(F.col("least").alias("a"), F.col("uid").alias("b"))
-    edges = scope.table(_verified(pairs, listed, shingle, numerator, denominator))
-    groups = components(scope, edges)
-    low, high = 0, 4
-    while True:
-        now = postings.join(groups.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-        # a text's place among a key's, the same share under each key: pivots of one round are [low, high) of it
-        place = F.pmod(F.xxhash64("uid"), F.lit(1_000_003)) / F.lit(1_000_003) * F.col("size")
-        open_ = scope.table(now.join(mixed, "key").withColumn("place", place).where(F.col("place") >= low))
-        if open_.isEmpty():
-            return groups
-        pivots = open_.where(F.col("place") < high).select("key", F.col("uid").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        pairs = open_.join(pivots, "key").where(F.col("component") != F.col("pc")).where(near)
+    keys, of = listed.agg(F.sum(F.size("keys")), F.count(F.lit(1))).first()
+    # tasks by the rows there are: each key is a row of under 100 bytes, each text some KB to verify
+    parts, checks = 1 + (keys or 0) // 100_000, max(6, 1 + of // 500)
+    marks = [f"s{i}" for i in range(SKETCH)]
+    own = listed.select("uid", "n", "keys", "alone", *(F.get("sketch", F.lit(i)).alias(x) for i, x in enumerate(marks)))
+    each = own.select("uid", "n", "alone", *marks, F.explode("keys").alias("key"))
+    sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "uid"))["uid"].alias("lead")).where("size > 1")
+    postings = scope.table(each.drop("alone").join(sizes, "key"), parts)
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p{x}"))) for x in marks), F.lit(0))
+    near = F.expr(f"{denominator} * least(n, pn) >= {numerator} * greatest(n, pn)") & (apart * (denominator + numerator) <= (denominator - numerator) * (F.col("n") + F.col("pn")))
+    other = [F.col("n").alias("pn"), *(F.col(x).alias(f"p{x}") for x in marks)]
+    pairs = postings.where("uid <> lead").select("uid", "n", *marks, "lead").distinct().join(own.select(F.col("uid").alias("lead"), *other), "lead").where(near).select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b")).distinct()
+    edges = scope.table(_verified(pairs, listed, shingle, numerator, denominator, checks))
+    groups = components(scope, edges, parts)
+    now = postings.join(groups.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    shares = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("share")).groupBy("key").agg(F.max_by("component", F.struct("share", "component")).alias("main"), F.max("share").alias("share"), F.sum("share").alias("all"))
+    open_ = scope.table(now.join(shares.where("share < all"), "key"), parts)
+    # every pair of two components of a key has a text outside the key's main component
+    compared, rows = open_.agg(F.sum(F.when(F.col("component") != F.col("main"), F.col("size"))), F.count(F.lit(1))).first()
+    slices = 1 + (compared or 0) // (MOST_COMPARISONS * max(1, rows))
+    for i in range(slices if rows else 0):
+        pivots = open_.where(F.col("component") != F.col("main")).where(F.pmod(F.xxhash64("uid"), F.lit(slices)) == i).select("key", F.col("uid").alias("p"), F.col("component").alias("pc"), *other)
+        pairs = open_.join(pivots, (open_["key"] == pivots["key"]) & (F.col("component") != F.col("pc")) & near)
         pairs = pairs.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct()
-        found = scope.table(_verified(pairs, listed, shingle, numerator, denominator))
+        found = scope.table(_verified(pairs, listed, shingle, numerator, denominator, checks))
         if not found.isEmpty():
-            edges = scope.table(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
-            groups = components(scope, edges)
-        low, high = high, high * 4
+            groups = components(scope, groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), parts)
+            if i + 1 < slices:
+                latest = groups.select(F.col("node").alias("uid"), F.col("component").alias("latest"))
+                open_ = scope.table(open_.join(latest, "uid", "left").withColumn("component", F.coalesce("latest", "component")).drop("latest"), parts)
+    return groups
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:

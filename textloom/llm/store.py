@@ -51,8 +51,9 @@ class Scope:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        return self._write(df, self.root)
+    def table(self, df: DataFrame, parts: int | None = None) -> DataFrame:
+        """``parts``: tasks of the last stage, and files at most; give it only where the rows to write are known."""
+        return self._write(df if parts is None else df.coalesce(parts), self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self._write(df, self.kept)

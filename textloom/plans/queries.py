@@ -7,9 +7,262 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import characters as C
+from ..functions import sql as S
+from ..functions import tables as T
+from ..functions.detect import Options
+from ..operators import detection as D
+from ..operators import profiles as P
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def of(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return of
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "lang", F.encode("text", "UTF-8").alias("payload"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"))
+    best = D.detect_best(payloads(spark, sf_dir), keep=["lang"])
+    return best.groupBy(F.col("best.encoding").alias("encoding"), "lang").agg(F.count(F.lit(1)).alias("documents"), F.avg("best.chaos").alias("mean_chaos"))
+
+
+def literal(rows: list[tuple]) -> str:
+    def one(x) -> str:
+        return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
+
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+def sql_class(bits: int, without: int = 0) -> str:
+    return P.character_class(bits, without)
+
+
+# Projections and scans
+
+_MARKED = " ".join(f"WHEN {i} THEN '{m.hex().upper()}'" for i, (_, m) in enumerate(T.MARKS))
+
+
+@query(
+    f"""SELECT doc_id, encoding FROM (
+      SELECT doc_id, CASE doc_id % 11 {_MARKED} ELSE '' END || hex(encode(text)) AS h FROM documents) AS d,
+      LATERAL (SELECT CASE {" ".join(f"WHEN starts_with(h, '{m.hex().upper()}') THEN '{n}'" for n, m in T.MARKS)} END AS encoding) AS e"""
+)
+def bom_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.expr(f"CASE doc_id % 11 {_MARKED} ELSE '' END")
+    marked = documents(spark, sf_dir).select("doc_id", F.concat(F.unhex(mark), F.encode("text", "UTF-8")).alias("payload"))
+    return marked.select("doc_id", P.bom_encoding("payload").alias("encoding"))
+
+
+#: Labels that pages are given in turn, so that more than one is found.
+LABELS = ("utf-8", "windows-1252", "ISO-8859-15", "latin1", "utf-57", "Shift_JIS", "koi8-r")
+_LABELLED = " ".join(f"WHEN {i} THEN 'charset=\"{x}\"'" for i, x in enumerate(LABELS))
+_NAMES = literal(sorted(T.names().items()))
+
+
+@query(
+    f"""WITH n(label, name) AS (VALUES {_NAMES}),
+    p AS (SELECT page_id, replace(html, 'charset="utf-8"', CASE page_id % {len(LABELS)} {_LABELLED} END) AS html FROM pages),
+    l AS (SELECT page_id, unnest(x) AS label, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html[1:8192], '(?i)(?:encoding|charset|coding)[:= ]{{1,10}}["'']?([a-zA-Z0-9_\\-]+)["'']?', 1) AS x FROM p)),
+    k AS (SELECT page_id, arg_min(name, i) AS declared FROM l JOIN n ON n.label = replace(lower(l.label), '-', '_') GROUP BY page_id)
+    SELECT page_id, declared FROM pages LEFT JOIN k USING (page_id)"""
+)
+def declared_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    html = F.replace("html", F.lit('charset="utf-8"'), F.expr(f"CASE page_id % {len(LABELS)} {_LABELLED} END"))
+    return pages.select("page_id", P.declared_encoding(F.encode(html, "UTF-8")).alias("declared"))
+
+
+@query(f"SELECT label, CASE WHEN lower(label) = label THEN name END AS name FROM (VALUES {_NAMES}) AS n(label, name)")
+def encoding_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.createDataFrame([(x,) for x in sorted(T.names())], "label string")
+    return labels.select("label", P.encoding_name(F.upper(F.translate("label", "_", "-"))).alias("name"))
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) > 0 THEN octet_length(encode(text)) - length(text) ELSE 0 END::BIGINT AS n_extra, 1 - length(text)::DOUBLE / octet_length(encode(text)) AS usage FROM documents")
+def multi_byte_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", (F.octet_length("text") - F.char_length("text")).cast("long").alias("n_extra"), P.multi_byte_usage("text").alias("usage"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) = length(text) AS is_ascii, true AS is_utf8, octet_length(encode(text)) = length(text) AS cut_is_utf8 FROM documents")
+def payload_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = payloads(spark, sf_dir).withColumn("payload", F.col("payload"))
+    cut = F.concat(F.col("payload"), F.when(P.is_ascii("payload"), F.unhex(F.lit(""))).otherwise(F.unhex(F.lit("C3"))))
+    return p.select("doc_id", P.is_ascii("payload").alias("is_ascii"), P.is_valid_utf8("payload").alias("is_utf8"), P.is_valid_utf8(cut).alias("cut_is_utf8"))
+
+
+# Ranges and letters
+
+_RANGES = literal([(n, a, b, T.family(n)) for n, a, b in T.bounds()])
+
+
+@query(
+    f"""WITH r(range, start, stop, family) AS (VALUES {_RANGES}),
+    c AS (SELECT lang, unnest(string_split(text, '')) AS x FROM documents),
+    n AS (SELECT lang, x, count(*) AS n FROM c WHERE x <> '' GROUP BY ALL)
+    SELECT lang, range, family, sum(n)::BIGINT AS n_chars, count(*) AS n_distinct FROM n JOIN r ON unicode(x) >= start AND unicode(x) < stop GROUP BY ALL"""
+)
+def range_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.range_histogram(documents(spark, sf_dir), ["lang"])
+
+
+@query(
+    f"""WITH r(range, start, stop, family) AS (VALUES {_RANGES}),
+    c AS (SELECT DISTINCT doc_id, unicode(x) AS x FROM (SELECT doc_id, unnest(string_split(text, '')) AS x FROM documents) WHERE x <> '')
+    SELECT doc_id, string_agg(range, ',' ORDER BY range) AS alphabets FROM (SELECT DISTINCT doc_id, range FROM c JOIN r ON x >= start AND x < stop) GROUP BY doc_id"""
+)
+def alphabets_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.array_join(S.alphabets("text"), ",").alias("alphabets"))
+
+
+@query(
+    f"""WITH c AS (SELECT lang, unnest(regexp_extract_all(lower(text), '{sql_class(C.ALPHA)}')) AS letter FROM documents),
+    n AS (SELECT lang, letter, count(*) AS n FROM c GROUP BY ALL)
+    SELECT lang, letter, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, unicode(letter))::INTEGER AS rank FROM n"""
+)
+def letter_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.letter_ranks(documents(spark, sf_dir), ["lang"])
+
+
+_LETTERS = literal([(k, c, len(v)) for k, v in T.LANGUAGES.items() for c in dict.fromkeys(v)])
+
+
+@query(
+    f"""WITH a(language, letter, size) AS (VALUES {_LETTERS}),
+    c AS (SELECT DISTINCT doc_id, x AS letter FROM (SELECT doc_id, unnest(string_split(lower(text), '')) AS x FROM documents))
+    SELECT doc_id, language, count(*) AS n_shared, any_value(size)::BIGINT AS n_alphabet FROM c JOIN a USING (letter) GROUP BY doc_id, language HAVING count(*) >= 0.2 * any_value(size)"""
+)
+def alphabet_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.alphabet_coverage(documents(spark, sf_dir), ["doc_id"])
+
+
+@query(f"SELECT a.encoding AS a, b.encoding AS b, sum((a.character IS NOT DISTINCT FROM b.character)::INT) / count(*) AS similarity FROM (VALUES {literal([(e, i, c) for e in ('cp1250', 'cp1251', 'cp1252', 'cp1254', 'iso8859_2', 'iso8859_15', 'latin_1') for i, c in enumerate(T.code_page(e)) if i >= 128])}) AS a(encoding, byte, character) JOIN (VALUES {literal([(e, i, c) for e in ('cp1250', 'cp1251', 'cp1252', 'cp1254', 'iso8859_2', 'iso8859_15', 'latin_1') for i, c in enumerate(T.code_page(e)) if i >= 128])}) AS b(encoding, byte, character) ON a.byte = b.byte AND a.encoding <> b.encoding GROUP BY ALL")
+def code_page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = P.code_pages(spark).where(F.col("encoding").isin("cp1250", "cp1251", "cp1252", "cp1254", "iso8859_2", "iso8859_15", "latin_1") & (F.col("byte") >= 128))
+    return P.code_page_similarity(pages)
+
+
+# Noise
+
+_COUNTS = {"n_unprintable": (C.UNPRINTABLE, 0), "n_alpha": (C.ALPHA, 0), "n_accentuated": (C.ALPHA | C.ACCENT, 0), "n_cjk": (C.ALPHA | C.CJK, 0), "n_arabic": (C.ALPHA | C.ARABIC, 0)}
+#: Texts in scripts that the documents lack.
+SAMPLES = [(1, "这是一个简单的句子，龘龖龗。"), (2, "العربية لغة جميلة ﻉ ﺍ ﺏ ﺕ ﺙ"), (3, "ﾅﾓﾉﾔ瘕齴黵 カタカナ"), (4, "niezale¿n¹ ÀÀéé Èè"), (5, "tab\tbell\x07 esc\x1b end"), (6, "")]
+_SAMPLED = "SELECT doc_id, text FROM documents UNION ALL SELECT -id, text FROM (VALUES (1, '这是一个简单的句子，龘龖龗。'), (2, 'العربية لغة جميلة ﻉ ﺍ ﺏ ﺕ ﺙ'), (3, 'ﾅﾓﾉﾔ瘕齴黵 カタカナ'), (4, 'niezale¿n¹ ÀÀéé Èè'), (5, 'tab' || chr(9) || 'bell' || chr(7) || ' esc' || chr(27) || ' end'), (6, '')) AS s(id, text)"
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "text").unionByName(spark.createDataFrame([(-i, t) for i, t in SAMPLES], "doc_id bigint, text string"))
+
+
+@query(f"SELECT doc_id, length(text) AS n_chars, {', '.join(f"len(regexp_extract_all(text, '{sql_class(*b)}')) AS {n}" for n, b in _COUNTS.items())} FROM ({_SAMPLED})")
+def noise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.noise_counts(sampled(spark, sf_dir)).select("doc_id", "n_chars", *_COUNTS)
+
+
+_BASES = literal([(a, b) for a, b in zip(*P._base_map(), strict=True)])
+_UPPER_ACCENT = sql_class(C.ACCENT | C.UPPER | C.LATIN | C.ALPHA)
+
+
+@query(
+    f"""WITH m(c, base) AS (VALUES {_BASES}),
+    l AS (SELECT doc_id, regexp_extract_all(text, '{sql_class(C.ALPHA | C.LATIN)}') AS x FROM ({_SAMPLED})),
+    e AS (SELECT doc_id, unnest(x) AS c, unnest(list_concat([NULL], x[:-2])) AS before FROM l WHERE len(x) > 0),
+    j AS (SELECT doc_id, (regexp_matches(e.c, '{_UPPER_ACCENT}') AND regexp_matches(e.before, '{_UPPER_ACCENT}'))::INT + (a.base = b.base)::INT AS n FROM e JOIN m a ON a.c = e.c JOIN m b ON b.c = e.before)
+    SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_pairs FROM ({_SAMPLED}) d LEFT JOIN j ON d.doc_id = j.doc_id GROUP BY d.doc_id"""
+)
+def accent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled(spark, sf_dir).select("doc_id", P.accent_pairs("text").alias("n_pairs"))
+
+
+# Detection
+
+LEGACY = ("cp1252", "iso8859_15", "mac_roman", "cp850", "utf_16", "utf_32", "utf_8_sig")
+
+
+def transcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document in an encoding that its id chooses: (doc_id, lang, source_encoding, payload)."""
+    import pyarrow as pa
+
+    def rows(batches):
+        for b in batches:
+            ids, langs, texts = (c.to_pylist() for c in b.columns)
+            names = [LEGACY[i % len(LEGACY)] for i in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names), pa.array([t.encode(n, "replace") for t, n in zip(texts, names, strict=True)], pa.binary())], names=["doc_id", "lang", "source_encoding", "payload"])
+
+    return documents(spark, sf_dir).select("doc_id", "lang", "text").mapInArrow(rows, "doc_id bigint, lang string, source_encoding string, payload binary")
+
+
+@query()
+def detect_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.detect_best(payloads(spark, sf_dir), keep=["doc_id", "lang"]).select("doc_id", "lang", "best.encoding", "best.chaos", "best.coherence", "best.language")
+
+
+@query()
+def charset_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.all_matches(transcoded(spark, sf_dir), keep=["doc_id", "source_encoding"]).select("doc_id", "source_encoding", "rank", "encoding", "chaos", "coherence", "language", "bom", F.array_join("could_be_from", ",").alias("could_be_from"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def normalize_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With nothing but ASCII and UTF-8 to choose from, every document comes back as it was, however odd its letters."""
+    return D.normalize(payloads(spark, sf_dir), keep=["doc_id"], options=Options(only=("ascii", "utf8"))).select("doc_id", F.col("output").cast("string").alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id % 7 >= 4")
+def normalize_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in encodings with a byte-order mark come back as they were."""
+    marked = transcoded(spark, sf_dir).where(F.col("source_encoding").isin("utf_16", "utf_32", "utf_8_sig"))
+    return D.normalize(marked, keep=["doc_id"]).select("doc_id", F.ltrim(F.col("output").cast("string"), F.lit("﻿")).alias("text"))
+
+
+@query()
+def normalize_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.normalize(transcoded(spark, sf_dir), keep=["doc_id", "source_encoding"]).select("doc_id", "source_encoding", "encoding", F.sha2("output", 256).alias("sha256"))
+
+
+@query()
+def legacy_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.encode("text", "UTF-8").alias("payload"))
+    return D.legacy_detect(chats)
+
+
+@query()
+def binary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.with_binary_flag(payloads(spark, sf_dir), keep=["doc_id"])
+
+
+@query()
+def mess_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", S.mess_ratio("text").alias("mess_ratio"))
+
+
+@query()
+def coherence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.to_json(S.coherence_ratio("text")).alias("languages"))
+
+
+@query()
+def encoding_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = D.detect_best(payloads(spark, sf_dir), keep=["lang"])
+    return best.groupBy("lang", F.col("best.encoding").alias("encoding")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query()
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("payload"))
+    return D.report_rows(pages).select("path", "encoding", "language", "has_sig_or_bom", "chaos", "coherence", "is_preferred", F.array_join("alphabets", ",").alias("alphabets"))

@@ -104,13 +104,17 @@ def accent_pairs(text: Column | str) -> Column:
     accented, upper = character_class(C.ACCENT | C.LATIN | C.ALPHA), character_class(C.ACCENT | C.UPPER | C.LATIN | C.ALPHA)
     bases = _base_map()
 
-    def of(c: Column, i: Column) -> Column:
-        before = F.get(codes, i - 1)
-        both, up = c.rlike(accented) & before.rlike(accented), c.rlike(upper) & before.rlike(upper)
-        same = F.translate(c, *bases) == F.translate(before, *bases)
-        return F.when((i > 0) & both, up.cast("int") + same.cast("int")).otherwise(0)
+    def of(own: Column) -> Column:
+        def pair(c: Column, i: Column) -> Column:
+            before = F.get(own, i - 1)
+            both, up = c.rlike(accented) & before.rlike(accented), c.rlike(upper) & before.rlike(upper)
+            same = F.translate(c, *bases) == F.translate(before, *bases)
+            return F.when((i > 0) & both, up.cast("int") + same.cast("int")).otherwise(0)
 
-    pairs = F.aggregate(F.transform(codes, of), F.lit(0), lambda a, x: a + x)
+        return F.aggregate(F.transform(own, pair), F.lit(0), lambda a, x: a + x)
+
+    # in an array of one, the letters are made once and not for each of them
+    pairs = F.get(F.transform(F.array(codes), of), F.lit(0))
     # most texts have no two accented letters in a row, and are done with one search
     return F.when(latin.rlike(accented + accented), pairs).otherwise(0).cast("long")
 

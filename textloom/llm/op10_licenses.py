@@ -72,14 +72,16 @@ class Template:
 @dataclass(frozen=True)
 class Class:
     templates: tuple[Template, ...]
+    shortest: int
+    longest: int
 
     @property
     def stride(self) -> int:
-        return max(1, len(self.templates[-1].words) // 4)
+        return max(1, self.longest // 4)
 
     @property
     def window(self) -> int:
-        return len(self.templates[-1].words) + self.stride - 1
+        return self.longest + self.stride - 1
 
     @property
     def bands(self) -> int:
@@ -103,7 +105,22 @@ def classes(templates: list[Template]) -> list[Class]:
             groups[-1].append(t)
         else:
             groups.append([t])
-    return [Class(tuple(g)) for g in groups]
+    return [Class(tuple(g), len(g[0].words), len(g[-1].words)) for g in groups]
+
+
+def blocks(grouped: list[Class]) -> list[list[Class]]:
+    """Blocks of at most BLOCK templates. A class may be cut; its parts keep its windows."""
+    out: list[list[Class]] = [[]]
+    for c in grouped:
+        rest = c.templates
+        while rest:
+            room = BLOCK - sum(len(x.templates) for x in out[-1])
+            if not room:
+                out.append([])
+                continue
+            out[-1].append(Class(rest[:room], c.shortest, c.longest))
+            rest = rest[room:]
+    return out
 
 
 def anchors(templates: list[Template]) -> list[str]:
@@ -156,9 +173,9 @@ def _verification(t: Template, inside: int) -> Callable[[Column], Column]:
     return shared
 
 
-def _scan(docs: DataFrame, templates: list[Template]) -> DataFrame:
+def _scan(docs: DataFrame, grouped: list[Class]) -> DataFrame:
     spark = docs.sparkSession
-    grouped = classes(templates)
+    templates = [t for c in grouped for t in c.templates]
     bands = max(c.bands for c in grouped)
     low = F.lower("text")
     some = None
@@ -175,7 +192,7 @@ def _scan(docs: DataFrame, templates: list[Template]) -> DataFrame:
     found = []
     for number, c in enumerate(grouped):
         inside = c.window - SHINGLE + 1
-        least = len(c.templates[0].words)
+        least = c.shortest
         d = d.withColumn(
             f"c{number}",
             F.expr(
@@ -201,8 +218,8 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
     parsed = parse(TEMPLATES if templates is None else templates)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for at in range(0, len(parsed), BLOCK):
-        part = _scan(docs, parsed[at : at + BLOCK])
+    for block in blocks(classes(parsed)):
+        part = _scan(docs, block)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -213,7 +230,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """Every window that shares a shingle, without bands."""
-    rows = [(t.name, s, len(t.shingles), t.needed, c.stride, c.window - SHINGLE + 1, len(c.templates[0].words)) for c in classes(parse(TEMPLATES)) for t in c.templates for s in t.shingles]
+    rows = [(t.name, s, len(t.shingles), t.needed, c.stride, c.window - SHINGLE + 1, c.shortest) for c in classes(parse(TEMPLATES)) for t in c.templates for s in t.shingles]
     values = ", ".join(f"('{a}', '{b}', {c}, {d}, {e}, {f}, {g})" for a, b, c, d, e, f, g in rows)
     return f"""
 WITH t(template, shingle, m, needed, stride, inside, least) AS (VALUES {values}),

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 from pyspark.sql.functions import pandas_udf, udtf
 
 from . import characters as C
@@ -14,16 +15,18 @@ from . import detect as D
 from . import mess as M
 from . import tables as T
 
-RATIOS = "array<struct<language:string,ratio:double>>"
+# Types and not their names: those can be read only where a session is.
+RATIOS = ty.ArrayType(ty.StructType([ty.StructField("language", ty.StringType()), ty.StructField("ratio", ty.DoubleType())]))
+MATCH = ty.StructType([ty.StructField(n, t()) for n, t in (("rank", ty.IntegerType), ("encoding", ty.StringType), ("chaos", ty.DoubleType), ("coherence", ty.DoubleType), ("bom", ty.BooleanType), ("language", ty.StringType))])
 
 
-@pandas_udf("double")
+@pandas_udf(ty.DoubleType())
 def mess_ratio(text: pd.Series) -> pd.Series:
     """Noise of each text, as the detector reads it (limit 0.2)."""
     return text.map(lambda x: None if x is None else M.mess_ratio(x))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ty.ArrayType(ty.DoubleType()))
 def mess_details(text: pd.Series) -> pd.Series:
     """The ten detectors' ratios of each whole text, in the order of ``mess.NAMES``."""
     return text.map(lambda x: None if x is None else M.mess_details(x, float("inf"))[1])
@@ -35,7 +38,7 @@ def coherence_ratio(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else [{"language": k, "ratio": v} for k, v in K.coherence_ratio(x)])
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ty.ArrayType(ty.StringType()))
 def alphabets(text: pd.Series) -> pd.Series:
     """The sorted names of the Unicode ranges that each text has characters of."""
     names, _ = T.ranges()
@@ -46,7 +49,7 @@ def alphabets(text: pd.Series) -> pd.Series:
     return text.map(of)
 
 
-@pandas_udf("string")
+@pandas_udf(ty.StringType())
 def detect_encoding(payload: pd.Series) -> pd.Series:
     """The best encoding of each payload, null for binary ones."""
 
@@ -57,12 +60,12 @@ def detect_encoding(payload: pd.Series) -> pd.Series:
     return payload.map(of)
 
 
-@pandas_udf("boolean")
+@pandas_udf(ty.BooleanType())
 def is_binary(payload: pd.Series) -> pd.Series:
     return payload.map(lambda x: None if x is None else D.is_binary(bytes(x)))
 
 
-@pandas_udf("string")
+@pandas_udf(ty.StringType())
 def decode_best(payload: pd.Series) -> pd.Series:
     """Each payload's text under its best encoding."""
 
@@ -73,7 +76,7 @@ def decode_best(payload: pd.Series) -> pd.Series:
     return payload.map(of)
 
 
-@udtf(returnType="rank int, encoding string, chaos double, coherence double, bom boolean, language string")
+@udtf(returnType=MATCH)
 class CharsetMatches:
     """SELECT ... FROM t, LATERAL charset_matches(t.payload)"""
 

@@ -23,16 +23,21 @@ def language_features(name: str) -> tuple[bool, bool]:
     return any(f & C.ACCENT for f in flags), all(f & C.LATIN for f in flags)
 
 
+@cache
+def _places(name: str) -> dict[str, int]:
+    return {c: i for i, c in enumerate(T.LANGUAGES[name])}
+
+
 def alphabet_languages(letters: Iterable[str], ignore_non_latin: bool = False) -> list[str]:
     """Languages of which at least a fifth of the alphabet is among the letters, the fullest first."""
-    letters = set(letters)
+    letters = frozenset(letters)
     accents = any(C.name_flags(c) & C.ACCENT for c in letters)
     found = []
     for name, alphabet in T.LANGUAGES.items():
         has_accents, latin = language_features(name)
         if ignore_non_latin and not latin or accents and not has_accents:
             continue
-        share = sum(c in letters for c in alphabet) / len(alphabet)
+        share = len(letters & _places(name).keys()) / len(alphabet)
         if share >= 0.2:
             found.append((name, share))
     return [name for name, _ in sorted(found, key=lambda x: -x[1])]
@@ -53,19 +58,26 @@ def popularity(name: str, ordered: Sequence[str]) -> float:
         return float("nan")
     alphabet = T.LANGUAGES[name]
     size, n = len(alphabet), len(ordered)
-    place = {c: i for i, c in enumerate(alphabet)}
+    place = _places(name)
     shared = [(place[c], i) for i, c in enumerate(ordered) if c in place]
     if not shared:
         return 0.0
     theirs, ours = np.array(shared).T
     distance = np.abs((ours * (size / n)).astype(np.int64) - theirs)
-    sure = (theirs == 0) | (distance < size / 3 if size > 26 else np.zeros(len(ours), bool))
-    before = ((theirs[None, :] < theirs[:, None]) & (ours[None, :] < ours[:, None])).sum(axis=1)
-    after = ((theirs[None, :] >= theirs[:, None]) & (ours[None, :] >= ours[:, None])).sum(axis=1)
-    agrees = sure | (5 * before >= 2 * theirs) | (5 * after >= 2 * (size - theirs))
-    if size <= 26:
-        agrees &= distance <= 4
-    return int(agrees.sum()) / n
+    sure = theirs == 0
+    if size > 26:
+        sure |= distance < size / 3
+    else:
+        near = distance <= 4
+        if not near.any():
+            return 0.0
+        sure &= near
+    open_ = ~sure if size > 26 else near & ~sure
+    lower, place_here = theirs[open_, None], ours[open_, None]
+    before = ((theirs < lower) & (ours < place_here)).sum(axis=1)
+    after = ((theirs >= lower) & (ours >= place_here)).sum(axis=1)
+    agrees = (5 * before >= 2 * theirs[open_]) | (5 * after >= 2 * (size - theirs[open_]))
+    return (int(sure.sum()) + int(agrees.sum())) / n
 
 
 def layers(text: str) -> list[str]:

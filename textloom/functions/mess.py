@@ -57,7 +57,7 @@ def _range_pairs(codes, p, n):
     return _at(at[1:], pair.astype(int), n)
 
 
-def _words(codes, p, n):
+def _words(codes, p, n, met):
     """Detector 6: sums over closed words of (words, letters, letters of bad words, long foreign ones, invalid ones)."""
     alpha = (p & C.ALPHA) > 0
     ends = ~alpha & ((p & (C.SPACE | C.PUNCTUATION | C.SEPARATOR)) > 0)
@@ -76,20 +76,25 @@ def _words(codes, p, n):
     m = _upto(marks)
     inner = m[stop] - m[first]
 
-    def count(bits: int, wanted: int | None = None) -> np.ndarray:
-        s = _upto(alpha & ((p & bits) == wanted if wanted is not None else (p & bits) > 0))
+    none = np.zeros(len(stop), np.int64)
+
+    def count(test: np.ndarray) -> np.ndarray:
+        s = _upto(alpha & test)
         return s[stop] - s[start]
 
     length = letters[stop] - letters[start] + inner
-    accents, glyphs, uppers = count(C.ACCENT), count(C.GLYPH), count(C.UPPER)
-    foreign = _upto(alpha & ((p & C.GLYPH) == 0) & (((p & C.LATIN) == 0) | ((p & C.ACCENT) > 0)))
-    foreign = foreign[stop] > foreign[start]
-    not_ascii = count(C.ASCII, 0) > 0
+    accents = count((p & C.ACCENT) > 0) if met & C.ACCENT else none
+    glyphs = count((p & C.GLYPH) > 0) if met & C.GLYPH else none
+    uppers = count((p & C.UPPER) > 0) if met & C.UPPER else none
+    foreign = length >= 24
+    if foreign.any():
+        foreign &= count(((p & C.GLYPH) == 0) & (((p & C.LATIN) == 0) | ((p & C.ACCENT) > 0))) > 0
+    not_ascii = count((p & C.ASCII) == 0) > 0
     last_upper = (p[last] & C.UPPER) > 0
     last_accent = ((p[last] & C.ACCENT) > 0) & (m[stop] == m[last])
     first_lower = (p[first] & C.LOWER) > 0
     invalid = (p[stop] & C.OPENING) > 0
-    if (p & C.SUPERSCRIPT).any() and (alpha & ((p & C.LIGATURE) > 0)).any():
+    if met & C.SUPERSCRIPT and met & C.LIGATURE:
         invalid |= _raised(p, alpha, first, stop)
     bad = invalid | (inner > 0)
     long = length >= 4
@@ -97,7 +102,7 @@ def _words(codes, p, n):
     by_end = long & ~by_accents & last_accent & last_upper & (uppers != length)
     by_glyph = long & ~by_accents & ~by_end & (glyphs == 1)
     by_case = long & ~by_accents & ~by_end & ~by_glyph & not_ascii & first_lower & (uppers == length - 1)
-    by_length = (length >= 24) & foreign & ~((uppers > 0) & (uppers / length <= 0.3))
+    by_length = foreign & ~((uppers > 0) & (uppers / length <= 0.3))
     bad = bad | by_accents | by_end | by_glyph | by_case | by_length
     far = by_end.astype(int) + by_glyph + by_case + by_length
     return tuple(_at(stop, x, n) for x in (np.ones(len(stop)), length, length * bad, far, invalid.astype(int)))
@@ -119,6 +124,10 @@ def _raised(p, alpha, first, stop) -> np.ndarray:
 
 def _case_flips(p, n):
     """Detector 9: over runs of cased letters up to 64, twice the pairs of consecutive changes of case."""
+    up, low = (p & C.UPPER) > 0, (p & C.LOWER) > 0
+    change = (up[1:] & low[:-1]) | (low[1:] & up[:-1])
+    if not (change[1:] & change[:-1]).any():
+        return np.zeros(n + 1)
     letter = (p & (C.ALPHA | C.CASED)) == C.ALPHA | C.CASED
     other = np.flatnonzero(~letter)
     if not len(other):
@@ -132,9 +141,8 @@ def _case_flips(p, n):
     start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
     is_stop = np.zeros(n, bool)
     is_stop[stop] = True
-    up, low = (p & C.UPPER) > 0, (p & C.LOWER) > 0
     flip = np.zeros(n, bool)
-    flip[1:] = ((up[1:] & low[:-1]) | (low[1:] & up[:-1])) & ~is_stop[:-1] & ~is_stop[1:]
+    flip[1:] = change & ~is_stop[:-1] & ~is_stop[1:]
     # every second of consecutive flips counts
     index = np.arange(n)
     before = np.maximum.accumulate(np.where(flip, -1, index))
@@ -145,46 +153,52 @@ def _case_flips(p, n):
 
 
 def _ratios(codes: np.ndarray, p: np.ndarray, stops: np.ndarray, pure_ascii: bool) -> np.ndarray:
-    """The ten ratios at each of ``stops`` (numbers of characters read, the closing newline included)."""
+    """The ten ratios at each of ``stops`` (numbers of characters read, the closing newline included). A detector whose
+    characters the text lacks is 0 and not computed."""
     n = len(codes)
     alpha = (p & C.ALPHA) > 0
+    met = int(np.bitwise_or.reduce(p))
 
-    def sums(bits: int) -> np.ndarray:
-        return _upto((p & bits) > 0)[stops].astype(float)
-
-    def letters(test: np.ndarray) -> np.ndarray:
-        return _upto(alpha & test)[stops].astype(float)
+    def sums(test: np.ndarray) -> np.ndarray:
+        return _upto(test)[stops].astype(float)
 
     def share(a, b, ok=True):
         return np.where((b > 0) & ok, a / np.maximum(b, 1), 0.0)
 
     out = np.zeros((10, len(stops)))
-    printable = sums(C.PRINTABLE)
-    x = share(_marks(codes, p, n)[stops], printable)
-    out[0] = np.where(x >= 0.3, x, 0)
-    escaped = _upto(codes == 0x1B)[stops] > 0
-    out[2] = np.where(stops > 0, np.where(escaped, 1.0, 8 * sums(C.UNPRINTABLE) / np.maximum(stops, 1)), 0)
-    out[4] = share(2 * _range_pairs(codes, p, n)[stops], printable, printable > 13)
-    count, length, bad, far, invalid = (x[stops] for x in _words(codes, p, n))
-    out[5] = np.where(invalid > 0, 1.0, np.where((count <= 10) & (far == 0), 0.0, bad / np.maximum(length, 1)))
+    printable = sums((p & C.PRINTABLE) > 0)
+    if met & (C.PUNCTUATION | C.SYMBOL):
+        x = share(_marks(codes, p, n)[stops], printable)
+        out[0] = np.where(x >= 0.3, x, 0)
+    if met & C.UNPRINTABLE:
+        out[2] = np.where(sums(codes == 0x1B) > 0, 1.0, 8 * sums((p & C.UNPRINTABLE) > 0) / stops)
+    if not pure_ascii:  # ASCII is one range
+        out[4] = share(2 * _range_pairs(codes, p, n)[stops], printable, printable > 13)
+    # of ASCII, only a symbol inside a word makes it bad
+    marks = ((p & (C.SYMBOL | C.DIGIT | C.PUNCTUATION | C.SEPARATOR | C.SPACE)) == C.SYMBOL) if pure_ascii else alpha
+    if marks.any():
+        count, length, bad, far, invalid = (x[stops] for x in _words(codes, p, n, met))
+        out[5] = np.where(invalid > 0, 1.0, np.where((count <= 10) & (far == 0), 0.0, bad / np.maximum(length, 1)))
     if pure_ascii:
         return out
-    every = letters(np.ones(n, bool))
-    x = share(letters((p & C.ACCENT) > 0), every, every >= 8)
-    out[1] = np.where(x >= 0.35, x, 0)
-    latin = letters((p & C.LATIN) > 0)
-    out[3] = share(2 * _accent_pairs(codes, p, n)[stops], latin)
-    cjk_bits, rare_bits = (p & C.CJK) > 0, (p & C.COMMON) == 0
-    cjk, rare = letters(cjk_bits), letters(cjk_bits & rare_bits)
-    out[6] = np.where(cjk >= 4, np.maximum((2 * rare - cjk) / (5 * np.maximum(cjk, 16)), 0), 0)
-    kana_bits = (p & C.KATAKANA) > 0
-    kana, half = letters(kana_bits), letters(kana_bits & ((p & C.HALFWIDTH) > 0))
-    plain, plain_rare = letters(cjk_bits & ~kana_bits), letters(cjk_bits & ~kana_bits & rare_bits)
-    out[7] = (half >= 4) & (half == kana) & (plain >= 3) & (plain == plain_rare)
-    fed = stops.astype(float)
-    out[8] = share(_case_flips(p, n)[stops], fed)
-    arabic = letters((p & C.ARABIC) > 0)
-    out[9] = share(letters((p & C.ISOLATED) > 0), arabic, arabic >= 8)
+    if met & C.ACCENT:
+        every = sums(alpha)
+        x = share(sums(alpha & ((p & C.ACCENT) > 0)), every, every >= 8)
+        out[1] = np.where(x >= 0.35, x, 0)
+        out[3] = share(2 * _accent_pairs(codes, p, n)[stops], sums(alpha & ((p & C.LATIN) > 0)))
+    if met & C.CJK:
+        ideograph, rare_bits = alpha & ((p & C.CJK) > 0), (p & C.COMMON) == 0
+        cjk, rare = sums(ideograph), sums(ideograph & rare_bits)
+        out[6] = np.where(cjk >= 4, np.maximum((2 * rare - cjk) / (5 * np.maximum(cjk, 16)), 0), 0)
+        if met & C.HALFWIDTH:
+            kana_bits = (p & C.KATAKANA) > 0
+            kana, half = sums(alpha & kana_bits), sums(alpha & ((p & C.HALFWIDTH) > 0))
+            plain, plain_rare = sums(ideograph & ~kana_bits), sums(ideograph & ~kana_bits & rare_bits)
+            out[7] = (half >= 4) & (half == kana) & (plain >= 3) & (plain == plain_rare)
+    out[8] = _case_flips(p, n)[stops] / np.maximum(stops, 1)
+    if met & C.ISOLATED:
+        arabic = sums(alpha & ((p & C.ARABIC) > 0))
+        out[9] = share(sums(alpha & ((p & C.ISOLATED) > 0)), arabic, arabic >= 8)
     return out
 
 

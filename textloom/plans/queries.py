@@ -161,8 +161,8 @@ def code_page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COUNTS = {"n_unprintable": (C.UNPRINTABLE, 0), "n_alpha": (C.ALPHA, 0), "n_accentuated": (C.ALPHA | C.ACCENT, 0), "n_cjk": (C.ALPHA | C.CJK, 0), "n_arabic": (C.ALPHA | C.ARABIC, 0)}
 #: Texts in scripts that the documents lack.
-SAMPLES = [(1, "这是一个简单的句子，龘龖龗。"), (2, "العربية لغة جميلة ﻉ ﺍ ﺏ ﺕ ﺙ"), (3, "ﾅﾓﾉﾔ瘕齴黵 カタカナ"), (4, "niezale¿n¹ ÀÀéé Èè"), (5, "tab\tbell\x07 esc\x1b end"), (6, "")]
-_SAMPLED = "SELECT doc_id, text FROM documents UNION ALL SELECT -id, text FROM (VALUES (1, '这是一个简单的句子，龘龖龗。'), (2, 'العربية لغة جميلة ﻉ ﺍ ﺏ ﺕ ﺙ'), (3, 'ﾅﾓﾉﾔ瘕齴黵 カタカナ'), (4, 'niezale¿n¹ ÀÀéé Èè'), (5, 'tab' || chr(9) || 'bell' || chr(7) || ' esc' || chr(27) || ' end'), (6, '')) AS s(id, text)"
+SAMPLES = [(1, "老城在河边，龘靐齉。"), (2, "المدينة قديمة ﻉ ﺍ ﺏ ﺕ ﺙ"), (3, "ｱｲｳｴ龘靐齉 カタカナ"), (4, "sprzeda¿ ksi¹¿ek ÀÀéé Èè"), (5, "tab\tbell\x07 esc\x1b end"), (6, "")]
+_SAMPLED = "SELECT doc_id, text FROM documents UNION ALL SELECT -id, text FROM (VALUES (1, '老城在河边，龘靐齉。'), (2, 'المدينة قديمة ﻉ ﺍ ﺏ ﺕ ﺙ'), (3, 'ｱｲｳｴ龘靐齉 カタカナ'), (4, 'sprzeda¿ ksi¹¿ek ÀÀéé Èè'), (5, 'tab' || chr(9) || 'bell' || chr(7) || ' esc' || chr(27) || ' end'), (6, '')) AS s(id, text)"
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:

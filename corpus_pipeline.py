@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from textloom.llm import op4_jaccard, op5_decontaminate, op6_language, op7_tokens, op9_mixing
 from textloom.llm.store import Scope
@@ -27,12 +28,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = op4_jaccard.near_duplicates(docs.select("doc_id", "text"))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is not null and n > 1")
-    if repeated.isEmpty():
+    if not _repeated_ids(docs):
         return kept
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
+def _repeated_ids(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -42,10 +46,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; none that it doesn't."""
-    mixed = op9_mixing.mixed(docs.select("doc_id", "text", "source")).where("copies > 0")
-    times = mixed.select(F.col("doc_id"), "row_key", "copies").distinct()
-    keyed = docs.withColumn("row_key", F.xxhash64("text")).join(times, ["doc_id", "row_key"])
-    return keyed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
+    own = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("text"))
+    mixed = op9_mixing.mixed(docs.select("doc_id", "text", "source"))
+    # rows that are alike in id, text and source are told apart by a number; any of them may stand for another
+    alike = W.partitionBy("doc_id", "row_key", "source").orderBy("row_key")
+    place = F.row_number().over(alike) if _repeated_ids(docs) else F.lit(1)
+    taken = mixed.withColumn("place", place).where("copies > 0").select(*(F.col(c).alias(f"m_{c}") for c in ("doc_id", "row_key", "source", "place", "copies")))
+    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in ("doc_id", "source")] + [F.col(c) == F.col(f"m_{c}") for c in ("row_key", "place")]
+    joined = own.withColumn("place", place).join(taken, same[0] & same[1] & same[2] & same[3])
+    return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("m_copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,16 @@ def test_stages(spark, tmp_path):
 def test_rows_that_repeat_an_id(spark):
     df = spark.createDataFrame([(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (None, "x y z w", "en", "s", 7), (2, "a b c d e", "en", "s", 9)], SCHEMA)
     assert sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, df, "").collect()), key=str) == [(1, "a b c d e"), (None, "x y z w")]
+
+
+def test_mixture_of_alike_rows_and_null_ids(spark):
+    rows = [(1, "a b c d", "en", "s", 7)] * 4 + [(None, "x y z", None, None, 5), (2, None, "en", "s", 0), (3, "q " * 40, "en", "t", 80)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA + ", row_key string, copies int")
+    got = P.mixture(spark, df, "")
+    assert got.columns == P.COLUMNS
+    counts = {}
+    for r in got.collect():
+        counts[(r.doc_id, r.text)] = counts.get((r.doc_id, r.text), 0) + 1
+    # sizes 16, 40 and 3 weigh 3, 1 and 2 of 88.5 words, at most 32, 80 and 6
+    assert counts[(1, "a b c d")] == 8 and counts[(None, "x y z")] == 2 and counts[(3, "q " * 40)] in (1, 2)
+    assert P.mixture(spark, df.limit(0), "").count() == 0

@@ -62,8 +62,8 @@ def _crossing(rows: DataFrame, bin_: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weight: Column | None = None, seed: int = SEED) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, and row_key, a hash of
-    the row's text by which rows of one doc_id are told apart."""
+    """For each row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken; copies, how
+    often the mix takes the row; and row_key, a hash of its text by which rows of one doc_id are told apart."""
     with Scope(docs.sparkSession) as scope:
         size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
         u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -90,8 +90,8 @@ def mixed(docs: DataFrame, weight: Column | None = None, seed: int = SEED) -> Da
         before = F.when(F.col("edge").isNull(), F.col("budget") > 0).otherwise((F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (F.col("fine") < F.col("fine_edge"))))
         rest = placed.where(~F.coalesce(in_bin, F.lit(False))).withColumn("more", before.cast("long"))
         every = last.drop("upto").unionByName(rest)
-        return scope.keep(every.select("doc_id", "size", "source_size", "target", ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken"), "row_key", (F.col("epochs") + F.col("more")).alias("copies")))
+        return scope.keep(every.select("doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken"), "row_key", (F.col("epochs") + F.col("more")).alias("copies")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).drop("row_key", "copies")
+    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).drop("source", "row_key", "copies")

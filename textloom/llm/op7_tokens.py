@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .store import delete, shared_dir
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 1
-MOST_WORDS = 1_000_000
+MOST_WORDS = 250_000
 
 _encoders: dict = {}
 

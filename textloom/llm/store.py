@@ -27,9 +27,13 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Of rows that hold whole texts or runs, a Python worker gets so many bytes at once.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 class Scope:
     """``with Scope(spark) as s``: ``s.table(df)`` writes a table and gives it back as read; ``s.keep(df)`` likewise,
-    but that table outlives the scope."""
+    but that table outlives the scope. Inside, Arrow batches are small."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -38,9 +42,15 @@ class Scope:
         self.made = 0
 
     def __enter__(self) -> Scope:
+        self.before = self.spark.conf.get(BATCH[0], None)
+        self.spark.conf.set(*BATCH)
         return self
 
     def __exit__(self, kind, error, trace) -> None:
+        if self.before is None:
+            self.spark.conf.unset(BATCH[0])
+        else:
+            self.spark.conf.set(BATCH[0], self.before)
         delete(self.spark, self.root)
         if error is not None:
             delete(self.spark, self.kept)

@@ -35,9 +35,9 @@ def test_pieces_give_the_same_vectors(monkeypatch):
     import pyarrow as pa
 
     texts = pa.array(["abc def  ghi " * 50, "é è 1 2 x", None, "zz"])
-    whole = np.concatenate([v for _, _, v, _ in L.bundles(texts, L._Cache())])
+    whole = np.concatenate([v for _, _, v, _ in L.bundles(texts)])
     monkeypatch.setattr(L, "PIECE", 17)
-    cut = np.concatenate([v for _, _, v, _ in L.bundles(texts, L._Cache())])
+    cut = np.concatenate([v for _, _, v, _ in L.bundles(texts)])
     assert np.array_equal(whole, cut)
 
 

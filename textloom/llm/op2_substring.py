@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runs as R
+from .memory import steady
 from .store import Scope
 from .words import NONSPACE, window_hashes, words
 
@@ -150,7 +151,7 @@ def _judged(scope: Scope, table: DataFrame, window: int) -> DataFrame:
             keys, twice = _Windows(R.Run(row), window).fingerprints()
             yield from _pieces(row["run_id"], keys, twice, narrow)
 
-    first = R.returned(R.merge(table.mapInArrow(prints, R.PIECE), _repeated_prints), table.drop("size"))
+    first = R.returned(R.merge(table.mapInArrow(steady(prints), R.PIECE), _repeated_prints), table.drop("size"))
 
     def candidates(batches):
         for row in R.each_run(batches):
@@ -166,7 +167,7 @@ def _judged(scope: Scope, table: DataFrame, window: int) -> DataFrame:
             rows = [(-1, row["run_id"], packed, b"")] + [(int(b), row["run_id"], key[edges[b] : edges[b + 1]].tobytes(), check[edges[b] : edges[b + 1]].tobytes() + twice[edges[b] : edges[b + 1]].tobytes()) for b in full]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "run_id", "keys", "more"])
 
-    pieces = scope.table(first.mapInArrow(candidates, R.PIECE))
+    pieces = scope.table(first.mapInArrow(steady(candidates), R.PIECE))
     second = R.merge(pieces.where("bucket >= 0"), _repeated_windows).unionByName(pieces.where("bucket < 0").select("run_id", "bucket", F.col("keys").alias("found")))
     both = R.returned(second, table.drop("size"))
 
@@ -199,7 +200,7 @@ def _judged(scope: Scope, table: DataFrame, window: int) -> DataFrame:
                     sha.append(run.digests[i].hex())
             yield pa.RecordBatch.from_arrays([pa.array(run.digests, pa.binary()), pa.array(run.copies, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["digest", "copies", "n_removed", "kept_sha256", "kept"])
 
-    return both.mapInArrow(removed, "digest binary, copies bigint, n_removed bigint, kept_sha256 string, kept binary")
+    return both.mapInArrow(steady(removed), "digest binary, copies bigint, n_removed bigint, kept_sha256 string, kept binary")
 
 
 def repeated_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -278,7 +279,7 @@ class FingerprintIndex:
                 run = R.Run(row)
                 yield pa.RecordBatch.from_arrays([pa.array(run.ids, pa.int64()), pa.array([run.text(i).decode() for i in range(len(run.ids))], pa.string())], names=["doc_id", "text"])
 
-        once = R.runs(table.mapInArrow(texts, "doc_id bigint, text string"), lower=False, least_words=self.window)
+        once = R.runs(table.mapInArrow(steady(texts), "doc_id bigint, text string"), lower=False, least_words=self.window)
         R.sized(once).write.parquet(f"{self.path}/level-{0:05d}-{uuid.uuid4().hex}")
         for x in old:
             p, fs = self._fs(x)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import runs as R
 from .components import components
+from .memory import steady
 from .store import Scope
 from .words import NONSPACE, Words, window_hashes, words
 
@@ -171,8 +172,8 @@ def _indexed(scope: Scope, table: DataFrame, shingle: int, numerator: int, denom
             ids = pa.array(run.ids, pa.int64(), mask=run.ids == R.NO_ID)
             yield pa.RecordBatch.from_arrays([pa.array(run.digests, pa.binary()), pa.array(uid, pa.int64()), ids, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary()), pa.array(alone, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["digest", "uid", "id", "n", "keys", "z", "alone", "sketch"])
 
-    counted = R.merge(table.mapInArrow(pieces, R.PIECE), _classes)
-    return scope.table(R.returned(counted, table.drop("size")).mapInArrow(texts, TEXT))
+    counted = R.merge(table.mapInArrow(steady(pieces), R.PIECE), _classes)
+    return scope.table(R.returned(counted, table.drop("size")).mapInArrow(steady(texts), TEXT))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int, parts: int) -> DataFrame:
@@ -206,7 +207,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int,
 
     z = texts.select(F.col("uid"), F.col("z"))
     full = pairs.join(z.select(F.col("uid").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("uid").alias("b"), F.col("z").alias("zb")), "b")
-    return full.select("a", "b", "za", "zb").coalesce(parts).mapInArrow(check, "a bigint, b bigint")
+    return full.select("a", "b", "za", "zb").coalesce(parts).mapInArrow(steady(check), "a bigint, b bigint")
 
 
 def _links(scope: Scope, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:

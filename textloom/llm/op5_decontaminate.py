@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import steady
 from .words import ALNUM, LOWER, Words, slices, window_hashes, words
 
 WINDOW, SHINGLE = 10, 3
@@ -184,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sp
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *NAMES[: len(columns) - len(keep)]])
 
     schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep) + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return docs.select(*columns_in).mapInArrow(rows, schema + ", hits array<struct<start:bigint,end:bigint>>, items array<bigint>" * spans)
+    return docs.select(*columns_in).mapInArrow(steady(rows), schema + ", hits array<struct<start:bigint,end:bigint>>, items array<bigint>" * spans)
 
 
 NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"]

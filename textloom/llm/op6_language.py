@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import steady
 from .words import slices
 
 DIMENSIONS = 512
@@ -60,29 +61,7 @@ def trigram_vectors(grams: np.ndarray) -> np.ndarray:
     return np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
 
 
-class _Cache:
-    """Vectors of the trigrams met so far in this worker."""
-
-    def __init__(self, most: int = 40_000):
-        self.most = most
-        self.grams = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, DIMENSIONS), np.float32)
-
-    def rows(self, grams: np.ndarray) -> np.ndarray:
-        """The place of each of the distinct sorted ``grams`` in self.vectors."""
-        new = grams[~np.isin(grams, self.grams, assume_unique=True)]
-        if len(new):
-            if len(self.grams) + len(new) > self.most:
-                self.grams, new = np.zeros(0, np.int64), grams
-                self.vectors = np.zeros((0, DIMENSIONS), np.float32)
-            merged = np.concatenate([self.grams, new])
-            order = np.argsort(merged)
-            self.vectors = np.concatenate([self.vectors, trigram_vectors(new).astype(np.float32)])[order]
-            self.grams = merged[order]
-        return np.searchsorted(self.grams, grams)
-
-
-def bundles(texts: pa.Array, cache: _Cache) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def bundles(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bundled vectors, whether each text has a letter), by slices."""
     symbol, _ = _symbols()
     for low, high, data, offsets in slices(texts, PIECE):
@@ -99,11 +78,11 @@ def bundles(texts: pa.Array, cache: _Cache) -> Iterator[tuple[int, int, np.ndarr
         keep[1:] = (padded[1:] > 0) | (padded[:-1] > 0) | (doc[1:] != doc[:-1])
         padded, doc = padded[keep], doc[keep]
         for at in range(0, len(padded), PIECE):
-            _bundle(padded[at : at + PIECE + 2].astype(np.int64), doc[at : at + PIECE + 2], total, cache)
+            _bundle(padded[at : at + PIECE + 2].astype(np.int64), doc[at : at + PIECE + 2], total)
         yield low, high, total, has
 
 
-def _bundle(s: np.ndarray, doc: np.ndarray, total: np.ndarray, cache: _Cache) -> None:
+def _bundle(s: np.ndarray, doc: np.ndarray, total: np.ndarray) -> None:
     """Add the vectors of the trigrams that begin in all but the last two symbols."""
     inside = (doc[:-2] == doc[2:]) & (s[1:-1] + s[:-2] > 0)
     distinct, of = np.unique(((s[:-2] * CODEBOOK + s[1:-1]) * CODEBOOK + s[2:])[inside], return_inverse=True)
@@ -111,10 +90,10 @@ def _bundle(s: np.ndarray, doc: np.ndarray, total: np.ndarray, cache: _Cache) ->
         return
     pair, counts = np.unique(doc[:-2][inside] * len(distinct) + of, return_counts=True)
     where, gram = pair // len(distinct), pair % len(distinct)
-    place = cache.rows(distinct)
+    vectors = trigram_vectors(distinct).astype(np.float32)
     first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
     for i, j in zip(first.tolist(), [*first[1:].tolist(), len(where)], strict=True):
-        total[where[i]] += counts[i:j].astype(np.float32) @ cache.vectors[place[gram[i:j]]]
+        total[where[i]] += counts[i:j].astype(np.float32) @ vectors[gram[i:j]]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -125,16 +104,16 @@ def learn(docs: DataFrame, training: Column) -> dict[str, np.ndarray]:
     """Prototypes of the languages of the rows of ``docs`` (text, lang) where ``training`` holds."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = _Cache(), {}
+        total = {}
         for b in batches:
-            for low, high, vectors, has in bundles(b.column(0), cache):
+            for low, high, vectors, has in bundles(b.column(0)):
                 langs = np.array(b.column(1).slice(low, high - low).to_pylist(), dtype=object)
                 unit = np.rint(_unit(vectors) * SCALE).astype(np.int64)
                 for lang in set(langs[has]):
                     total[lang] = total.get(lang, 0) + unit[has & (langs == lang)].sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    each = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(sums, "lang string, v array<bigint>")
+    each = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(steady(sums), "lang string, v array<bigint>")
     added = each.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = added.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
     found = {r["lang"]: np.array([x["x"] for x in r["v"]], np.float64) for r in rows}
@@ -154,9 +133,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     column = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Cache()
         for b in batches:
-            for low, high, vectors, has in bundles(b.column(column), cache):
+            for low, high, vectors, has in bundles(b.column(column)):
                 if langs:
                     cosine = _unit(vectors) @ matrix.T
                     best = cosine.argmax(axis=1)
@@ -168,7 +146,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(rows, schema + ", lang_pred string, score double")
+    return docs.mapInArrow(steady(rows), schema + ", lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import steady
 from .store import delete, shared_dir
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 1
@@ -149,7 +150,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, size: int = SEQU
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    return sorted(tuple(r) for r in dealt.mapInArrow(write, "part bigint, path string, n bigint").collect())
+    return sorted(tuple(r) for r in dealt.mapInArrow(steady(write), "part bigint, path string, n bigint").collect())
 
 
 class TokenFile:
@@ -200,7 +201,7 @@ def read_tokens(spark: SparkSession, parts: list[tuple[int, str, int]]) -> DataF
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     if not parts:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(listed, "path string, start bigint").repartition(len(parts), "path").mapInArrow(read, schema)
+    return spark.createDataFrame(listed, "path string, start bigint").repartition(len(parts), "path").mapInArrow(steady(read), schema)
 
 
 def tokenized(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None) -> DataFrame:

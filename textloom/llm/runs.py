@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release, steady
+
 RUN_BYTES, RUN_TEXTS = 2 << 20, 1 << 16
 KEYS_PER_BUCKET = 2_000_000
 #: In a run, stands for null.
@@ -49,7 +51,7 @@ def members(docs: DataFrame, lower: bool, texts: bool) -> DataFrame:
             columns = [b.column(0), pa.array(digest, pa.binary()), pa.array(count, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(packed, pa.binary())] * texts, names=["doc_id", "digest", "n_words", "z"][: 3 + texts])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(rows, MEMBER + ", z binary" * texts)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(steady(rows), MEMBER + ", z binary" * texts)
 
 
 def runs(docs: DataFrame, lower: bool, least_words: int = 1) -> DataFrame:
@@ -81,7 +83,7 @@ def runs(docs: DataFrame, lower: bool, least_words: int = 1) -> DataFrame:
         if held:
             yield flush()
 
-    return distinct.select("digest", "id", "copies", "n_words", "z").mapInArrow(packed, RUN)
+    return distinct.select("digest", "id", "copies", "n_words", "z").mapInArrow(steady(packed), RUN)
 
 
 def sized(table: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def sized(table: DataFrame) -> DataFrame:
             size = [int(np.frombuffer(x.as_buffer(), np.int64).sum()) for x in b.column(RUN_COLUMNS.index("n_words"))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size, pa.int64())], names=[*RUN_COLUMNS, "size"])
 
-    return table.mapInArrow(add, RUN + ", size bigint")
+    return table.mapInArrow(steady(add), RUN + ", size bigint")
 
 
 class Run:
@@ -141,6 +143,7 @@ def merge(pieces: DataFrame, found: Callable[[list[dict]], list[bytes]]) -> Data
     """``found`` gets the pieces of one bucket, and returns for each the bytes that go back to its run."""
 
     def of(table: pa.Table) -> pa.Table:
+        release()
         rows = table.to_pylist()
         out = found(rows)
         return pa.table({"run_id": pa.array([r["run_id"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "found": pa.array(out, pa.binary())})

@@ -37,9 +37,9 @@ def test_sequences_are_slices_of_the_file(spark, tmp_path):
         for i in range(len(file)):
             ids, mask = file[i]
             assert len(ids) == len(mask) == 64 and not ids.flags.owndata
-            count += int(mask.sum())
-            assert mask.all() or i == len(file) - 1
-        assert n == sum(int(file[i][1].sum()) for i in range(len(file)))
+            count += mask.true_count
+            assert mask.true_count == 64 or i == len(file) - 1
+        assert n == sum(file[i][1].true_count for i in range(len(file)))
     assert count == total
 
 

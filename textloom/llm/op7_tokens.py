@@ -2,7 +2,8 @@
 
 Documents are dealt out in ranges of doc_id and sorted; each task encodes its documents one after the other, ends each
 with the end id, cuts the ids into sequences of SEQUENCE ids, and writes them as one Arrow IPC stream file: record
-batches of ``ids`` (fixed_size_list<uint32>) and ``mask`` (fixed_size_list<uint8>, 0 where the last sequence is padded).
+batches of ``ids`` (fixed_size_list<uint16>, uint32 for vocabularies over 65,536) and ``mask`` (fixed_size_list<bool>, false
+where the last sequence is padded). The size is a multiple of 8, so that masks begin at bytes.
 Every batch but the last has BATCH sequences and no nulls, so sequence i of a mapped file is a slice of a buffer, without
 a copy. Beside it lies ``.docs``, a stream of (doc_id, first, n_tokens) with each document's place in the file.
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import steady
-from .store import delete, shared_dir
+from .store import delete, shared_dir, small_batches
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 1
 MOST_WORDS = 250_000
@@ -42,7 +43,7 @@ _encoders: dict = {}
 
 
 class Encoder(dict):
-    """From a word (bytes) to its ids, each word encoded once."""
+    """From a word (bytes) to its ids as little-endian integers, each word encoded once."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -50,18 +51,17 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def __missing__(self, word: bytes) -> list[int]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MOST_WORDS:
             self.clear()
-        self[word] = ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return ids
+        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        self[word] = packed = np.array(ids, self.kind).tobytes()
+        return packed
 
-    def ids(self, text: bytes) -> list[int]:
-        out: list[int] = []
-        for word in text.split():
-            out += self[word]
-        return out
+    def ids(self, text: bytes, end: bytes = b"") -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())) + end, self.kind)
 
 
 def encoder(path: str) -> Encoder:
@@ -74,15 +74,17 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def _schema(size: int) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.uint32(), size), nullable=False), pa.field("mask", pa.list_(pa.uint8(), size), nullable=False)])
+def _schema(size: int, kind: np.dtype) -> pa.Schema:
+    return pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(kind), size), nullable=False), pa.field("mask", pa.list_(pa.bool_(), size), nullable=False)])
 
 
 class SequenceWriter:
     """Cuts a stream of ids into sequences and writes them in batches; holds one batch."""
 
-    def __init__(self, sink, size: int):
-        self.size, self.schema = size, _schema(size)
+    def __init__(self, sink, size: int, kind: np.dtype):
+        if size % 8:
+            raise ValueError("sequences have a multiple of 8 ids")
+        self.size, self.schema = size, _schema(size, kind)
         self.out = pa.ipc.new_stream(sink, self.schema)
         self.held: list[np.ndarray] = []
         self.n = 0
@@ -98,7 +100,7 @@ class SequenceWriter:
         used = every[: sequences * self.size]
         for at in range(0, len(used), self.size * BATCH):
             part = used[at : at + self.size * BATCH]
-            self._batch(part, np.ones(len(part), np.uint8))
+            self._batch(part, np.ones(len(part), bool))
         rest = every[sequences * self.size :]
         self.held, self.n = [rest], len(rest)
 
@@ -110,7 +112,7 @@ class SequenceWriter:
         if self.n:
             ids = np.concatenate(self.held)
             room = -len(ids) % self.size
-            self._batch(np.pad(ids, (0, room)).astype(np.uint32), np.pad(np.ones(len(ids), np.uint8), (0, room)))
+            self._batch(np.pad(ids, (0, room)), np.pad(np.ones(len(ids), bool), (0, room)))
         self.out.close()
 
 
@@ -122,6 +124,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, size: int = SEQU
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, context, fs, writer = encoder(vocabulary), TaskContext.get(), None, None
+        end = np.array([end_id], encode.kind).tobytes()
         first = 0
         for b in batches:
             if not b.num_rows:
@@ -131,12 +134,11 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, size: int = SEQU
                 fs, path = open_store(name)
                 fs.create_dir(os.path.dirname(path), recursive=True)
                 sink, index = fs.open_output_stream(path + ".arrows"), fs.open_output_stream(path + ".docs")
-                writer, places = SequenceWriter(sink, size), pa.ipc.new_stream(index, DOCS)
+                writer, places = SequenceWriter(sink, size, encode.kind), pa.ipc.new_stream(index, DOCS)
             ids, firsts, counts = b.column(0), [], []
             for x in b.column(1):
-                own = encode.ids(x.as_buffer().to_pybytes() if x.is_valid else b"")
-                own.append(end_id)
-                writer.add(np.array(own, np.uint32))
+                own = encode.ids(x.as_buffer().to_pybytes() if x.is_valid else b"", end)
+                writer.add(own)
                 firsts.append(first)
                 counts.append(len(own))
                 first += len(own)
@@ -150,11 +152,13 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, size: int = SEQU
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    return sorted(tuple(r) for r in dealt.mapInArrow(steady(write), "part bigint, path string, n bigint").collect())
+    with small_batches(docs.sparkSession):
+        return sorted(tuple(r) for r in dealt.mapInArrow(steady(write), "part bigint, path string, n bigint").collect())
 
 
 class TokenFile:
-    """A written file, mapped where the store allows it: ``[i]`` is the ids and mask of sequence i, without a copy."""
+    """A written file, mapped where the store allows it: ``[i]`` is the ids of sequence i, a view of the file, and its mask,
+    an Arrow array that is one too."""
 
     def __init__(self, path: str):
         fs, name = open_store(path)
@@ -166,11 +170,12 @@ class TokenFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         b, at = self.batches[i // self.full], i % self.full
         ids, mask = (b.column(k) for k in (0, 1))
         size = ids.type.list_size
-        return tuple(x.values.slice((x.offset + at) * size, size).to_numpy(zero_copy_only=True) for x in (ids, mask))
+        own, shown = (x.values.slice((x.offset + at) * size, size) for x in (ids, mask))
+        return own.to_numpy(zero_copy_only=True), shown
 
     def ids(self, first: int, n: int) -> np.ndarray:
         """n ids from a place in the file on."""
@@ -181,7 +186,7 @@ class TokenFile:
             part = own[first % size : first % size + n]
             out.append(part)
             first, n = first + len(part), n - len(part)
-        return out[0] if len(out) == 1 else np.concatenate(out or [np.zeros(0, np.uint32)])
+        return out[0] if len(out) == 1 else np.concatenate(out or [np.zeros(0, np.uint16)])
 
 
 def read_tokens(spark: SparkSession, parts: list[tuple[int, str, int]]) -> DataFrame:
@@ -195,7 +200,7 @@ def read_tokens(spark: SparkSession, parts: list[tuple[int, str, int]]) -> DataF
                 file = TokenFile(path)
                 for docs in file.docs:
                     first, n = (docs.column(k).to_numpy() for k in (1, 2))
-                    crc = [zlib.crc32(np.ascontiguousarray(file.ids(int(f), int(k)), "<u4")) for f, k in zip(first, n, strict=True)]
+                    crc = [zlib.crc32(file.ids(int(f), int(k)).astype("<u4")) for f, k in zip(first, n, strict=True)]
                     yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(first + start, pa.int64()), docs.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,19 @@ def delete(spark: SparkSession, path: str) -> None:
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(BATCH[0], None)
+    spark.conf.set(*BATCH)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH[0])
+        else:
+            spark.conf.set(BATCH[0], before)
+
+
 class Scope:
     """``with Scope(spark) as s``: ``s.table(df)`` writes a table and gives it back as read; ``s.keep(df)`` likewise,
     but that table outlives the scope. Inside, Arrow batches are small."""
@@ -42,15 +57,12 @@ class Scope:
         self.made = 0
 
     def __enter__(self) -> Scope:
-        self.before = self.spark.conf.get(BATCH[0], None)
-        self.spark.conf.set(*BATCH)
+        self.batches = small_batches(self.spark)
+        self.batches.__enter__()
         return self
 
     def __exit__(self, kind, error, trace) -> None:
-        if self.before is None:
-            self.spark.conf.unset(BATCH[0])
-        else:
-            self.spark.conf.set(BATCH[0], self.before)
+        self.batches.__exit__(None, None, None)
         delete(self.spark, self.root)
         if error is not None:
             delete(self.spark, self.kept)

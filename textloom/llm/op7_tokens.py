@@ -37,7 +37,9 @@ from .memory import steady
 from .store import delete, shared_dir, small_batches
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 1
-MOST_WORDS = 250_000
+MOST_WORDS = 400_000
+#: Words and texts that are encoded in one go.
+WORDS_AT_ONCE, TEXTS_AT_ONCE = 4096, 1024
 
 _encoders: dict = {}
 
@@ -53,15 +55,29 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MOST_WORDS:
+    def learn(self, words: set[bytes]) -> None:
+        """Encode the new ones of the words, many as one text: tokens belong to the word that they begin in."""
+        new = list(words.difference(self))
+        if len(self) + len(new) > MOST_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[word] = packed = np.array(ids, self.kind).tobytes()
-        return packed
-
-    def ids(self, text: bytes, end: bytes = b"") -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())) + end, self.kind)
+            new = list(words)
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            some = new[at : at + WORDS_AT_ONCE]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+            cuts = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids)), begins).tolist()
+            for word, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                self[word] = ids[a:b].tobytes()
+
+    def batch(self, texts: list[bytes], end: bytes) -> Iterator[np.ndarray]:
+        """The ids of each text, with the end."""
+        split = [t.split() for t in texts]
+        self.learn(set().union(*split))
+        get = self.__getitem__
+        for words in split:
+            yield np.frombuffer(b"".join(map(get, words)) + end, self.kind)
 
 
 def encoder(path: str) -> Encoder:
@@ -135,14 +151,16 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, size: int = SEQU
                 fs.create_dir(os.path.dirname(path), recursive=True)
                 sink, index = fs.open_output_stream(path + ".arrows"), fs.open_output_stream(path + ".docs")
                 writer, places = SequenceWriter(sink, size, encode.kind), pa.ipc.new_stream(index, DOCS)
-            ids, firsts, counts = b.column(0), [], []
-            for x in b.column(1):
-                own = encode.ids(x.as_buffer().to_pybytes() if x.is_valid else b"", end)
-                writer.add(own)
-                firsts.append(first)
-                counts.append(len(own))
-                first += len(own)
-            places.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(firsts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
+            for low in range(0, b.num_rows, TEXTS_AT_ONCE):
+                some = b.slice(low, TEXTS_AT_ONCE)
+                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in some.column(1)]
+                firsts, counts = [], []
+                for own in encode.batch(texts, end):
+                    writer.add(own)
+                    firsts.append(first)
+                    counts.append(len(own))
+                    first += len(own)
+                places.write_batch(pa.RecordBatch.from_arrays([some.column(0), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
         if writer is not None:
             writer.close()
             places.close()

@@ -37,7 +37,7 @@ from .memory import steady
 from .store import delete, shared_dir, small_batches
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 1
-MOST_WORDS = 400_000
+MOST_WORDS = 800_000
 #: Words and texts that are encoded in one go.
 WORDS_AT_ONCE, TEXTS_AT_ONCE = 4096, 1024
 
@@ -63,13 +63,15 @@ class Encoder(dict):
             new = list(words)
         for at in range(0, len(new), WORDS_AT_ONCE):
             some = new[at : at + WORDS_AT_ONCE]
-            texts = [w.decode("utf-8", "replace") for w in some]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, self.kind)
-            begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-            cuts = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids)), begins).tolist()
-            for word, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
-                self[word] = ids[a:b].tobytes()
+            joined = b" ".join(some)
+            found = self.tokenizer.encode(joined.decode("utf-8", "replace"), add_special_tokens=False)
+            # where words begin, in characters
+            ends = np.cumsum([0, *(len(w) + 1 for w in some)])
+            begins = np.concatenate([[0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80), [len(joined) + 1]])[ends]
+            cuts = np.searchsorted(np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0], begins) * self.kind.itemsize
+            packed = np.array(found.ids, self.kind).tobytes()
+            cuts = cuts.tolist()
+            self.update(zip(some, map(packed.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
 
     def batch(self, texts: list[bytes], end: bytes) -> Iterator[np.ndarray]:
         """The ids of each text, with the end."""

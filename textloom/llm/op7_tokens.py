@@ -37,7 +37,7 @@ from .memory import steady
 from .store import delete, shared_dir, small_batches
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 1
-MOST_WORDS = 800_000
+MOST_WORDS = 200_000
 #: Words and texts that are encoded in one go.
 WORDS_AT_ONCE, TEXTS_AT_ONCE = 4096, 1024
 

@@ -54,3 +54,12 @@ def test_consistency_factor():
 
 def test_empty(spark):
     assert Q.judged(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_third_of_copies_of_one_outlier_go(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(60, 400)))
+    junk = " ".join(x + "###" for x in prose().split())
+    rows = [(i, prose(), "en", "a") for i in range(200)] + [(1000 + i, junk, "en", "a") for i in range(95)]
+    got = run(spark, rows)
+    assert all(got[i][6] for i in range(200)) and not any(got[1000 + i][6] for i in range(95))

@@ -3,8 +3,11 @@
 Base rules come first: fewer than 50 words, or more than half of the words under repeated 3-word windows, fail. Of the
 others, five transformed statistics make a vector: log of the number of words, characters a word, and the square roots
 of symbols a character, repeated lines a line, and repeated words a word. For each language and source the minimum
-covariance determinant is estimated: from the medians and quartile ranges as a start, STEPS concentration steps each
-take the three quarters of the documents nearest to the last estimate and estimate mean and covariance again. A document
+covariance determinant is estimated: concentration steps each take the half of the documents nearest to the last estimate
+and estimate mean and covariance again, until no group's determinant falls, STEPS at most. There are two starts, which
+less than half of a group can't carry off: the shortest half of each statistic, and medians with median deviations; the
+smaller determinant decides. Of documents as far as the edge of the half, all count by the part that fills it, so a
+block of copies doesn't enter whole. A document
 over CUTOFF in squared Mahalanobis distance (for the normal law, one clean document in a thousand million) is rejected.
 
 FLOORS are the least standard deviations a statistic is taken to have: below them, differences are no reason to reject
@@ -28,7 +31,9 @@ from pyspark.sql import Window as W
 from .store import Scope
 
 SPACES = " \t\n\x0b\x0c\r"
-STEPS, SHARE, LEAST, CUTOFF = 3, 0.75, 50, 50.0
+STEPS, SHARE, LEAST, CUTOFF = 12, 0.5, 50, 50.0
+#: Parts of a distribution, in which its shortest half is looked for.
+PARTS = 32
 UNIT = 1000
 FLOORS = {"v_words": 1.0, "v_length": 0.4, "v_symbols": 0.03, "v_lines": 0.15, "v_repeats": 0.15}
 NAMES = list(FLOORS)
@@ -80,13 +85,39 @@ def _vector() -> list[Column]:
     return [F.round(x * UNIT).cast("long").alias(name) for x, name in zip(of, NAMES, strict=True)]
 
 
-def _quantile(counts: DataFrame, group: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The smallest ``value`` up to which ``share`` of the group's count n lies. ``counts`` is a histogram: as many rows
-    as there are values, however large the group."""
+def _reached(counts: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``counts`` with upto, the sum of n up to its ``value``, and all, the group's. It is a histogram: as many rows as
+    there are values, however large the group."""
     up = W.partitionBy(*group).orderBy(value)
-    whole = W.partitionBy(*group)
-    reached = counts.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(whole)).where(F.col("upto") >= F.lit(share) * F.col("all"))
-    return reached.groupBy(*group).agg(F.min(value).alias(name))
+    return counts.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(W.partitionBy(*group)))
+
+
+def _starts(long: DataFrame) -> DataFrame:
+    """From (group, i, v, n): the two starts of each group, named by #0 or #1 after it."""
+    marks = _reached(long, ["group", "i"], "v").groupBy("group", "i").agg(F.array(*(F.min(F.when(F.col("upto") * PARTS >= F.col("all") * p, F.col("v"))) for p in range(PARTS + 1))).alias("q"))
+    halves = F.expr(f"array_min(transform(sequence(0, {PARTS - PARTS // 2}), p -> struct(q[p + {PARTS // 2}] - q[p] as wide, (q[p + {PARTS // 2}] + q[p]) / 2 as mid)))")
+    marks = marks.select("group", "i", halves.alias("h"), F.col("q")[PARTS // 2].alias("median"))
+    apart = long.join(marks.select("group", "i", "median"), ["group", "i"]).groupBy("group", "i", F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("n").alias("n"))
+    apart = _reached(apart, ["group", "i"], "v").where(F.col("upto") * 2 >= F.col("all")).groupBy("group", "i").agg(F.min("v").alias("apart"))
+    each = marks.join(apart, ["group", "i"])
+    each = each.select(F.concat("group", F.lit("#0")).alias("group"), "i", F.col("h.mid").cast("double").alias("m"), (F.col("h.wide") / 1.349).alias("sd")).unionByName(each.select(F.concat("group", F.lit("#1")).alias("group"), "i", F.col("median").cast("double").alias("m"), (F.col("apart") * 1.4826).alias("sd")))
+    k = len(NAMES)
+    floor = [F.lit((FLOORS[x] * UNIT) ** 2) for x in NAMES]
+    start = each.groupBy("group").agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m_{i}") for i in range(k)), *(F.greatest(F.max(F.when(F.col("i") == i, F.col("sd") * F.col("sd"))), floor[i]).alias(f"c_{i}{i}") for i in range(k)))
+    return _factored(start.withColumns({f"c_{i}{j}": F.lit(0.0) for i in range(k) for j in range(i)}))
+
+
+def _nearest(placed: DataFrame) -> DataFrame:
+    """n, sums s_i and products p_ij of the nearest SHARE of each group's vectors (of n rows each)."""
+    k = len(NAMES)
+    reached = _reached(placed.groupBy("group", "bin").agg(F.sum("n").alias("n")), ["group"], "bin").where(F.col("upto") >= SHARE * F.col("all"))
+    edge = reached.groupBy("group").agg(F.min(F.struct("bin", (1 - (F.col("upto") - SHARE * F.col("all")) / F.col("n")).alias("part"))).alias("e")).select("group", F.col("e.bin").alias("edge"), "e.part")
+
+    def total(x: Column) -> Column:  # whole numbers are summed, so the order of rows doesn't matter
+        return F.coalesce(F.sum(F.when(F.col("bin") < F.col("edge"), F.col("n") * x)), F.lit(0)) + F.max("part") * F.coalesce(F.sum(F.when(F.col("bin") == F.col("edge"), F.col("n") * x)), F.lit(0))
+
+    near = placed.join(edge, "group").where("bin <= edge")
+    return near.groupBy("group").agg(total(F.lit(1)).alias("n"), *(total(F.col(x)).alias(f"s_{i}") for i, x in enumerate(NAMES)), *(total(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p_{i}{j}") for i in range(k) for j in range(i + 1)))
 
 
 def _chi2_share(p: int, x: float) -> float:
@@ -150,24 +181,32 @@ def judged(docs: DataFrame) -> DataFrame:
         stats = s.table(base.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), F.to_json(key).alias("own"), *_vector()))
         sizes = stats.where("not base_failed").groupBy("own").agg(F.count(F.lit(1)).alias("size"))
         pooled = s.table(sizes.select("own", F.when(F.col("size") >= LEAST, F.col("own")).otherwise("").alias("group")))
-        vectors = stats.where("not base_failed").join(pooled, "own").select("group", *NAMES)
-        # the start: medians, and quartile ranges as standard deviations
-        long = vectors.select("group", F.posexplode(F.array(*NAMES)).alias("i", "v")).groupBy("group", "i", "v").agg(F.count(F.lit(1)).alias("n"))
-        long = s.table(long)
-        marks = [_quantile(long, ["group", "i"], "v", q, x) for q, x in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
-        wide = marks[0].join(marks[1], ["group", "i"]).join(marks[2], ["group", "i"]).groupBy("group")
-        floor = [F.lit((FLOORS[x] * UNIT) ** 2) for x in NAMES]
-        start = wide.agg(*(F.max(F.when(F.col("i") == i, F.col("q2"))).cast("double").alias(f"m_{i}") for i in range(k)), *(F.greatest(F.max(F.when(F.col("i") == i, F.pow((F.col("q3") - F.col("q1")) / 1.349, 2))), floor[i]).alias(f"c_{i}{i}") for i in range(k)))
-        start = start.withColumns({f"c_{i}{j}": F.lit(0.0) for i in range(k) for j in range(i)})
-        estimates = s.table(_factored(start))
+        vectors = s.table(stats.where("not base_failed").join(pooled, "own").groupBy("group", *NAMES).agg(F.count(F.lit(1)).alias("n")))
+        large = vectors.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("group")
+        vectors = vectors.join(large, "group")
+        long = s.table(vectors.select("group", "n", F.posexplode(F.array(*NAMES)).alias("i", "v")).groupBy("group", "i", "v").agg(F.sum("n").alias("n")))
+        estimates = s.table(_starts(long))
+        both = vectors.withColumn("group", F.explode(F.array(*(F.concat("group", F.lit(x)) for x in ("#0", "#1")))))
+        size = sum((F.log(f"l_{i}{i}") for i in range(k)), F.lit(0.0))
         for step in range(STEPS):
-            placed = _distances(vectors, estimates).withColumn("bin", _bin(F.col("d2")))
-            edge = _quantile(placed.groupBy("group", "bin").agg(F.count(F.lit(1)).alias("n")), ["group"], "bin", SHARE, "edge")
-            near = placed.join(edge, "group").where("bin <= edge")
-            sums = near.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s_{i}") for i, x in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p_{i}{j}") for i in range(k) for j in range(i + 1)))
-            if step == STEPS - 1:  # three quarters of a group of LEAST documents or more
-                sums = sums.where(F.col("n") >= SHARE * LEAST)
-            estimates = s.table(_estimate(sums, consistency(k, SHARE)))
+            placed = _distances(both, estimates).withColumn("bin", _bin(F.col("d2")))
+            new = _estimate(_nearest(placed), consistency(k, SHARE)).withColumn("size", size)
+            if step:  # the start is no group's half, so its determinant says nothing
+                new = new.join(estimates.select("group", F.col("size").alias("before")), "group").withColumn("fell", F.col("size") < F.col("before") - 1e-6).drop("before")
+            else:
+                new = new.withColumn("fell", F.lit(True))
+            new = s.table(new)
+            if step:
+                stay = estimates.join(new.where("not fell").select("group"), "group")
+                estimates = new.where("fell").drop("fell").unionByName(stay)
+                if new.where("fell").isEmpty():
+                    break
+                estimates = s.table(estimates)
+            else:
+                estimates = new.drop("fell")
+        values = [c for c in estimates.columns if c not in ("group", "size")]
+        best = estimates.groupBy(F.expr("substring(group, 1, length(group) - 2)").alias("group")).agg(F.min(F.struct("size", *values)).alias("best"))
+        estimates = best.select("group", *(f"best.{c}" for c in values))
         grouped = stats.join(pooled, "own", "left").withColumn("group", F.when(~F.col("base_failed"), F.col("group")))
         far = _distances(grouped, estimates)
         return s.keep(far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)).alias("kept"), "d2"))

@@ -63,3 +63,21 @@ def test_a_third_of_copies_of_one_outlier_go(spark):
     rows = [(i, prose(), "en", "a") for i in range(200)] + [(1000 + i, junk, "en", "a") for i in range(95)]
     got = run(spark, rows)
     assert all(got[i][6] for i in range(200)) and not any(got[1000 + i][6] for i in range(95))
+
+
+def test_repeated_lines_go_from_a_clean_group(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9)))
+    lines = lambda n: [" ".join(word() for _ in range(14)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(10)), "en", "a") for i in range(100)]
+    short = [word() + " " + word() for _ in range(4)]
+    rows += [(1000 + i, "\n".join([*lines(4), *(x for x in short[:2] for _ in range(4))]), "en", "a") for i in range(3)]
+    rows += [(2000, "\n".join([*(own := lines(9)), own[0].split()[0], own[0].split()[0]]), "en", "a")]
+    got = run(spark, rows)
+    assert [got[1000 + i][3] for i in range(3)] == [6] * 3 and not any(got[1000 + i][5] for i in range(3))
+    assert not any(got[1000 + i][6] for i in range(3)) and got[2000][3] == 1
+    assert all(got[i][6] for i in range(100)) and got[2000][6]
+
+
+def test_cutoff_is_its_quantile():
+    assert abs(Q._chi2_share(5, Q.CUTOFF) - (1 - 1e-6)) < 1e-9

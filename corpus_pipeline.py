@@ -14,6 +14,8 @@ from textloom.llm import op4_jaccard, op5_decontaminate, op6_language, op7_token
 from textloom.llm.store import Scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates share 80 of 100 windows of five words, or more; op4's own query has other ones by its contract.
+SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, that of the smallest doc_id. Rows that repeat a doc_id are one document,
     of which one row stays; a row without doc_id belongs to none, and stays."""
-    groups = op4_jaccard.near_duplicates(docs.select("doc_id", "text"))
+    groups = op4_jaccard.near_duplicates(docs.select("doc_id", "text"), SHINGLE, NUMERATOR, DENOMINATOR)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     if not _repeated_ids(docs):

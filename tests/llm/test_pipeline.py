@@ -60,3 +60,17 @@ def test_mixture_of_alike_rows_and_null_ids(spark):
     # sizes 16, 40 and 3 weigh 3, 1 and 2 of 88.5 words, at most 32, 80 and 6
     assert counts[(1, "a b c d")] == 8 and counts[(None, "x y z")] == 2 and counts[(3, "q " * 40)] in (1, 2)
     assert P.mixture(spark, df.limit(0), "").count() == 0
+
+
+def test_copies_of_five_word_similarity_over_0_8_are_one(spark):
+    def similarity(a, b, n):
+        x, y = ({tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    words = [f"w{i}" for i in range(204)]
+    near = [f"e{i}" if i in (50, 100, 150, 200) else w for i, w in enumerate(words)]
+    far = [f"f{i}" if i % 35 == 20 else w for i, w in enumerate(words)]
+    a, b, c = (" ".join(x) for x in (words, near, far))
+    assert 0.81 < similarity(a, b, 5) < 0.83 and similarity(a, b, 3) < 0.9 and similarity(a, c, 5) < 0.8 and similarity(b, c, 5) < 0.8
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate((a, b, c))], SCHEMA)
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, df, "").collect()) == [0, 2]

@@ -157,6 +157,18 @@ def code_page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.code_page_similarity(pages)
 
 
+_PAGES = literal([(e, i, None if c is None else ord(c)) for e in T.candidates() if not T.is_multi_byte(e) for i, c in enumerate(T.code_page(e))])
+
+
+@query(
+    f"""WITH p(encoding, byte, character) AS (VALUES {_PAGES})
+    SELECT a.encoding AS a, b.encoding AS b, sum((a.character IS NOT DISTINCT FROM b.character)::INT) / count(*) AS similarity FROM p a JOIN p b ON a.byte = b.byte AND a.encoding <> b.encoding GROUP BY ALL"""
+)
+def code_page_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All single-byte encodings, over all 256 bytes."""
+    return P.code_page_similarity(P.code_pages(spark))
+
+
 # Noise
 
 _COUNTS = {"n_unprintable": (C.UNPRINTABLE, 0), "n_alpha": (C.ALPHA, 0), "n_accentuated": (C.ALPHA | C.ACCENT, 0), "n_cjk": (C.ALPHA | C.CJK, 0), "n_arabic": (C.ALPHA | C.ARABIC, 0)}

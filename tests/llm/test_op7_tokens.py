@@ -51,3 +51,40 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty(spark):
     assert T.tokenized(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_folder_opens_by_its_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"some words {i}") for i in range(50)], "doc_id bigint, text string").repartition(3)
+    folder = f"file://{tmp_path}/out"
+    T.write_tokens(df, folder, PATH, size=64)
+    # an attempt that was lost left files
+    (tmp_path / "out" / "part-000000-99-deadbeef.arrows").write_bytes(b"half")
+    (tmp_path / "out" / "part-000000-99-deadbeef.docs").write_bytes(b"")
+    got = sorted(tuple(r) for r in T.open_tokens(spark, folder).collect())
+    assert [r[1:] for r in got] == expected([f"some words {i}" for i in range(50)])
+    told = T.manifest(folder)
+    assert told["sequence"] == 64 and told["end_id"] == 1 and told["vocabulary"] == "word_bpe_49k.json" and sum(x["ids"] for x in told["files"]) == sum(r[2] for r in got)
+
+
+def test_words_by_the_short_way_and_forgotten_ones(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    letters = "abcXYZéÉßØ'.,!#<|>0İſ日́ "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(500)]
+    monkeypatch.setattr(T, "REMEMBERED", 50)
+    monkeypatch.setattr(T, "PIECE", 100)
+    e = T.Encoder(PATH)
+    assert e.plain is not None
+    got, goes_on = [], False
+    for some, on in T.pieces(pa.array([*texts, " ".join(texts), None])):
+        ids, counts = e.texts(some, b"")
+        each = [list(x) for x in __import__("numpy").split(ids, counts.cumsum()[:-1])]
+        if goes_on:
+            got[-1] += each.pop(0)
+        got += each
+        goes_on = on
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, " ".join(texts), ""]]
+    assert got == want

@@ -7,20 +7,27 @@ where the last sequence is padded). The size is a multiple of 8, so that masks b
 Every batch but the last has BATCH sequences and no nulls, so sequence i of a mapped file is a slice of a buffer, without
 a copy. Beside it lies ``.docs``, a stream of (doc_id, first, n_tokens) with each document's place in the file.
 
-Files are written under a name of the task's attempt and listed by what the task returns, so an attempt that is
-lost or run twice leaves nothing that is read. The folder may be in any store that pyarrow opens.
-
-The text is split at white space (0x20, 0x09-0x0D), across which this tokenizer never joins, and each distinct word is
-encoded once by the library; a worker keeps MOST_WORDS of them. A text in which a special token's own text might
-reach over white space can't be met, as none of them has any.
-
-Null and empty texts are the end id alone. Documents of one doc_id follow each other in order of their text; null ids
-come first. An empty table makes no file and no rows; extra columns are ignored.
+Files are written under a name of the task's attempt. When all tasks are done, ``manifest.json`` lists the files that
+count, in order, with the vocabulary, the end id and the sizes: a folder is whole if it has one, and
+:func:`open_tokens` needs nothing else. What lost or repeated attempts left beside them is never read. The folder may be in
+any store that pyarrow opens.
+
+The text is split at white space (0x20, 0x09-0x0D), across which this tokenizer never joins. Each slice of a batch is
+reduced to its distinct words; a worker encodes those that it doesn't know by the library, many at once, and remembers
+words in two generations of REMEMBERED: the older goes when the younger is full, and what is used comes back.
+A text in which a special token's own text might reach over white space can't be met, as none of them has any.
+
+Null and empty texts are the end id alone. Documents of one doc_id follow each other by a hash of their text, then the
+text; null ids come first. Texts of any length are encoded in pieces, cut at white space. An empty table makes no file and
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +35,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,51 +43,125 @@ from pyspark.sql import functions as F
 
 from .memory import steady
 from .store import delete, shared_dir, small_batches
+from .words import slices
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 1
-MOST_WORDS = 200_000
-#: Words and texts that are encoded in one go.
-WORDS_AT_ONCE, TEXTS_AT_ONCE = 4096, 1024
+#: Words in each generation of a worker's memory.
+REMEMBERED = 150_000
+#: Words that are encoded in one go, and bytes of texts.
+WORDS_AT_ONCE, PIECE = 64, 4 << 20
+#: Letters of ASCII and Latin-1, then marks of ASCII but the apostrophe.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([!-&(-/:-@\[-`{-~]*)")
 
 _encoders: dict = {}
 
 
-class Encoder(dict):
-    """From a word (bytes) to its ids as little-endian integers, each word encoded once."""
+def plain_tokenizer(path: str):
+    """The tokenizer without its normalizer and its pattern, for words that these leave alone but for their case; None
+    if it isn't made of NFC, lower case, a pattern that takes runs of letters and runs of marks whole, and bytes."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    normal = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
+    pre = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+    pattern = pre[0].get("pattern", {}).get("Regex", "") if pre else ""
+    runs = {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(pattern.split("|"))
+    if normal != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in pre] != ["Split", "ByteLevel"] or not runs:
+        return None
+    plain = Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return plain
+
+
+class Encoder:
+    """Ids of words (bytes) as packed little-endian integers, and of texts as arrays."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), plain_tokenizer(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the new ones of the words, many as one text: tokens belong to the word that they begin in."""
-        new = list(words.difference(self))
-        if len(self) + len(new) > MOST_WORDS:
-            self.clear()
-            new = list(words)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; the words differ."""
+        found = list(map(self.young.get, words))
+        unknown = [i for i, x in enumerate(found) if x is None]
+        if unknown:
+            missing = [words[i] for i in unknown]
+            for i, w, x in zip(unknown, missing, self._recalled(missing), strict=True):
+                found[i] = self.young[w] = x
+            if len(self.young) > REMEMBERED:
+                self.old, self.young = self.young, {}
+        return found
+
+    def _recalled(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.old.get, words))
+        unknown = [i for i, x in enumerate(found) if x is None]
+        match = PLAIN.fullmatch if self.plain else lambda w: None
+        split = [(i, match(words[i])) for i in unknown]
+        plain = [(i, m[1].decode().lower().encode(), m[2]) for i, m in split if m]
+        parts = {x for _, head, marks in plain for x in (head, marks)}
+        known = {x: y for x in parts if (y := self.young.get(x) or self.old.get(x)) is not None}
+        known[b""] = b""
+        new = list(parts.difference(known))
         for at in range(0, len(new), WORDS_AT_ONCE):
             some = new[at : at + WORDS_AT_ONCE]
-            joined = b" ".join(some)
-            found = self.tokenizer.encode(joined.decode("utf-8", "replace"), add_special_tokens=False)
-            # where words begin, in characters
-            ends = np.cumsum([0, *(len(w) + 1 for w in some)])
-            begins = np.concatenate([[0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80), [len(joined) + 1]])[ends]
-            cuts = np.searchsorted(np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0], begins) * self.kind.itemsize
-            packed = np.array(found.ids, self.kind).tobytes()
-            cuts = cuts.tolist()
-            self.update(zip(some, map(packed.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
-
-    def batch(self, texts: list[bytes], end: bytes) -> Iterator[np.ndarray]:
-        """The ids of each text, with the end."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.__getitem__
-        for words in split:
-            yield np.frombuffer(b"".join(map(get, words)) + end, self.kind)
+            got = self.plain.encode(b" ".join(some).decode(), add_special_tokens=False)
+            known.update(zip(some, self._cut(got.ids, got.word_ids, range(len(some) + 1)), strict=True))
+        self.young.update((x, known[x]) for x in new)
+        for i, head, marks in plain:
+            found[i] = known[head] + known[marks]
+        rest = [i for i, m in split if not m]
+        for at in range(0, len(rest), WORDS_AT_ONCE):
+            some = [words[i].decode("utf-8", "replace") for i in rest[at : at + WORDS_AT_ONCE]]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            begins = list(accumulate((len(w) + 1 for w in some), initial=0))
+            for i, ids in zip(rest[at : at + WORDS_AT_ONCE], self._cut(got.ids, [x[0] for x in got.offsets], begins), strict=True):
+                found[i] = ids
+        return found
+
+    def _cut(self, ids: list[int], places: list[int], begins) -> Iterator[bytes]:
+        """The ids, each at one of the rising places, packed by the word that they are in."""
+        cuts = (np.searchsorted(places, begins) * self.kind.itemsize).tolist()
+        packed = np.array(ids, self.kind).tobytes()
+        return (packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+    def texts(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each with ``end``; and how many each has."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        known = self.words(coded.dictionary.cast(pa.binary()).to_pylist())
+        known.append(end)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        begin = np.cumsum(size) - size
+        ends = split.offsets.to_numpy()[1:]
+        word = np.insert(coded.indices.to_numpy(), ends, len(known) - 1)
+        n = size[word]
+        upto = np.cumsum(n)
+        ids = np.frombuffer(b"".join(known), self.kind)[np.repeat(begin[word] - upto + n, n) + np.arange(n.sum())]
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, bool]]:
+    """Slices of about PIECE bytes; a longer text in pieces cut at white space. With whether the last text goes on."""
+    for low, high, data, offsets in slices(texts, PIECE):
+        if high - low > 1 or len(data) <= 2 * PIECE:
+            yield pa.Array.from_buffers(pa.large_string(), high - low, [None, pa.py_buffer(offsets), pa.py_buffer(data)]), False
+            continue
+        text, at = data.tobytes(), 0
+        while at < len(text):
+            space = SPACE.search(text, at + PIECE)
+            cut = space.start() if space else len(text)
+            yield pa.array([text[at:cut]], pa.binary()).cast(pa.string()), cut < len(text)
+            at = cut
+
+
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def encoder(path: str) -> Encoder:
@@ -114,7 +196,7 @@ class SequenceWriter:
             self._write(self.n // (self.size * BATCH) * BATCH)
 
     def _write(self, sequences: int) -> None:
-        every = np.concatenate(self.held)
+        every = self.held[0] if len(self.held) == 1 else np.concatenate(self.held)
         used = every[: sequences * self.size]
         for at in range(0, len(used), self.size * BATCH):
             part = used[at : at + self.size * BATCH]
@@ -138,7 +220,7 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, size: int = SEQUENCE, end_id: int = END_ID) -> list[tuple[int, str, int]]:
-    """Writes the files; gives (number, path, ids) of each, in order of doc_id."""
+    """Writes the files and their manifest; gives (number, path, ids) of each, in order of doc_id."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, context, fs, writer = encoder(vocabulary), TaskContext.get(), None, None
@@ -153,16 +235,17 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, size: int = SEQU
                 fs.create_dir(os.path.dirname(path), recursive=True)
                 sink, index = fs.open_output_stream(path + ".arrows"), fs.open_output_stream(path + ".docs")
                 writer, places = SequenceWriter(sink, size, encode.kind), pa.ipc.new_stream(index, DOCS)
-            for low in range(0, b.num_rows, TEXTS_AT_ONCE):
-                some = b.slice(low, TEXTS_AT_ONCE)
-                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in some.column(1)]
-                firsts, counts = [], []
-                for own in encode.batch(texts, end):
-                    writer.add(own)
-                    firsts.append(first)
-                    counts.append(len(own))
-                    first += len(own)
-                places.write_batch(pa.RecordBatch.from_arrays([some.column(0), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
+            row, begun = 0, 0
+            for texts, goes_on in pieces(b.column(1)):
+                ids, counts = encode.texts(texts, b"" if goes_on else end)
+                writer.add(ids)
+                counts[0] += begun
+                if goes_on:
+                    begun = int(counts[0])
+                    continue
+                begun, ends = 0, first + np.cumsum(counts)
+                places.write_batch(pa.RecordBatch.from_arrays([b.column(0).slice(row, len(counts)), pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
+                row, first = row + len(counts), int(ends[-1])
         if writer is not None:
             writer.close()
             places.close()
@@ -170,10 +253,34 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, size: int = SEQU
             index.close()
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int64()), pa.array([name]), pa.array([first], pa.int64())], names=["part", "path", "n"])
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     with small_batches(docs.sparkSession):
-        return sorted(tuple(r) for r in dealt.mapInArrow(steady(write), "part bigint, path string, n bigint").collect())
+        parts = sorted(tuple(r) for r in dealt.mapInArrow(steady(write), "part bigint, path string, n bigint").collect())
+    with open(vocabulary, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
+    files = [{"name": path.rsplit("/", 1)[1], "ids": n} for _, path, n in parts]
+    fs, path = open_store(folder)
+    fs.create_dir(path, recursive=True)
+    # written beside its place and moved there: a manifest is whole or not there
+    with fs.open_output_stream(f"{path}/{MANIFEST}.part") as out:
+        out.write(json.dumps({"vocabulary": os.path.basename(vocabulary), "vocabulary_sha256": digest, "end_id": end_id, "sequence": size, "files": files}, indent=1).encode())
+    fs.move(f"{path}/{MANIFEST}.part", f"{path}/{MANIFEST}")
+    return parts
+
+
+MANIFEST = "manifest.json"
+
+
+def manifest(folder: str) -> dict:
+    fs, path = open_store(folder)
+    with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
+def open_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the documents of a folder that :func:`write_tokens` has finished."""
+    return read_tokens(spark, [(i, f"{folder.rstrip('/')}/{x['name']}", x["ids"]) for i, x in enumerate(manifest(folder)["files"])])
 
 
 class TokenFile:

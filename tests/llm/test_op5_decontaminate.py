@@ -62,7 +62,8 @@ def test_against_brute_force(spark):
 
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     docs, items = case(3)
-    monkeypatch.setattr(O, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(O, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(O, "KEPT_BYTES", 1000)
     assert run(spark, docs, items) == brute(docs, items)
 
 
@@ -70,7 +71,7 @@ def test_spans_and_kept_columns(spark):
     d = spark.createDataFrame([("en", "x x one two three x")], "lang string, text string")
     b = spark.createDataFrame([(4, "One, two three!")], "item_id bigint, text string")
     r = O.contaminated(d, b, spans=True, keep=["lang", "text"]).first()
-    assert (r.lang, r.n_hit, [tuple(h) for h in r.hits], r["items"]) == ("en", 3, [(2, 5)], [4])
+    assert (r.lang, r.n_hit, [tuple(h) for h in r.hits], r["items"]) == ("en", 3, [(2, 5)], ["4"])
 
 
 def test_empty_tables(spark):
@@ -78,3 +79,17 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id bigint, text string")
     assert [tuple(r)[1:4] for r in O.contaminated(d, b).collect()] == [(2, 0, 0)]
     assert O.contaminated(d.limit(0), b).count() == 0
+
+
+def test_item_ids_may_be_strings(spark):
+    d = spark.createDataFrame([(1, "one two three four")], "doc_id bigint, text string")
+    b = spark.createDataFrame([("a/2", "two three"), ("a/1", "one two"), (None, "four")], "item_id string, text string")
+    r = O.contaminated(d, b).first()
+    assert (r.n_hit, r.n_items, r.items_sha256) == (4, 3, hashlib.sha256(b"a/1,a/2").hexdigest())
+
+
+def test_a_very_long_text(spark):
+    d = spark.createDataFrame([(1, "filler words " * 400_000 + "one two three four")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, "two three four")], "item_id bigint, text string")
+    r = O.contaminated(d, b).first()
+    assert (r.n_words, r.n_hit, r.n_items) == (800_004, 3, 1)

@@ -8,8 +8,9 @@ repeated, and all words under repeated windows go.
 2. The distinct texts form immutable runs. From each window the smallest of its 24 hashes of 12 words is taken: equal
    windows take equal ones. These fingerprints, about one for 12 words, are sorted within the run and merge-joined over
    all runs, by range.
-3. Only windows whose fingerprint occurs twice are hashed whole (64 bits to merge by, 64 more to verify), sorted,
-   and merge-joined again. What agrees in all 128 bits is repeated.
+3. Only windows whose fingerprint occurs twice are hashed whole, sorted, and merge-joined again by a first hash of 64
+   bits and verified by a second. Both begin at the bytes of the words and mix them in trees with seeds of their own, so
+   what agrees in all 128 bits is repeated: different windows of a corpus of 10**13 words agree by a chance of 10**-12.
 4. Each run gets a bit for each of its windows and removes the covered words.
 
 :class:`FingerprintIndex` keeps runs across batches: a new batch is merge-joined with the historical runs, verified
@@ -54,7 +55,7 @@ class _Windows:
     def __init__(self, run: R.Run, window: int):
         shingle = min(SHINGLE, window)
         self.words = w = words(run.data, run.offsets, NONSPACE)
-        self.h = w.hashes
+        self.h = w.hashes()
         n = len(self.h) - window + 1
         if n <= 0:
             self.at, self.least, self.chosen = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -82,9 +83,14 @@ class _Windows:
         at = self.at[repeated[np.searchsorted(prints, self.least)]] if len(prints) else self.at
         if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), at, at
-        key, every = window_hashes(self.h, self.words.doc, window)
-        check, _ = window_hashes(self.h, self.words.doc, window, seed=1)
-        pick = np.searchsorted(every, at)
+        # of the words under those windows alone
+        under = np.zeros(len(self.h) + 1, np.int64)
+        np.add.at(under, at, 1)
+        np.add.at(under, at + window, -1)
+        of = np.flatnonzero(np.cumsum(under)[:-1])
+        stretch = np.cumsum(np.diff(of, prepend=-1) > 1) + self.words.doc[of] * (len(of) + 1)
+        (key, every), (check, _) = (window_hashes(h, stretch, window, seed) for seed, h in ((0, self.h[of]), (1, self.words.hashes(1, of))))
+        pick = np.searchsorted(of[every], at)
         key, check = key[pick], check[pick]
         order = np.argsort(key, kind="stable")
         k, c = key[order], check[order]

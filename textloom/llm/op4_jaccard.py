@@ -12,7 +12,7 @@ Tokens are distinct 3-word shingles. Two documents link when 100 * intersection
    If frequent tokens are in it, the prefix is extended to n - o + g + 1 tokens, of which partners without a common
    rare token share g + 1 frequent ones; these fall into g hash classes, so two of them share a class, and the pairs of
    frequent tokens of one class are indexed. g grows with n, so a document has about n / 5 such pairs.
-4. Keys deal out candidates by rounds, and the true texts verify them. Before that, sizes and a parity sketch bound the
+4. Keys deal out candidates by rounds, and the shingles of the texts, word by word, verify them. Before that, sizes and a parity sketch bound the
    overlap: of 512 hash classes, those that hold an odd number of tokens of one text and an even one of the other
    each hold a token that isn't shared. The first round compares one text of each key, that of the fewest unshared
    tokens, with the others. Then links are contracted to components, and only pairs of different components are
@@ -50,7 +50,7 @@ SHORT = 28
 
 def token_sets(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct tokens of each document, one after the other, and where each document's begin."""
-    h, n = w.hashes, np.diff(w.first)
+    h, n = w.hashes(), np.diff(w.first)
     hashes, at = window_hashes(h, w.doc, shingle)
     ends = np.searchsorted(at, w.first)
     sets = [np.unique(hashes[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -63,6 +63,28 @@ def token_sets(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
 
 
+def exact_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text as numbers, the same only for the same words. A text of fewer words has
+    one that no other text has: texts of equal words are one text here."""
+    numbers: dict[bytes, int] = {}
+    coded = []
+    for x in texts:
+        found = x.split()
+        for w in set(found).difference(numbers):
+            numbers[w] = len(numbers)
+        coded.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+    every = np.concatenate([*coded, np.zeros(0, np.int64)])
+    first = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
+    base = max(1, len(numbers))
+    code, most = every, base
+    for i in range(1, shingle):
+        if most > (1 << 62) // base:
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            most = len(code)
+        code, most = code[:-1] * base + every[i:], most * base
+    return [np.unique(code[a : b - shingle + 1]) if b - a >= shingle else np.array([-1 - i] * (b > a), np.int64) for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))]
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted 32-bit keys as compressed differences, byte by byte."""
     gaps = np.diff(keys, prepend=np.uint32(0)).astype(np.uint32)
@@ -191,9 +213,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int,
                     if uid not in place:
                         place[uid] = len(kept)
                         kept.append(unpack(z))
-                data = np.frombuffer(b"".join(kept), np.uint8)
-                tokens, first = token_sets(words(data, np.concatenate([[0], np.cumsum([len(x) for x in kept])]), NONSPACE), shingle)
-                sets = [tokens[s:e] for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                sets = exact_sets(kept, shingle)
                 ok = []
                 for x, y in zip(some["a"], some["b"], strict=True):
                     p, q = sets[place[x]], sets[place[y]]

@@ -4,24 +4,29 @@ A window is 10 consecutive words of an item (a shorter item is one window). A do
 window is hit. The join asks for containment one: all shingles of a window have to be in the document, so one token is
 the necessary prefix.
 
-1. The shingles (3 words; 1 or 2 for items as short as that) of all windows are counted over the whole benchmark, and
-   each window is indexed under its rarest shingle, with that shingle's place in it.
+1. The benchmark is dealt out by hash into blocks of about BLOCK_BYTES, and each block is made into an index by one task
+   of the cluster: the shingles (3 words; 1 or 2 for items as short as that) of its windows are counted, and each window
+   is filed under its rarest shingle, with that shingle's place in it.
 2. Documents look their shingles up in the sorted index. A match at word p of a shingle at place q can only be a window
    that starts at p - q and ends inside the document: the positional and the length bound.
-3. What is left is verified: the window's two 64-bit hashes over all its words have to agree.
+3. What is left and agrees in a hash is verified word by word.
 
-The index is made from a block of the benchmark of at most BLOCK_ITEMS items and BLOCK_BYTES bytes, broadcast, and met
-with all documents; a larger benchmark is several blocks, and a document's hits are gathered over them. Memory is so
-bounded whatever the sizes, and no document leaves its task for the join.
+Indexes are files in the shared folder; the driver sees their names alone. A worker holds the index of one block at a
+time, meets each batch of documents with one after the other, and keeps the last ones while they take no more than
+KEPT_BYTES: memory is bounded by the block and the batch, whatever the sizes. No document leaves its task.
 
 Null and empty texts have no words, hit nothing and are not contaminated; items without words have no windows. Several
-items may share a window: each counts. Rows with the same item_id are one item. Repeated documents each give a row; null
-item_ids are left out of items_sha256; extra columns are ignored; empty tables are met with empty results.
+items may share a window: each counts. Rows with the same item_id are one item; item_ids of any type are compared and
+listed as strings. Repeated documents each give a row; null item_ids are left out of items_sha256; extra columns are
+ignored; empty tables are met with empty results. An item longer than a block is a block with what falls to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -31,25 +36,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import steady
+from .store import open_store, shared_dir
 from .words import ALNUM, LOWER, Words, slices, window_hashes, words
 
 WINDOW, SHINGLE = 10, 3
-#: Bounds of what is broadcast at once.
-BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
+#: Of the benchmark's texts in one block, and of indexes that a worker keeps.
+BLOCK_BYTES, KEPT_BYTES = 8 << 20, 64 << 20
 
 
 @dataclass
 class Index:
     """Of windows of ``size`` words, under shingles of ``shingle`` words: sorted prefix hashes, and for each the place
-    of the shingle, the window's hashes and its number among distinct windows."""
+    of the shingle, the window's hash, its words joined by a space, and the items that have it."""
 
     size: int
     shingle: int
     prefix: np.ndarray
     place: np.ndarray
     hash: np.ndarray
-    check: np.ndarray
-    items: list[tuple]  # of each entry: the items that have the window
+    text: list[bytes]
+    items: list[tuple]
 
 
 def _tokens(texts: pa.Array) -> Words:
@@ -57,19 +63,22 @@ def _tokens(texts: pa.Array) -> Words:
     return words(LOWER[piece[2]], piece[3], ALNUM)
 
 
-def build(items: list[tuple[int, str | None]], window: int = WINDOW, shingle: int = SHINGLE) -> list[Index]:
+def _joined(w: Words, start: int, size: int) -> bytes:
+    return b" ".join(w.data[a:b].tobytes() for a, b in zip(w.start[start : start + size].tolist(), w.end[start : start + size].tolist(), strict=True))
+
+
+def build(items: list[tuple[str | None, str | None]], window: int = WINDOW, shingle: int = SHINGLE) -> list[Index]:
     """One index for each length of window."""
     if not items:
         return []
-    w = _tokens(pa.array([x[1] or "" for x in items], pa.string()))
-    h, n = w.hashes, np.diff(w.first)
+    w = _tokens(pa.array([x[1] or "" for x in items], pa.large_string()))
+    h, n = w.hashes(), np.diff(w.first)
     out = []
     for size in sorted({min(window, int(k)) for k in n if k}):
         own = min(shingle, size)
         hashes, at = window_hashes(h, w.doc, size)
-        check, _ = window_hashes(h, w.doc, size, seed=1)
         take = np.minimum(n, window)[w.doc[at]] == size
-        hashes, check, at = hashes[take], check[take], at[take]
+        hashes, at = hashes[take], at[take]
         small, where = window_hashes(h, w.doc, own)
         values, of, counts = np.unique(small, return_inverse=True, return_counts=True)
         rarity = np.zeros(len(h), np.int64)
@@ -83,114 +92,139 @@ def build(items: list[tuple[int, str | None]], window: int = WINDOW, shingle: in
         prefix = value[options[np.arange(len(at)), order]]
         entries: dict[tuple, set] = {}
         for i in range(len(at)):
-            entries.setdefault((prefix[i], order[i], hashes[i], check[i]), set()).add(items[int(w.doc[at[i]])][0])
+            entries.setdefault((prefix[i], order[i], hashes[i], _joined(w, int(at[i]), size)), set()).add(items[int(w.doc[at[i]])][0])
         keys = sorted(entries)
         columns = list(zip(*keys, strict=True))
-        out.append(Index(size, own, *(np.array(c, t) for c, t in zip(columns, (np.uint64, np.int64, np.uint64, np.uint64), strict=True)), [tuple(entries[k]) for k in keys]))
+        out.append(Index(size, own, *(np.array(c, t) for c, t in zip(columns, (np.uint64, np.int64, np.uint64), strict=False)), list(columns[3]), [tuple(entries[k]) for k in keys]))
     return out
 
 
-def find(w: Words, index: list[Index]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Whether each word is hit; and (document, number of the window in all indexes) of all occurrences."""
-    h = w.hashes
-    edge = np.zeros(len(h) + 1, np.int64)
-    found: list[tuple[int, int]] = []
-    base = 0
-    shingles: dict[int, tuple] = {}
-    wholes: dict[int, tuple] = {}
+class Slice:
+    """Some documents' words, with the hashes that indexes ask for."""
+
+    def __init__(self, w: Words):
+        self.w, self.h = w, w.hashes()
+        self._of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if size not in self._of:
+            self._of[size] = window_hashes(self.h, self.w.doc, size)
+        return self._of[size]
+
+
+def find(s: Slice, index: list[Index]) -> tuple[np.ndarray, list[tuple[int, tuple]]]:
+    """How many more windows begin than end at each word; and (document, items of the window) of all occurrences."""
+    w = s.w
+    edge = np.zeros(len(s.h) + 1, np.int64)
+    found: list[tuple[int, tuple]] = []
     for x in index:
-        if x.shingle not in shingles:
-            shingles[x.shingle] = window_hashes(h, w.doc, x.shingle)
-        small, where = shingles[x.shingle]
+        small, where = s.windows(x.shingle)
         low = np.searchsorted(x.prefix, small)
         low[low == len(x.prefix)] = 0
         some = np.flatnonzero(x.prefix[low] == small)
-        if len(some):
-            if x.size not in wholes:
-                whole, check = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
-                hashes, at = window_hashes(h, w.doc, x.size)
-                whole[at], check[at[:]] = hashes, window_hashes(h, w.doc, x.size, seed=1)[0]
-                fits = np.zeros(len(h), bool)
-                fits[at] = True
-                wholes[x.size] = whole, check, fits
-            whole, check, fits = wholes[x.size]
-            first, last = low[some], np.searchsorted(x.prefix, small[some], "right")
-            # entries with the same prefix are few: as many passes as the most of them
-            for step in range(int((last - first).max())):
-                live = np.flatnonzero(first + step < last)
-                entry, p = first[live] + step, where[some[live]]
-                start = p - x.place[entry]
-                ok = start >= 0
-                entry, p, start = entry[ok], p[ok], start[ok]
-                ok = fits[start] & (w.doc[start] == w.doc[p]) & (whole[start] == x.hash[entry]) & (check[start] == x.check[entry])
-                np.add.at(edge, start[ok], 1)
-                np.add.at(edge, start[ok] + x.size, -1)
-                found += zip(w.doc[start[ok]].tolist(), (entry[ok] + base).tolist(), strict=True)
-        base += len(x.prefix)
-    return np.cumsum(edge)[:-1] > 0, found
+        if not len(some):
+            continue
+        whole, at = s.windows(x.size)
+        first, last = low[some], np.searchsorted(x.prefix, small[some], "right")
+        # entries with the same prefix are few: as many passes as the most of them
+        for step in range(int((last - first).max())):
+            live = np.flatnonzero(first + step < last)
+            entry = first[live] + step
+            start = where[some[live]] - x.place[entry]
+            place = np.minimum(np.searchsorted(at, start), len(at) - 1)
+            ok = np.flatnonzero((at[place] == start) & (whole[place] == x.hash[entry])) if len(at) else []
+            for e, p in zip(entry[ok].tolist(), start[ok].tolist(), strict=True):
+                if _joined(w, p, x.size) == x.text[e]:
+                    edge[p] += 1
+                    edge[p + x.size] -= 1
+                    found.append((int(w.doc[p]), x.items[e]))
+    return edge, found
 
 
 def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(str(x) for x in items if x is not None)).encode()).hexdigest()
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    held, size = [], 0
-    for row in benchmark.select(F.col("item_id"), F.col("text")).toLocalIterator():
-        held.append((row[0], row[1]))
-        size += len(row[1] or "")
-        if len(held) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
-            yield held
-            held, size = [], 0
-    yield held
+    return hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest()
+
+
+def write_indexes(benchmark: DataFrame, folder: str, window: int = WINDOW) -> list[str]:
+    """Files with the indexes of the blocks of ``benchmark`` (item_id, text)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
+
+    def made(table: pa.Table) -> pa.Table:
+        index = build(list(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True)), window)
+        fs, path = open_store(f"{folder}/index-{uuid.uuid4().hex}")
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(path) as out:
+            pickle.dump(index, out, 5)
+        return pa.table({"path": [f"{folder}/{path.rsplit('/', 1)[1]}"]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    return sorted(r[0] for r in dealt.groupBy("block").applyInArrow(made, "path string").collect())
+
+
+_loaded: OrderedDict[str, tuple[int, list[Index]]] = OrderedDict()
+
+
+def load(path: str) -> list[Index]:
+    """The index of a file; the last ones stay while they fit in KEPT_BYTES."""
+    if path not in _loaded:
+        fs, name = open_store(path)
+        with fs.open_input_stream(name) as f:
+            data = f.read()
+        while _loaded and sum(n for n, _ in _loaded.values()) + len(data) > KEPT_BYTES:
+            _loaded.popitem(last=False)
+        _loaded[path] = len(data), pickle.loads(data)
+    _loaded.move_to_end(path)
+    return _loaded[path][1]
+
+
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("hits", pa.list_(SPAN)), ("items", pa.list_(pa.string()))])
+FOUND_SQL = "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean,hits:array<struct<start:bigint,end:bigint>>,items:array<string>>"
+
+
+def _judge(texts: pa.Array, paths: list[str]) -> pa.Array:
+    """FOUND of each text."""
+    parts = [(low, high, Slice(words(LOWER[data], offsets, ALNUM))) for low, high, data, offsets in slices(texts)]
+    edges = [np.zeros(len(s.h) + 1, np.int64) for _, _, s in parts]
+    items: list[dict[int, set]] = [{} for _ in parts]
+    for path in paths:
+        index = load(path)
+        for (_, _, s), edge, own in zip(parts, edges, items, strict=True):
+            more, found = find(s, index)
+            edge += more
+            for doc, of in found:
+                own.setdefault(doc, set()).update(of)
+    none, out = _digest(()), []
+    for (low, high, s), edge, own in zip(parts, edges, items, strict=True):
+        hit, first = np.cumsum(edge)[:-1] > 0, s.w.first
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        for i, n, n_hit in zip(range(high - low), np.diff(first).tolist(), (sums[first[1:]] - sums[first[:-1]]).tolist(), strict=True):
+            if not n_hit:
+                out.append((n, 0, 0, none, False, (), ()))
+                continue
+            turns = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[i] : first[i + 1]].astype(np.int8), [0]]))).tolist()
+            spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
+            out.append((n, n_hit, len(own[i]), _digest(own[i]), True, spans, sorted(x for x in own[i] if x is not None)))
+    columns = list(zip(*out, strict=True)) or [()] * len(FOUND)
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], fields=list(FOUND))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """For each row of ``docs`` (text, and the columns to ``keep``): those columns, n_words, n_hit, n_items,
     items_sha256, contaminated; with ``spans`` also hits, the (start, end) of hit stretches in words, and items, their
-    item_ids."""
+    item_ids. Only texts travel to Python. The index files stay in the shared folder, as the result is read from them."""
     spark = docs.sparkSession
-    indexes = [build(block, window) for block in _blocks(benchmark)]
-    shared = [spark.sparkContext.broadcast(x) for x in indexes]
-    columns_in = list(dict.fromkeys([*keep, "text"]))
-    at, kept = columns_in.index("text"), [columns_in.index(c) for c in keep]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low, high, data, offsets in slices(b.column(at)):
-                w = words(LOWER[data], offsets, ALNUM)
-                hit = np.zeros(len(w.start), bool)
-                items: dict[int, set] = {}
-                for block in shared:
-                    index = block.value
-                    more, found = find(w, index)
-                    hit |= more
-                    listed = [e for x in index for e in x.items]
-                    for doc, entry in found:
-                        items.setdefault(doc, set()).update(listed[entry])
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = sums[w.first[1:]] - sums[w.first[:-1]]
-                none = _digest(())
-                columns = [
-                    *(b.column(i).slice(low, high - low) for i in kept), pa.array(np.diff(w.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(items.get(i, ())) for i in range(high - low)], pa.int64()),
-                    pa.array([_digest(items[i]) if i in items else none for i in range(high - low)], pa.string()), pa.array(n_hit > 0, pa.bool_()),
-                ]
-                if spans:
-                    stretches = []
-                    for i in range(high - low):
-                        own = hit[w.first[i] : w.first[i + 1]] if n_hit[i] else np.zeros(0, bool)
-                        turns = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-                        stretches.append([{"start": int(s), "end": int(e)} for s, e in zip(turns[::2], turns[1::2], strict=True)])
-                    columns += [pa.array(stretches, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted((x for x in items.get(i, ()) if x is not None), key=str) for i in range(high - low)], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *NAMES[: len(columns) - len(keep)]])
-
-    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep) + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return docs.select(*columns_in).mapInArrow(steady(rows), schema + ", hits array<struct<start:bigint,end:bigint>>, items array<bigint>" * spans)
-
-
-NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"]
+    paths = write_indexes(benchmark, f"{shared_dir(spark)}/textloom-windows-{uuid.uuid4().hex}", window)
+
+    @F.arrow_udf(FOUND_SQL)
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from steady(lambda batches: (_judge(x, paths) for x in batches))(texts)
+
+    judged = docs.select(*keep, judge(F.col("text")).alias("_found"))
+    return judged.select(*keep, *(F.col(f"_found.{f.name}").alias(f.name) for f in list(FOUND)[: len(FOUND) if spans else 5]))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contaminated(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))
+    return contaminated(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark.select("item_id", "text"))

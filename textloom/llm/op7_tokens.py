@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import steady
-from .store import delete, shared_dir, small_batches
+from .store import delete, open_store, shared_dir, small_batches
 from .words import slices
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 1
@@ -170,10 +170,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-
-
 def _schema(size: int, kind: np.dtype) -> pa.Schema:
     return pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(kind), size), nullable=False), pa.field("mask", pa.list_(pa.bool_(), size), nullable=False)])
 

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or a local path, as workers open it."""
+    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store Spark can reach."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,12 +1,15 @@
 """Words and word sequences of whole Arrow batches as 64-bit hashes, with numpy and without a loop over words.
 
-A hash is a polynomial over the bytes (words) modulo 2**64, taken as a difference of prefix sums, then mixed. Equal
-sequences always have equal hashes. Where an operator must tell different ones apart it compares a second hash
-(:func:`window_hashes` with another ``seed``) or the words themselves.
+A word is hashed in blocks of eight bytes, each mixed into what the blocks before gave; a sequence is hashed as a tree
+whose nodes mix two halves. Neither is a polynomial, so words and sequences of regular make-up collide no more than any
+others. Words of up to eight bytes and equal length never do. Equal sequences always have equal hashes. Where an
+operator must tell different ones apart it compares the words, or a second hash that shares nothing with the first but
+the words (another ``seed``, for words and sequences).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,22 +26,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _u = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**63, 256, dtype=np.uint64) * _u(2) + _u(1)
+_ODD = _u(0x9E3779B97F4A7C15)
 #: Bytes hashed at a time: small enough for a core's cache.
 CHUNK = 1 << 16
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    got = _powers.get(base)
-    if got is None or len(got[0]) < n:
-        size, inverse = max(n, 1 << 17), pow(base, -1, 1 << 64)
-        up, down = np.full(size, _u(base)), np.full(size, _u(inverse))
-        up[0] = down[0] = 1
-        got = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return got[0][:n], got[1][:n]
+#: Longer words are hashed by SHA-256.
+LONG = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,20 +52,40 @@ class Words:
     doc: np.ndarray  # index of each word's document
     first: np.ndarray  # index of each document's first word; one entry more than documents
 
-    @property
-    def hashes(self) -> np.ndarray:
-        out = np.zeros(len(self.start), np.uint64)
-        cuts = np.unique(np.searchsorted(self.start, np.arange(0, len(self.data) + CHUNK, CHUNK)))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            low, high = int(self.start[a]), int(self.end[b - 1])
-            up, down = powers(high - low + 1)
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTES[self.data[low:high]] * up[:-1], out=sums[1:])
-            start, end = self.start[a:b] - low, self.end[a:b] - low
-            out[a:b] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    def hashes(self, seed: int = 0, of: np.ndarray | None = None) -> np.ndarray:
+        """The hash of each word, or of those at the indexes ``of``."""
+        start, end = (self.start, self.end) if of is None else (self.start[of], self.end[of])
+        out = np.empty(len(start), np.uint64)
+        step = CHUNK // 4
+        for at in range(0, len(start), step):
+            out[at : at + step] = self._hashes(start[at : at + step], end[at : at + step], seed)
+        return out
+
+    def _hashes(self, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        size = end - start
+        out = mix((size.astype(np.uint64) + _u(seed << 32)) * _ODD)
+        low = int(start[0])
+        near = np.concatenate([self.data[low : int(end[-1])], np.zeros(8, np.uint8)])
+        blocks = np.ndarray(len(near) - 7, "<u8", near, 0, (1,))  # eight bytes from each one on
+        left, at, which = size, start - low, slice(None)
+        if (size > LONG).any():
+            for i in np.flatnonzero(size > LONG).tolist():
+                digest = hashlib.sha256(seed.to_bytes(4, "little") + near[start[i] - low : end[i] - low].tobytes()).digest()
+                out[i] = int.from_bytes(digest[:8], "little")
+            which = np.flatnonzero(size <= LONG)
+            left, at = left[which], at[which]
+        while len(at):
+            out[which] = mix(out[which] ^ blocks[at] & _FIRST[np.minimum(left, 8)])
+            more = np.flatnonzero(left > 8)
+            which = more if isinstance(which, slice) else which[more]
+            left, at = left[more] - 8, at[more] + 8
         return out
 
 
+#: The first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
     """``inside``: 256 booleans, the bytes of words."""
     is_in = inside[data]
@@ -87,20 +99,23 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
 
 
 def window_hashes(h: np.ndarray, doc: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of ``size`` words from one document; with the index of its first word."""
+    """Hash of each run of ``size`` words from one document, of the words' hashes ``h``; with the index of its first
+    word."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    base = (_BASE * (2 * seed + 3)) & (2**64 - 1) | 1
-    if size <= 4:
-        total = np.zeros(n, np.uint64)
-        for i in range(size):
-            total += mix(h[i : n + i] + _u(i + 7 * seed + 1)) * _u(pow(base, i, 1 << 64))
-    else:
-        up, down = powers(len(h) + 1, base)
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum((mix(h + _u(seed)) if seed else h) * up[: len(h)], out=sums[1:])
-        total = (sums[size:] - sums[:n]) * down[:n]
+    factor = _ODD + _u(4 * seed)
+    part, length, total, done = h, 1, None, 0
+    while True:
+        if size & length:
+            # the tree's parts lie from the last word to the first, small ones behind
+            done += length
+            own = part[size - done : size - done + n]
+            total = own if total is None else mix(own * factor + total)
+        if length * 2 > size:
+            break
+        part = mix(part[: len(part) - length] * factor + part[length:])
+        length *= 2
     at = np.flatnonzero(doc[:n] == doc[size - 1 :])
     return mix(total[at] + _u(size)), at
 

@@ -47,11 +47,11 @@ from .words import slices
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 1
 #: Words in each generation of a worker's memory.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Words that are encoded in one go, and bytes of texts.
 WORDS_AT_ONCE, PIECE = 64, 4 << 20
 #: Letters of ASCII and Latin-1, then marks of ASCII but the apostrophe.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([!-&(-/:-@\[-`{-~]*)")
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 _encoders: dict = {}
 
@@ -75,6 +75,10 @@ def plain_tokenizer(path: str):
     return plain
 
 
+def bytes_of(strings: pa.Array) -> list[bytes]:
+    return strings.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of words (bytes) as packed little-endian integers, and of texts as arrays."""
 
@@ -84,67 +88,96 @@ class Encoder:
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), plain_tokenizer(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        if self.plain:
+            suffix = self.plain.model.end_of_word_suffix
+            vocabulary = self.plain.get_vocab()
+            self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.is_last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word; the words differ."""
+    def words(self, words: list[bytes], plain: bool) -> list[bytes]:
+        """The ids of each word; the words differ. ``plain``: they are letters in lower case, or marks, as PLAIN has them."""
         found = list(map(self.young.get, words))
-        unknown = [i for i, x in enumerate(found) if x is None]
-        if unknown:
-            missing = [words[i] for i in unknown]
-            for i, w, x in zip(unknown, missing, self._recalled(missing), strict=True):
-                found[i] = self.young[w] = x
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            for i, x in zip(missing, map(self.old.get, map(words.__getitem__, missing)), strict=True):
+                found[i] = x
+            new = [i for i in missing if found[i] is None]
+            for i, x in zip(new, (self._plain if plain else self._any)([words[i] for i in new]), strict=True):
+                found[i] = x
+            self.young.update((words[i], found[i]) for i in missing)
             if len(self.young) > REMEMBERED:
                 self.old, self.young = self.young, {}
         return found
 
-    def _recalled(self, words: list[bytes]) -> list[bytes]:
-        found = list(map(self.old.get, words))
-        unknown = [i for i, x in enumerate(found) if x is None]
-        match = PLAIN.fullmatch if self.plain else lambda w: None
-        split = [(i, match(words[i])) for i in unknown]
-        plain = [(i, m[1].decode().lower().encode(), m[2]) for i, m in split if m]
-        parts = {x for _, head, marks in plain for x in (head, marks)}
-        known = {x: y for x in parts if (y := self.young.get(x) or self.old.get(x)) is not None}
-        known[b""] = b""
-        new = list(parts.difference(known))
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            some = new[at : at + WORDS_AT_ONCE]
-            got = self.plain.encode(b" ".join(some).decode(), add_special_tokens=False)
-            known.update(zip(some, self._cut(got.ids, got.word_ids, range(len(some) + 1)), strict=True))
-        self.young.update((x, known[x]) for x in new)
-        for i, head, marks in plain:
-            found[i] = known[head] + known[marks]
-        rest = [i for i, m in split if not m]
-        for at in range(0, len(rest), WORDS_AT_ONCE):
-            some = [words[i].decode("utf-8", "replace") for i in rest[at : at + WORDS_AT_ONCE]]
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """A token that ends a word says so by its suffix."""
+        every: list[int] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            every += self.plain.encode(b" ".join(words[at : at + WORDS_AT_ONCE]).decode(), add_special_tokens=False).ids
+        ids = np.array(every, self.kind)
+        return self._cut(ids, np.concatenate([[0], np.flatnonzero(self.is_last[ids]) + 1]), len(words))
+
+    def _any(self, words: list[bytes]) -> list[bytes]:
+        """Tokens belong to the word in which they begin."""
+        out: list[bytes] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = [w.decode("utf-8", "replace") for w in words[at : at + WORDS_AT_ONCE]]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             begins = list(accumulate((len(w) + 1 for w in some), initial=0))
-            for i, ids in zip(rest[at : at + WORDS_AT_ONCE], self._cut(got.ids, [x[0] for x in got.offsets], begins), strict=True):
-                found[i] = ids
-        return found
+            out += self._cut(np.array(got.ids, self.kind), np.searchsorted([x[0] for x in got.offsets], begins), len(some))
+        return out
 
-    def _cut(self, ids: list[int], places: list[int], begins) -> Iterator[bytes]:
-        """The ids, each at one of the rising places, packed by the word that they are in."""
-        cuts = (np.searchsorted(places, begins) * self.kind.itemsize).tolist()
-        packed = np.array(ids, self.kind).tobytes()
-        return (packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+    def _cut(self, ids: np.ndarray, edges: np.ndarray, n: int) -> list[bytes]:
+        if len(edges) != n + 1:
+            raise AssertionError("words and tokens don't match")
+        packed, edges = ids.tobytes(), (edges * self.kind.itemsize).tolist()
+        return [packed[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _gather(self, known: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words in the order of ``which``, and how many each gives."""
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        begin, n = np.cumsum(size) - size, size[which]
+        ends = np.cumsum(n)
+        return np.frombuffer(b"".join(known), self.kind)[np.repeat(begin[which] - ends + n, n) + np.arange(n.sum())], n
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and how many each has."""
+        parts = pc.extract_regex(words, PLAIN) if self.plain else pa.nulls(len(words), pa.struct([("letters", words.type), ("marks", words.type)]))
+        others = bytes_of(words.filter(parts.is_null()))
+        known = self.words(others, plain=False)
+        plain = np.flatnonzero(parts.is_valid().to_numpy(zero_copy_only=False))
+        which = np.full((len(words), 2), len(known))
+        which[np.flatnonzero(parts.is_null().to_numpy(zero_copy_only=False)), 0] = np.arange(len(others))
+        known.append(b"")
+        for k, column in enumerate((pc.utf8_lower(parts.field(0)), parts.field(1)) if len(plain) else ()):
+            coded = column.take(pa.array(plain)).dictionary_encode()
+            own = bytes_of(coded.dictionary)
+            which[plain, k] = coded.indices.to_numpy() + len(known)
+            known += self._with_empty(own)
+        ids, n = self._gather(known, which.ravel())
+        return ids, n[::2] + n[1::2]
+
+    def _with_empty(self, words: list[bytes]) -> list[bytes]:
+        if b"" not in words:
+            return self.words(words, plain=True)
+        at = words.index(b"")
+        found = self.words(words[:at] + words[at + 1 :], plain=True)
+        return [*found[:at], b"", *found[at:]]
 
     def texts(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, each with ``end``; and how many each has."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.values.dictionary_encode()
-        known = self.words(coded.dictionary.cast(pa.binary()).to_pylist())
-        known.append(end)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
-        begin = np.cumsum(size) - size
+        ids, size = self._distinct(coded.dictionary)
+        ids = np.concatenate([ids, np.frombuffer(end, self.kind)])
+        size = np.append(size, len(end) // self.kind.itemsize)
         ends = split.offsets.to_numpy()[1:]
-        word = np.insert(coded.indices.to_numpy(), ends, len(known) - 1)
-        n = size[word]
+        word = np.insert(coded.indices.to_numpy(), ends, len(size) - 1)
+        begin, n = np.cumsum(size) - size, size[word]
         upto = np.cumsum(n)
-        ids = np.frombuffer(b"".join(known), self.kind)[np.repeat(begin[word] - upto + n, n) + np.arange(n.sum())]
-        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
+        return ids[np.repeat(begin[word] - upto + n, n) + np.arange(n.sum())], np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
 def pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, bool]]:

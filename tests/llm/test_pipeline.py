@@ -49,6 +49,20 @@ def test_rows_that_repeat_an_id(spark):
     assert sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, df, "").collect()), key=str) == [(1, "a b c d e"), (None, "x y z w")]
 
 
+def test_clean_texts_under_an_id_that_copies_share_stay(spark):
+    a, b, c = ("a b c d e f", "the only text of its kind", "another text that stands alone")
+    rows = [(1, a), (2, a.upper()), (2, b), (3, b + " "), (None, c), (None, c), (None, a), (4, ""), (4, ""), (5, None), (2, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, c), (4, ""), (5, None)], key=str)
+
+
+def test_empty_table_through_run(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_mixture_of_alike_rows_and_null_ids(spark):
     rows = [(1, "a b c d", "en", "s", 7)] * 4 + [(None, "x y z", None, None, 5), (2, None, "en", "s", 0), (3, "q " * 40, "en", "t", 80)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA + ", row_key string, copies int")

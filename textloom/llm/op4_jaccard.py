@@ -266,20 +266,46 @@ def _links(scope: Scope, texts: DataFrame, shingle: int, numerator: int, denomin
     return groups
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+def _labelled(s: Scope, docs: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
+    """Each distinct text: digest, its smallest id, n shingles, component, the smallest id of that, and whether the text
+    leads it: of those with the smallest id, the first by digest."""
     if not 2 * numerator > denominator:
         raise ValueError("the similarity must be over one half")
+    table = s.table(R.sized(R.runs(docs, lower=True)))
+    texts = _indexed(s, table, shingle, numerator, denominator)
+    groups = _links(s, texts, shingle, numerator, denominator)
+    labelled = texts.select("digest", "uid", "id", "n").join(groups.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
+    least = labelled.groupBy("component").agg(first["id"].alias("component_id"), first["digest"].alias("lead"))
+    return s.table(labelled.join(least, "component").select("digest", "id", "n", "component_id", (F.col("digest") == F.col("lead")).alias("leads")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     with Scope(docs.sparkSession) as s:
-        table = s.table(R.sized(R.runs(docs, lower=True)))
-        texts = _indexed(s, table, shingle, numerator, denominator)
-        groups = _links(s, texts, shingle, numerator, denominator)
-        labelled = texts.select("digest", "uid", "id", "n").join(groups.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-        labelled = s.table(labelled.join(least, "component").select("digest", "n", "component_id"))
+        labelled = _labelled(s, docs, shingle, numerator, denominator).select("digest", "n", "component_id")
         out = R.members(docs, lower=True, texts=False).join(labelled, "digest", "left")
         return s.keep(out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n").isNotNull(), F.col("component_id")), F.col("doc_id")).alias("component_id")))
 
 
+def first_of_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) without the near duplicates: of each component the row of the
+    smallest doc_id stays (null ids last), of several such rows the first by text. Texts without words link with nothing
+    and stay; rows alike in doc_id and text are one."""
+    key = F.xxhash64("text")
+    with Scope(docs.sparkSession) as s:
+        labelled = _labelled(s, docs, shingle, numerator, denominator).where("n > 0")
+        rows = s.table(R.members(docs, lower=True, texts=False, key=key).join(labelled.select("digest", "id", "leads"), "digest"))
+        # texts that differ in case or white space alone share a digest
+        first = rows.where(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("digest").agg(F.min("key").alias("first"))
+        stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("first"))
+        gone = s.keep(rows.join(first, "digest", "left").where(~F.coalesce(stays, F.lit(False))).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct())
+        repeated = not docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (key == F.col("_key")), "left_anti")
+    if repeated:
+        kept = kept.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return kept
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -126,27 +126,32 @@ def learn(docs: DataFrame, training: Column) -> dict[str, np.ndarray]:
     return dict(zip(langs, matrix, strict=True))
 
 
+FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred and score, the greatest cosine (0 if below)."""
+    """``docs`` with lang_pred and score, the greatest cosine (0 if below). Only texts travel to Python."""
     langs = list(prototypes)
     matrix = np.array([prototypes[x] for x in langs], np.float32)
-    column = docs.columns.index("text")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low, high, vectors, has in bundles(b.column(column)):
-                if langs:
-                    cosine = _unit(vectors) @ matrix.T
-                    best = cosine.argmax(axis=1)
-                    score = np.clip(np.where(has, cosine.max(axis=1), 0), 0, 1).astype(np.float64)
-                    name = [langs[i] if h else UNKNOWN for i, h in zip(best.tolist(), has.tolist(), strict=True)]
-                else:
-                    score, name = np.zeros(high - low), [UNKNOWN] * (high - low)
-                part = b.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(steady(rows), schema + ", lang_pred string, score double")
+    def judged(texts: pa.Array) -> pa.Array:
+        names, scores = [], [np.zeros(0)]
+        for low, high, vectors, has in bundles(texts):
+            if langs:
+                cosine = _unit(vectors) @ matrix.T
+                names += [langs[i] if h else UNKNOWN for i, h in zip(cosine.argmax(axis=1).tolist(), has.tolist(), strict=True)]
+                scores.append(np.clip(np.where(has, cosine.max(axis=1), 0), 0, 1).astype(np.float64))
+            else:
+                names += [UNKNOWN] * (high - low)
+                scores.append(np.zeros(high - low))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], fields=list(FOUND))
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from steady(lambda batches: map(judged, batches))(texts)
+
+    found = docs.select("*", of(F.col("text")).alias("_found"))
+    return found.select(*docs.columns, "_found.lang_pred", "_found.score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import release, steady
@@ -32,9 +32,10 @@ RUN = "run_id bigint, digests binary, n_words binary, ids binary, copies binary,
 RUN_COLUMNS = [x.split()[0] for x in RUN.split(", ")]
 
 
-def members(docs: DataFrame, lower: bool, texts: bool) -> DataFrame:
+def members(docs: DataFrame, lower: bool, texts: bool, key: Column | None = None) -> DataFrame:
     """For each row: doc_id, digest (SHA-256 of its words joined by one space), n_words; with ``texts`` also those
-    joined words, compressed. Words are separated by 0x20 and 0x09-0x0D; null has none."""
+    joined words, compressed; with ``key``, a long of its own, also that. Words are separated by 0x20 and 0x09-0x0D; null
+    has none."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -49,9 +50,16 @@ def members(docs: DataFrame, lower: bool, texts: bool) -> DataFrame:
                 if texts:
                     packed.append(pack(joined))
             columns = [b.column(0), pa.array(digest, pa.binary()), pa.array(count, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(packed, pa.binary())] * texts, names=["doc_id", "digest", "n_words", "z"][: 3 + texts])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(steady(rows), MEMBER + ", z binary" * texts)
+            names = ["doc_id", "digest", "n_words"]
+            if texts:
+                columns, names = [*columns, pa.array(packed, pa.binary())], [*names, "z"]
+            if with_key:
+                columns, names = [*columns, b.column(2)], [*names, "key"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    with_key = key is not None
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text"), *([key.alias("key")] if with_key else []))
+    return own.mapInArrow(steady(rows), MEMBER + ", z binary" * texts + ", key bigint" * with_key)
 
 
 def runs(docs: DataFrame, lower: bool, least_words: int = 1) -> DataFrame:

@@ -1,7 +1,7 @@
 """Detection over DataFrames of payloads: a binary column in, matches as ordinary columns out.
 
-Each payload is judged within its row, in Arrow batches; nothing is shuffled, so a job is as parallel as its input has
-partitions. Select what is needed before: the batch function is opaque to column pruning.
+Each payload is judged within its row, in Arrow batches. Nothing is shuffled but small inputs, whose rows are dealt out to
+all cores first (:func:`spread`). Select what is needed before: the batch function is opaque to column pruning.
 """
 
 from __future__ import annotations
@@ -58,6 +58,20 @@ def match_row(rank: int, m: D.Match) -> dict:
     }
 
 
+#: Bytes of input that a task should have at most before the kernel, where tasks are fewer than cores.
+TASK_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, if by its size the input would be fewer tasks than there are. The kernel takes a thousand
+    times as long as the shuffle of a payload; a small file is one task whatever its rows cost. Large inputs stay where
+    they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if not df.isStreaming and size < cores * TASK_BYTES else df
+
+
 def _mapped(df: DataFrame, column: str, keep: Sequence[str] | None, added: list[tuple[str, str, pa.DataType]], of) -> DataFrame:
     """``df``'s columns to keep (all but the payload if None) and those that ``of`` gives for each payload."""
     keep = [c for c in df.columns if c != column] if keep is None else list(keep)
@@ -76,7 +90,7 @@ def _mapped(df: DataFrame, column: str, keep: Sequence[str] | None, added: list[
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *values], names=[*keep, *(name for name, _, _ in added)])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{name}` {sql}" for name, sql, _ in added)])
-    return df.select(*columns).mapInArrow(rows, schema)
+    return spread(df.select(*columns)).mapInArrow(rows, schema)
 
 
 def charset_matches(df: DataFrame, column: str = "payload", options: D.Options | None = None, keep: Sequence[str] | None = None) -> DataFrame:

@@ -1,17 +1,21 @@
-"""Profiles of payloads and texts in Spark's own expressions: marks, declarations, names, ranges, letters, noise counts.
+"""Profiles of payloads and texts: marks, declarations, names, ranges, letters, noise counts.
 
-Nothing here runs Python on the executors. What depends on Unicode is a character class or a small table made from the
-same property arrays as detection uses, so the JVM's own Unicode version doesn't matter.
+What looks at each character of each text runs on Arrow batches over the property arrays that detection uses, without a
+loop over characters, and returns counts; all else is Spark's own expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches as B
 from ..functions import characters as C
 from ..functions import tables as T
 
@@ -74,53 +78,69 @@ def character_class(bits: int, without: int = 0) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}" if b - a == 1 else f"\\x{{{a:X}}}-\\x{{{b - 1:X}}}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)) + "]"
 
 
-def count_of(text: Column | str, bits: int, without: int = 0) -> Column:
-    return F.regexp_count(_col(text), F.lit(character_class(bits, without))).cast("long")
+#: Counts that noise detectors are ratios of: the bits that a character has, and those that it hasn't.
+COUNTS = {
+    "n_chars": (0, 0),
+    "n_unprintable": (C.UNPRINTABLE, 0),
+    "n_alpha": (C.ALPHA, 0),
+    "n_accentuated": (C.ALPHA | C.ACCENT, 0),
+    "n_cjk": (C.ALPHA | C.CJK, 0),
+    "n_cjk_uncommon": (C.ALPHA | C.CJK, C.COMMON),
+    "n_arabic": (C.ALPHA | C.ARABIC, 0),
+    "n_arabic_isolated": (C.ALPHA | C.ISOLATED, 0),
+    "n_katakana": (C.ALPHA | C.KATAKANA, 0),
+    "n_katakana_halfwidth": (C.ALPHA | C.HALFWIDTH, 0),
+    "n_printable": (C.PRINTABLE, 0),
+    "n_punctuation": (C.PUNCTUATION, 0),
+    "n_symbols": (C.SYMBOL, 0),
+}
+
+
+def counts_of(text: Column | str, counts: dict[str, tuple[int, int]]) -> Column:
+    """A struct with the number of characters of each kind; null for a null text."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        parts = [[np.zeros(0, np.int64)] for _ in counts]
+        for _, _, codes, first in B.code_points(texts):
+            p = C.properties(codes)
+            for part, (bits, without) in zip(parts, counts.values(), strict=True):
+                part.append(B.per_text(((p & bits) == bits) & ((p & without) == 0), first))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=list(counts), mask=texts.is_null())
+
+    @F.arrow_udf("struct<" + ",".join(f"{n}:bigint" for n in counts) + ">")
+    def counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(of, texts)
+
+    return counted(_col(text))
 
 
 def noise_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """With the counts that five of the noise detectors are ratios of."""
-    n = {
-        "n_chars": F.char_length(text).cast("long"),
-        "n_unprintable": count_of(text, C.UNPRINTABLE),
-        "n_escape": F.regexp_count(_col(text), F.lit(r"\x1B")).cast("long"),
-        "n_alpha": count_of(text, C.ALPHA),
-        "n_accentuated": count_of(text, C.ALPHA | C.ACCENT),
-        "n_cjk": count_of(text, C.ALPHA | C.CJK),
-        "n_cjk_uncommon": count_of(text, C.ALPHA | C.CJK, C.COMMON),
-        "n_arabic": count_of(text, C.ALPHA | C.ARABIC),
-        "n_arabic_isolated": count_of(text, C.ALPHA | C.ISOLATED),
-        "n_katakana": count_of(text, C.ALPHA | C.KATAKANA),
-        "n_katakana_halfwidth": count_of(text, C.ALPHA | C.HALFWIDTH),
-    }
-    return df.withColumns(n)
+    """With the counts that noise detectors are ratios of, and n_escape."""
+    counted = df.withColumn("_n", counts_of(text, COUNTS))
+    return counted.select(*df.columns, *(F.col(f"_n.{n}").alias(n) for n in COUNTS), F.regexp_count(_col(text), F.lit(r"\x1B")).cast("long").alias("n_escape"))
 
 
 def accent_pairs(text: Column | str) -> Column:
     """Detector 4's count: of Latin letters one after the other (others left out), accented pairs that are both upper,
     plus those that have one base."""
-    latin = F.regexp_replace(_col(text), _negated(character_class(C.ALPHA | C.LATIN)), "")
-    codes = F.filter(F.split(latin, ""), lambda x: x != "")
-    accented, upper = character_class(C.ACCENT | C.LATIN | C.ALPHA), character_class(C.ACCENT | C.UPPER | C.LATIN | C.ALPHA)
-    bases = _base_map()
-
-    def of(own: Column) -> Column:
-        def pair(c: Column, i: Column) -> Column:
-            before = F.get(own, i - 1)
-            both, up = c.rlike(accented) & before.rlike(accented), c.rlike(upper) & before.rlike(upper)
-            same = F.translate(c, *bases) == F.translate(before, *bases)
-            return F.when((i > 0) & both, up.cast("int") + same.cast("int")).otherwise(0)
-
-        return F.aggregate(F.transform(own, pair), F.lit(0), lambda a, x: a + x)
 
-    # in an array of one, the letters are made once and not for each of them
-    pairs = F.get(F.transform(F.array(codes), of), F.lit(0))
-    # most texts have no two accented letters in a row, and are done with one search
-    return F.when(latin.rlike(accented + accented), pairs).otherwise(0).cast("long")
+    def of(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, np.int64)]
+        for low, high, codes, first in B.code_points(texts):
+            p = C.properties(codes)
+            letter = np.flatnonzero((p & (C.ALPHA | C.LATIN)) == C.ALPHA | C.LATIN)
+            p, base, doc = p[letter], C.bases(codes[letter]), np.repeat(np.arange(high - low), np.diff(first))[letter]
+            both = p[1:] & p[:-1]
+            pair = (doc[1:] == doc[:-1]) & (both & C.ACCENT > 0)
+            n = pair * ((both & C.UPPER > 0).astype(np.int64) + (base[1:] == base[:-1]))
+            out.append(np.bincount(doc[1:], weights=n, minlength=high - low).astype(np.int64))
+        return pa.array(np.concatenate(out), mask=texts.is_null().to_numpy(zero_copy_only=False))
 
+    @F.arrow_udf("bigint")
+    def counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(of, texts)
 
-def _negated(klass: str) -> str:
-    return "[^" + klass[1:]
+    return counted(_col(text))
 
 
 @cache
@@ -130,11 +150,38 @@ def _base_map() -> tuple[str, str]:
     return "".join(map(chr, codes.tolist())), "".join(map(chr, C.bases(codes).tolist()))
 
 
-def characters(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """How often each character is in the texts of each group: (by..., character, n). Summed before the shuffle, so
-    what moves is as many rows as there are distinct characters."""
-    each = df.select(*by, F.explode(F.split(text, "")).alias("character")).where(F.col("character") != "")
-    return each.groupBy(*by, "character").agg(F.count(F.lit(1)).alias("n"))
+def characters(df: DataFrame, by: list[str], text: str = "text", bits: int = 0, order: str | None = None) -> DataFrame:
+    """How often each character with ``bits`` is in the texts of each group: (by..., character, n); with ``order``, a
+    long of the rows (nulls last), also first: where it is met first, (order, place). Counted within each batch, so
+    what moves is as many rows as a batch has distinct characters."""
+    rank = [] if order is None else [F.coalesce(F.col(order).cast("long"), F.lit((1 << 63) - 1)).alias("_order")]
+    own = df.select(*by, _col(text).alias("_text"), *rank)
+    types = dict(own.dtypes)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            b = whole if order is None else whole.take(pc.sort_indices(whole.column(len(by) + 1)))
+            groups: dict[str, int] = {}
+            keys = zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True) if by else ((),) * b.num_rows
+            of = np.array([groups.setdefault(str(k), len(groups)) for k in keys], np.int64)
+            rows = np.unique(of, return_index=True)[1]
+            for low, high, codes, first in B.code_points(b.column(len(by))):
+                doc = np.repeat(np.arange(low, high), np.diff(first))
+                keep = (C.properties(codes) & bits) == bits
+                kept, own_doc = codes[keep], doc[keep]
+                found, at, n = np.unique(of[own_doc] * 0x110000 + kept, return_index=True, return_counts=True)
+                group, code = found // 0x110000, found % 0x110000
+                columns = [*(b.column(i).take(pa.array(rows[group])) for i in range(len(by))), pa.array([chr(c) for c in code.tolist()], pa.string()), pa.array(n, pa.int64())]
+                names = [*by, "character", "n"]
+                if order is not None:
+                    place = np.flatnonzero(keep)[at] - first[own_doc[at] - low]
+                    columns += [b.column(len(by) + 1).take(pa.array(own_doc[at])), pa.array(place, pa.int64())]
+                    names += ["_order", "_place"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "character string", "n bigint", *(["_order bigint", "_place bigint"] if order else [])])
+    each = own.mapInArrow(counted, schema)
+    return each.groupBy(*by, "character").agg(F.sum("n").alias("n"), *([F.min(F.struct("_order", "_place")).alias("first")] if order else []))
 
 
 def ranges_table(spark) -> DataFrame:
@@ -151,13 +198,14 @@ def range_histogram(df: DataFrame, by: list[str], text: str = "text") -> DataFra
     return joined.groupBy(*by, "range", "family").agg(F.sum("n").alias("n_chars"), F.count(F.lit(1)).alias("n_distinct"))
 
 
-def letter_ranks(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """(by..., letter, n, rank): letters by frequency in each group, the first first; equal ones by code point."""
+def letter_ranks(df: DataFrame, by: list[str], text: str = "text", order: str = "doc_id") -> DataFrame:
+    """(by..., letter, n, rank): letters by frequency in each group, the first first; of equal ones that which is met
+    first, texts being read by ``order``."""
     from pyspark.sql import Window as W
 
-    each = df.select(*by, F.explode(F.regexp_extract_all(F.lower(text), F.lit("(" + character_class(C.ALPHA) + ")"), F.lit(1))).alias("letter"))
-    counted = each.groupBy(*by, "letter").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "letter")))
+    counted = characters(df.withColumn("_lower", F.lower(text)), by, "_lower", C.ALPHA, order)
+    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "first", "character")))
+    return ranked.select(*by, F.col("character").alias("letter"), "n", "rank")
 
 
 def alphabet_coverage(df: DataFrame, keys: list[str], text: str = "text", least: float = 0.2) -> DataFrame:

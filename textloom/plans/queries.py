@@ -131,9 +131,10 @@ def alphabets_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT lang, unnest(regexp_extract_all(lower(text), '{sql_class(C.ALPHA)}')) AS letter FROM documents),
-    n AS (SELECT lang, letter, count(*) AS n FROM c GROUP BY ALL)
-    SELECT lang, letter, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, unicode(letter))::INTEGER AS rank FROM n"""
+    f"""WITH l AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{sql_class(C.ALPHA)}') AS x FROM documents),
+    c AS (SELECT doc_id, lang, unnest(x) AS letter, generate_subscripts(x, 1) AS place FROM l),
+    n AS (SELECT lang, letter, count(*) AS n, min(doc_id::HUGEINT * 1000000000 + place) AS first FROM c GROUP BY ALL)
+    SELECT lang, letter, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first)::INTEGER AS rank FROM n"""
 )
 def letter_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.letter_ranks(documents(spark, sf_dir), ["lang"])
@@ -151,12 +152,6 @@ def alphabet_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.alphabet_coverage(documents(spark, sf_dir), ["doc_id"])
 
 
-@query(f"SELECT a.encoding AS a, b.encoding AS b, sum((a.character IS NOT DISTINCT FROM b.character)::INT) / count(*) AS similarity FROM (VALUES {literal([(e, i, c) for e in ('cp1250', 'cp1251', 'cp1252', 'cp1254', 'iso8859_2', 'iso8859_15', 'latin_1') for i, c in enumerate(T.code_page(e)) if i >= 128])}) AS a(encoding, byte, character) JOIN (VALUES {literal([(e, i, c) for e in ('cp1250', 'cp1251', 'cp1252', 'cp1254', 'iso8859_2', 'iso8859_15', 'latin_1') for i, c in enumerate(T.code_page(e)) if i >= 128])}) AS b(encoding, byte, character) ON a.byte = b.byte AND a.encoding <> b.encoding GROUP BY ALL")
-def code_page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = P.code_pages(spark).where(F.col("encoding").isin("cp1250", "cp1251", "cp1252", "cp1254", "iso8859_2", "iso8859_15", "latin_1") & (F.col("byte") >= 128))
-    return P.code_page_similarity(pages)
-
-
 _PAGES = literal([(e, i, None if c is None else ord(c)) for e in T.candidates() if not T.is_multi_byte(e) for i, c in enumerate(T.code_page(e))])
 
 
@@ -164,14 +159,13 @@ _PAGES = literal([(e, i, None if c is None else ord(c)) for e in T.candidates()
     f"""WITH p(encoding, byte, character) AS (VALUES {_PAGES})
     SELECT a.encoding AS a, b.encoding AS b, sum((a.character IS NOT DISTINCT FROM b.character)::INT) / count(*) AS similarity FROM p a JOIN p b ON a.byte = b.byte AND a.encoding <> b.encoding GROUP BY ALL"""
 )
-def code_page_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All single-byte encodings, over all 256 bytes."""
     return P.code_page_similarity(P.code_pages(spark))
 
 
 # Noise
 
-_COUNTS = {"n_unprintable": (C.UNPRINTABLE, 0), "n_alpha": (C.ALPHA, 0), "n_accentuated": (C.ALPHA | C.ACCENT, 0), "n_cjk": (C.ALPHA | C.CJK, 0), "n_arabic": (C.ALPHA | C.ARABIC, 0)}
 #: Texts in scripts that the documents lack.
 SAMPLES = [(1, "老城在河边，龘靐齉。"), (2, "المدينة قديمة ﻉ ﺍ ﺏ ﺕ ﺙ"), (3, "ｱｲｳｴ龘靐齉 カタカナ"), (4, "sprzeda¿ ksi¹¿ek ÀÀéé Èè"), (5, "tab\tbell\x07 esc\x1b end"), (6, "")]
 _SAMPLED = "SELECT doc_id, text FROM documents UNION ALL SELECT -id, text FROM (VALUES (1, '老城在河边，龘靐齉。'), (2, 'المدينة قديمة ﻉ ﺍ ﺏ ﺕ ﺙ'), (3, 'ｱｲｳｴ龘靐齉 カタカナ'), (4, 'sprzeda¿ ksi¹¿ek ÀÀéé Èè'), (5, 'tab' || chr(9) || 'bell' || chr(7) || ' esc' || chr(27) || ' end'), (6, '')) AS s(id, text)"
@@ -181,9 +175,12 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "text").unionByName(spark.createDataFrame([(-i, t) for i, t in SAMPLES], "doc_id bigint, text string"))
 
 
-@query(f"SELECT doc_id, length(text) AS n_chars, {', '.join(f"len(regexp_extract_all(text, '{sql_class(*b)}')) AS {n}" for n, b in _COUNTS.items())} FROM ({_SAMPLED})")
+_COUNTED = ", ".join(f"len(regexp_extract_all(text, '{sql_class(*b)}')) AS {n}" for n, b in P.COUNTS.items() if n != "n_chars")
+
+
+@query(f"SELECT doc_id, length(text) AS n_chars, {_COUNTED}, len(regexp_extract_all(text, chr(27))) AS n_escape FROM ({_SAMPLED})")
 def noise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.noise_counts(sampled(spark, sf_dir)).select("doc_id", "n_chars", *_COUNTS)
+    return P.noise_counts(sampled(spark, sf_dir)).drop("text")
 
 
 _BASES = literal([(a, b) for a, b in zip(*P._base_map(), strict=True)])
@@ -239,19 +236,12 @@ def normalize_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.normalize(payloads(spark, sf_dir), keep=["doc_id"], options=Options(only=("ascii", "utf8"))).select("doc_id", F.col("output").cast("string").alias("text"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id % 7 >= 4")
+@query("SELECT doc_id, text FROM documents")
 def normalize_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in encodings with a byte-order mark come back as they were."""
-    marked = transcoded(spark, sf_dir).where(F.col("source_encoding").isin("utf_16", "utf_32", "utf_8_sig"))
-    return D.normalize(marked, keep=["doc_id"]).select("doc_id", F.ltrim(F.col("output").cast("string"), F.lit("﻿")).alias("text"))
-
-
-@query()
-def normalize_marked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in an encoding with a byte-order mark. Not SQL's: as in the reference, noise that the detector
-    rejects in all of a text makes it look for another encoding, mark or not."""
-    normal = D.normalize(transcoded(spark, sf_dir, MARKED), keep=["doc_id", "source_encoding"])
-    return normal.select("doc_id", "source_encoding", "encoding", F.ltrim(F.col("output").cast("string"), F.lit("﻿")).alias("text"))
+    """Every document, in an encoding with a byte-order mark, comes back as it was; a threshold of 1 keeps noisy texts
+    from being taken for another encoding in spite of their mark."""
+    normal = D.normalize(transcoded(spark, sf_dir, MARKED), keep=["doc_id"], options=Options(threshold=1.0))
+    return normal.select("doc_id", F.ltrim(F.col("output").cast("string"), F.lit("\ufeff")).alias("text"))
 
 
 @query()

@@ -213,7 +213,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = Fal
     """For each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (SHA-256 of the kept words
     joined by one space); with ``texts`` also kept, those words, null where nothing went."""
     with Scope(docs.sparkSession) as s:
-        table = s.table(R.sized(R.runs(docs, lower=False, least_words=window)))
+        table = s.table(R.runs(docs, lower=False, least_words=window))
         judged = s.table(_judged(s, table, window).select("digest", "copies", "n_removed", "kept_sha256", *["kept"] * texts))
         each = R.members(docs, lower=False, texts=False)
         copied = (F.col("copies") > 1) & (F.col("n_words") >= window)
@@ -259,7 +259,7 @@ class FingerprintIndex:
         old = self.levels()
         level = f"{self.path}/level-{len(old):05d}-{uuid.uuid4().hex}"
         with Scope(self.spark) as s:
-            batch = s.table(R.sized(R.runs(docs, lower=False, least_words=self.window)))
+            batch = s.table(R.runs(docs, lower=False, least_words=self.window))
             table = batch
             for i, x in enumerate(old):
                 table = table.unionByName(self._stored(x, i + 1))
@@ -286,7 +286,7 @@ class FingerprintIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(run.ids, pa.int64()), pa.array([run.text(i).decode() for i in range(len(run.ids))], pa.string())], names=["doc_id", "text"])
 
         once = R.runs(table.mapInArrow(steady(texts), "doc_id bigint, text string"), lower=False, least_words=self.window)
-        R.sized(once).write.parquet(f"{self.path}/level-{0:05d}-{uuid.uuid4().hex}")
+        once.write.parquet(f"{self.path}/level-{0:05d}-{uuid.uuid4().hex}")
         for x in old:
             p, fs = self._fs(x)
             fs.delete(p, True)

@@ -271,7 +271,7 @@ def _labelled(s: Scope, docs: DataFrame, shingle: int, numerator: int, denominat
     leads it: of those with the smallest id, the first by digest."""
     if not 2 * numerator > denominator:
         raise ValueError("the similarity must be over one half")
-    table = s.table(R.sized(R.runs(docs, lower=True)))
+    table = s.table(R.runs(docs, lower=True))
     texts = _indexed(s, table, shingle, numerator, denominator)
     groups = _links(s, texts, shingle, numerator, denominator)
     labelled = texts.select("digest", "uid", "id", "n").join(groups.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))

@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import steady
-from .store import open_store, shared_dir
+from .store import bound_batches, open_store, shared_dir
 from .words import ALNUM, LOWER, Words, slices, window_hashes, words
 
 WINDOW, SHINGLE = 10, 3
-#: Of the benchmark's texts in one block, and of indexes that a worker keeps.
-BLOCK_BYTES, KEPT_BYTES = 8 << 20, 64 << 20
+#: Of the benchmark's texts in one block, of indexes that a worker keeps, and of documents that meet them at a time.
+BLOCK_BYTES, KEPT_BYTES, PORTION = 8 << 20, 64 << 20, 2 << 20
 
 
 @dataclass
@@ -184,37 +184,39 @@ FOUND_SQL = "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:stri
 
 
 def _judge(texts: pa.Array, paths: list[str]) -> pa.Array:
-    """FOUND of each text."""
-    parts = [(low, high, Slice(words(LOWER[data], offsets, ALNUM))) for low, high, data, offsets in slices(texts)]
-    edges = [np.zeros(len(s.h) + 1, np.int64) for _, _, s in parts]
-    items: list[dict[int, set]] = [{} for _ in parts]
-    for path in paths:
-        index = load(path)
-        for (_, _, s), edge, own in zip(parts, edges, items, strict=True):
-            more, found = find(s, index)
+    """FOUND of each text. Documents meet every block's index by portions of PORTION bytes."""
+    out: list[tuple] = []
+    for low, high, data, offsets in slices(texts, PORTION):
+        s = Slice(words(LOWER[data], offsets, ALNUM))
+        edge, items = np.zeros(len(s.h) + 1, np.int64), {}
+        for path in paths:
+            more, found = find(s, load(path))
             edge += more
             for doc, of in found:
-                own.setdefault(doc, set()).update(of)
-    none, out = _digest(()), []
-    for (low, high, s), edge, own in zip(parts, edges, items, strict=True):
-        hit, first = np.cumsum(edge)[:-1] > 0, s.w.first
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        for i, n, n_hit in zip(range(high - low), np.diff(first).tolist(), (sums[first[1:]] - sums[first[:-1]]).tolist(), strict=True):
-            if not n_hit:
-                out.append((n, 0, 0, none, False, (), ()))
-                continue
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[i] : first[i + 1]].astype(np.int8), [0]]))).tolist()
-            spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-            out.append((n, n_hit, len(own[i]), _digest(own[i]), True, spans, sorted(x for x in own[i] if x is not None)))
+                items.setdefault(doc, set()).update(of)
+        out += _rows(s.w, high - low, np.cumsum(edge)[:-1] > 0, items)
     columns = list(zip(*out, strict=True)) or [()] * len(FOUND)
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], fields=list(FOUND))
 
 
+def _rows(w: Words, n_docs: int, hit: np.ndarray, items: dict[int, set]) -> Iterator[tuple]:
+    none = _digest(())
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    for i, n, n_hit in zip(range(n_docs), np.diff(w.first).tolist(), (sums[w.first[1:]] - sums[w.first[:-1]]).tolist(), strict=True):
+        if not n_hit:
+            yield n, 0, 0, none, False, (), ()
+            continue
+        turns = np.flatnonzero(np.diff(np.concatenate([[0], hit[w.first[i] : w.first[i + 1]].astype(np.int8), [0]]))).tolist()
+        spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
+        yield n, n_hit, len(items[i]), _digest(items[i]), True, spans, sorted(x for x in items[i] if x is not None)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """For each row of ``docs`` (text, and the columns to ``keep``): those columns, n_words, n_hit, n_items,
     items_sha256, contaminated; with ``spans`` also hits, the (start, end) of hit stretches in words, and items, their
     item_ids. Only texts travel to Python. The index files stay in the shared folder, as the result is read from them."""
     spark = docs.sparkSession
+    bound_batches(spark)
     paths = write_indexes(benchmark, f"{shared_dir(spark)}/textloom-windows-{uuid.uuid4().hex}", window)
 
     @F.arrow_udf(FOUND_SQL)

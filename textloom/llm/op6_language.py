@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import steady
+from .store import bound_batches
 from .words import slices
 
 DIMENSIONS = 512
@@ -131,6 +132,7 @@ FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """``docs`` with lang_pred and score, the greatest cosine (0 if below). Only texts travel to Python."""
+    bound_batches(docs.sparkSession)
     langs = list(prototypes)
     matrix = np.array([prototypes[x] for x in langs], np.float32)
 

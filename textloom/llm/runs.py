@@ -63,7 +63,9 @@ def members(docs: DataFrame, lower: bool, texts: bool, key: Column | None = None
 
 
 def runs(docs: DataFrame, lower: bool, least_words: int = 1) -> DataFrame:
-    """Runs of the distinct texts of at least ``least_words`` words. A text keeps the smallest doc_id and the number of its rows. Write the result before use: run_id holds for one execution."""
+    """Runs of the distinct texts of at least ``least_words`` words, with size, their number of words, to size buckets
+    by. A text keeps the smallest doc_id and the number of its rows. Write the result before use: run_id holds for one
+    execution."""
     each = members(docs, lower, texts=True).where(F.col("n_words") >= least_words)
     distinct = each.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("z").alias("z"))
 
@@ -79,8 +81,9 @@ def runs(docs: DataFrame, lower: bool, least_words: int = 1) -> DataFrame:
                 np.array([NO_ID if x[1] is None else x[1] for x in held], np.int64).tobytes(), np.array([x[2] for x in held], np.int64).tobytes(),
                 np.cumsum([len(x) for x in texts]).astype(np.int64).tobytes(), pack(b"".join(texts)),
             ]
+            words = sum(x[3] for x in held)
             made, held, size = made + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=RUN_COLUMNS)
+            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:]), pa.array([words], pa.int64())], names=[*RUN_COLUMNS, "size"])
 
         for b in batches:
             for digest, i, copies, n, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -91,18 +94,7 @@ def runs(docs: DataFrame, lower: bool, least_words: int = 1) -> DataFrame:
         if held:
             yield flush()
 
-    return distinct.select("digest", "id", "copies", "n_words", "z").mapInArrow(steady(packed), RUN)
-
-
-def sized(table: DataFrame) -> DataFrame:
-    """Runs with size, their number of words, to size buckets by."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = [int(np.frombuffer(x.as_buffer(), np.int64).sum()) for x in b.column(RUN_COLUMNS.index("n_words"))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size, pa.int64())], names=[*RUN_COLUMNS, "size"])
-
-    return table.mapInArrow(steady(add), RUN + ", size bigint")
+    return distinct.select("digest", "id", "copies", "n_words", "z").mapInArrow(steady(packed), RUN + ", size bigint")
 
 
 class Run:

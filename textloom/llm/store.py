@@ -52,6 +52,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(BATCH[0], before)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """The same bound for the rest of the session, where none that is lower is set. Operators whose result is computed
+    when it is read need it then."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH[0])) > int(BATCH[1]):
+        spark.conf.set(*BATCH)
+
+
 class Scope:
     """``with Scope(spark) as s``: ``s.table(df)`` writes a table and gives it back as read; ``s.keep(df)`` likewise,
     but that table outlives the scope. Inside, Arrow batches are small."""

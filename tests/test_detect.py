@@ -133,3 +133,54 @@ def test_tables():
         T.code_page("big5")
     for name in T.candidates():
         "".encode(name)
+
+
+def test_matches_are_equal_by_name_and_text():
+    found = api.from_bytes(BULGARIAN.encode("cp1251"))
+    best = found.best()
+    assert best == "windows-1251" and best == "CP1251" and best != "utf-8" and best == found[0] and best != 5
+    other = D.Match(best.payload, "koi8_r", 0.9, False, [], None)
+    assert best != other and best < other
+    before = len(found)
+    found.append(other)
+    assert len(found) == before + 1 and found[0] == best
+    alike = D.Match(best.payload, "kz1048" if best.encoding != "kz1048" else "cp1251", best.chaos, False, best.languages, None, best.decoded())
+    found.append(alike)
+    assert len(found) == before + 1 and alike.encoding in found[0].could_be_from
+    best.add_submatch(other)
+    assert other in best.submatches and best.take_submatches()[-1] is other and not best.submatches
+    for wrong in (best, "cp1251"):
+        with pytest.raises(ValueError):
+            best.add_submatch(wrong)
+    with pytest.raises(ValueError):
+        found.append("cp1251")
+
+
+def test_samples():
+    payload = CHINESE[:60].encode("gb18030")
+    text = payload.decode("gb18030")
+    parts = list(D.cut_chunks(payload, "gb18030", range(0, len(payload), 7), 8, text=text))
+    assert parts and all(p[:3] in text for p in parts)
+    assert list(D.cut_chunks(b"abcdef", "cp1252", range(0, 6, 2), 2)) == ["ab", "cd", "ef"]
+    with pytest.raises(UnicodeError):
+        list(D.cut_chunks(b"ab\x81", "cp1252", range(0, 3), 3))
+    marked = b"\xef\xbb\xbfabc"
+    assert next(D.cut_chunks(marked, "utf_8", range(3, 6, 3), 3, b"\xef\xbb\xbf", True)) == "abc"
+
+
+def test_character_flags():
+    from textloom.functions import characters as C
+
+    assert C.is_accentuated("é") and not C.is_accentuated("e") and C.is_latin("ß") and C.is_cjk("水") and C.is_hangul("한") and C.is_thai("ก")
+    assert C.is_katakana("ｱ") and C.is_hiragana("ひ") and C.is_arabic("ع") and C.is_arabic_isolated_form("ﻉ") and not C.is_arabic_isolated_form("ع")
+    names = list(T.LANGUAGES)
+    assert T.language_mask("ß") == sum(1 << i for i, n in enumerate(names) if "ß" in T.LANGUAGES[n]) and T.language_mask("!") == 0
+    assert T.language_mask("ж") & 1 << names.index("Russian") and not T.language_mask("ж") & 1 << names.index("English")
+
+
+def test_explain_shows_what_is_noted(capsys):
+    import logging
+
+    level = api.logger.level
+    api.from_bytes(BULGARIAN.encode("cp1251"), explain=True, only=("cp1251",))
+    assert "cp1251" in capsys.readouterr().err and api.logger.level == level and not any(isinstance(h, logging.StreamHandler) for h in api.logger.handlers)

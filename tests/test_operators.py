@@ -127,3 +127,41 @@ def test_job(spark, folder, capsys):
     assert job.main(["-r", "x"], spark) == job.main(["-n", "-f", "x"], spark) == job.main(["-t", "1.5", "x"], spark) == 1
     assert job.main(["-n", f"{folder}/in/a.txt"], spark) == 0
     assert (folder / "in" / "a.cp1251.txt").read_text("utf-8") == RUSSIAN
+
+
+def test_job_reads_the_standard_input(spark, folder, capsys, monkeypatch):
+    import io
+    import types
+
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(RUSSIAN.encode("cp1251"))))
+    assert job.main(["-n", "-", f"{folder}/in/b.sub.txt"], spark) == 0
+    rows = {r["path"].rpartition("/")[2]: r for r in json.loads(capsys.readouterr().out)}
+    assert rows["-"]["encoding"] == "cp1251" and rows["-"]["unicode_path"] is None and rows["b.sub.txt"]["encoding"] == "utf_8"
+
+
+def test_job_writes_and_reports_in_one_pass(spark, folder, capsys):
+    assert job.main(["-n", "-a", f"{folder}/in/a.txt"], spark) == 0
+    rows = json.loads(capsys.readouterr().out)
+    rows = rows if isinstance(rows, list) else [rows]
+    assert rows[0]["is_preferred"] and rows[0]["unicode_path"].endswith("a.cp1251.txt") and not any(r["is_preferred"] for r in rows[1:])
+
+
+def test_evaluation(spark):
+    from textloom.operators import evaluation as E
+
+    rows = [(1, RUSSIAN.encode("cp1251"), "windows-1251"), (2, "été".encode(), "utf-8"), (3, b"\x00\x5f\x2f\xff" * 50, None), (4, b"plain text", "latin-1"), (5, RUSSIAN.encode("cp1251"), "koi8-r"), (6, b"plain", None)]
+    df = spark.createDataFrame(rows, "id int, payload binary, expected string")
+    got = {r.id: r for r in E.evaluated(df, "expected").collect()}
+    assert [got[i].success for i in range(1, 7)] == [True, True, True, True, False, False] and got[4].equivalence == 1.0
+    total = E.coverage(E.evaluated(df, "expected")).first()
+    assert (total.total, total.successes) == (6, 4)
+    assert {r.id: r.success for r in E.compared(df, "expected").collect()}[1]
+    times = E.timed(df, keep=["id"], size_factor=2, most_bytes=100)
+    row = E.latency(times).first()
+    assert row.n == 6 and 0 < row.least <= row.p50 <= row.p95 <= row.p99 <= row.most and E.slowest(times, 2).count() == 2
+
+
+def test_trials(spark):
+    df = spark.createDataFrame([(1, "été à la mer, où l'été fut beau".encode("cp1252"))], "id int, payload binary")
+    got = {r.encoding: r for r in D.trials(df, keep=["id"]).collect()}
+    assert not got["utf_8"].valid and got["cp1252"].valid and not got["cp1252"].rejected and got["ascii"].ordinal == 0 and len(got) > 80

@@ -11,6 +11,8 @@ from .functions.detect import Match, Options
 from .functions.tables import encoding_name
 
 logger = logging.getLogger("textloom")
+#: The level of what is noted of each candidate.
+TRACE = 5
 
 
 class Matches(list):
@@ -21,6 +23,14 @@ class Matches(list):
 
     first = best
 
+    def append(self, match: Match) -> None:
+        """Attach to the first match of the same text and noise, or add and rank anew."""
+        if not isinstance(match, Match):
+            raise ValueError(f"expected a match, not {type(match).__name__}")
+        every = list(self)
+        D.fold(every, match)
+        self[:] = D.ranked(every)
+
     def __getitem__(self, key):
         if not isinstance(key, str):
             return super().__getitem__(key)
@@ -38,10 +48,25 @@ def set_logging_handler(level: int = logging.INFO, name: str = "textloom") -> No
     target.addHandler(logging.StreamHandler())
 
 
+def backend_name() -> str:
+    return "pyspark"
+
+
 def from_bytes(payload: bytes | bytearray, **options) -> Matches:
-    found, trace = D.detect(payload, Options(**options))
-    for level, message in trace:
-        logger.log(level, message)
+    """With ``explain``, all that is noted is shown on the standard error output, whatever the logger's level."""
+    wanted = Options(**options)
+    found, trace = D.detect(payload, wanted)
+    level, handler = logger.level, logging.StreamHandler()
+    if wanted.explain:
+        logger.addHandler(handler)
+        logger.setLevel(TRACE)
+    try:
+        for of, message in trace:
+            logger.log(of, message)
+    finally:
+        if wanted.explain:
+            logger.removeHandler(handler)
+            logger.setLevel(level)
     return Matches(found)
 
 

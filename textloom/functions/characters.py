@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -41,6 +42,21 @@ def name_flags(character: str) -> int:
     return out
 
 
+def _flagged(bit: int, kind: str) -> Callable[[str], bool]:
+    def test(character: str) -> bool:
+        return bool(name_flags(character) & bit)
+
+    test.__name__ = test.__qualname__ = f"is_{kind}"
+    test.__doc__ = f"Whether the character is {kind.replace('_', ' ')} by its Unicode name."
+    return test
+
+
+is_accentuated, is_latin, is_cjk, is_hangul, is_katakana, is_hiragana, is_thai, is_arabic, is_arabic_isolated_form = (
+    _flagged(bit, kind)
+    for bit, kind in ((ACCENT, "accentuated"), (LATIN, "latin"), (CJK, "cjk"), (HANGUL, "hangul"), (KATAKANA, "katakana"), (HIRAGANA, "hiragana"), (THAI, "thai"), (ARABIC, "arabic"), (ISOLATED, "arabic_isolated_form"))
+)
+
+
 def remove_accent(character: str) -> str:
     """The head of the character's canonical decomposition, itself if it has none."""
     parts = unicodedata.decomposition(character).split()

@@ -45,7 +45,13 @@ def alphabet_languages(letters: Iterable[str], ignore_non_latin: bool = False) -
 
 def popularity(name: str, ordered: Sequence[str]) -> float:
     """The share of the letters, ordered from most to least frequent, whose place agrees with the language's. NaN
-    without letters, ValueError for an unknown language.
+    without letters, ValueError for an unknown language."""
+    found = agreeing(name, ordered)
+    return found / len(ordered) if ordered else float("nan")
+
+
+def agreeing(name: str, ordered: Sequence[str]) -> int:
+    """How many of the letters, ordered from most to least frequent, have a place that agrees with the language's.
 
     A shared letter agrees if it is the language's most frequent one; or, in large alphabets, if its place projected to
     the alphabet's size is within a third of it; or if two fifths of the letters before it in the language are before
@@ -55,13 +61,13 @@ def popularity(name: str, ordered: Sequence[str]) -> float:
     if name not in T.LANGUAGES:
         raise ValueError(f"{name} has no frequency profile")
     if not ordered:
-        return float("nan")
+        return 0
     alphabet = T.LANGUAGES[name]
     size, n = len(alphabet), len(ordered)
     place = _places(name)
     shared = [(place[c], i) for i, c in enumerate(ordered) if c in place]
     if not shared:
-        return 0.0
+        return 0
     theirs, ours = np.array(shared).T
     distance = np.abs((ours * (size / n)).astype(np.int64) - theirs)
     sure = theirs == 0
@@ -70,14 +76,14 @@ def popularity(name: str, ordered: Sequence[str]) -> float:
     else:
         near = distance <= 4
         if not near.any():
-            return 0.0
+            return 0
         sure &= near
     open_ = ~sure if size > 26 else near & ~sure
     lower, place_here = theirs[open_, None], ours[open_, None]
     before = ((theirs < lower) & (ours < place_here)).sum(axis=1)
     after = ((theirs >= lower) & (ours >= place_here)).sum(axis=1)
     agrees = (5 * before >= 2 * theirs[open_]) | (5 * after >= 2 * (size - theirs[open_]))
-    return (int(sure.sum()) + int(agrees.sum())) / n
+    return int(sure.sum()) + int(agrees.sum())
 
 
 def layers(text: str) -> list[str]:

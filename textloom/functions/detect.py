@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 from . import tables as T
-from .coherence import Ratios, coherence_ratio, merge
+from .coherence import Ratios, _coherence, coherence_ratio, merge
 from .mess import NAMES, mess_details
 
 _DECLARED_BYTES = re.compile(T.DECLARATION.encode(), re.IGNORECASE)
@@ -44,9 +44,10 @@ class Options:
             raise ValueError("steps and chunk_size are at least 1")
 
 
-@dataclass
+@dataclass(eq=False)
 class Match:
-    """One encoding that the payload may be in."""
+    """One encoding that the payload may be in. Equal to another one of the same encoding and text, and to every name
+    of its encoding."""
 
     payload: bytes
     encoding: str
@@ -63,6 +64,33 @@ class Match:
             self.text = text[1:] if self.encoding == "utf_7" and self.bom and text.startswith("﻿") else text
         return self.text
 
+    def __eq__(self, other: object) -> bool:
+        if isinstance(other, str):
+            return T.encoding_name(other, strict=False) == self.encoding
+        return isinstance(other, Match) and self.same_as(other)
+
+    __hash__ = None
+
+    def __lt__(self, other: object) -> bool:
+        if not isinstance(other, Match):
+            raise ValueError("only matches are ranked")
+        return ranks_before(self, other)
+
+    def same_as(self, other: Match) -> bool:
+        return self is other or self.encoding == other.encoding and self.decoded() == other.decoded()
+
+    def add_submatch(self, other: Match) -> None:
+        """Attach another encoding of the same text."""
+        if not isinstance(other, Match) or self.same_as(other):
+            raise ValueError(f"a {type(other).__name__} that is no other match can't be attached")
+        other.text = None
+        self.submatches.append(other)
+
+    def take_submatches(self) -> list[Match]:
+        """Detach them all."""
+        taken, self.submatches = self.submatches, []
+        return taken
+
     @property
     def coherence(self) -> float:
         return self.languages[0][1] if self.languages else 0.0
@@ -162,7 +190,7 @@ def ranked(matches: list[Match]) -> list[Match]:
     return out
 
 
-def _fold(matches: list[Match], item: Match) -> None:
+def fold(matches: list[Match], item: Match) -> None:
     """Append, or attach to the first match of the same text and noise."""
     for other in matches:
         if len(item.payload) < T.TOO_BIG and item.chaos == other.chaos and item.decoded() == other.decoded():
@@ -172,6 +200,48 @@ def _fold(matches: list[Match], item: Match) -> None:
     matches.append(item)
 
 
+def cut_chunks(payload: bytes, encoding: str, offsets: range, size: int, mark: bytes = b"", strip: bool = False, multi_byte: bool | None = None, text: str | None = None, deferred: bool = False) -> Iterator[str]:
+    """Samples of ``size`` bytes of a payload as text, one from each offset on; UnicodeError where one isn't valid.
+    ``mark`` is the payload's byte-order mark, if it has one of this encoding, and ``strip`` leaves it out. ``text`` is the whole
+    payload decoded, by which samples of multi-byte encodings are moved to where a character begins; without it
+    (``deferred``: because the payload is too large) they begin where they fall."""
+    n = len(payload)
+    multi_byte = T.is_multi_byte(encoding) if multi_byte is None else multi_byte
+    if text is not None and encoding.startswith("iso2022_"):
+        for at in offsets:
+            part = text[at * len(text) // n :][:size]
+            if not part:
+                return
+            yield part
+    elif not multi_byte and not deferred:
+        base = payload[len(mark) if strip else 0 :]
+        parts = [base[at : at + size] for at in offsets]
+        parts = parts[: parts.index(b"")] if b"" in parts else parts
+        yield from [strict(x, encoding) for x in parts]  # all are valid, or none counts
+    else:
+        kept = b"" if strip else mark
+        whole = [(at, min(at + size, n)) for at in offsets if at + size <= n + 8]
+        if not multi_byte:
+            yield from [strict(kept + payload[a:b], encoding) for a, b in whole]
+            return
+        for a, b in whole:
+            yield _aligned(payload, encoding, text, kept, a, b, min(size, 16))
+
+
+def _aligned(payload: bytes, encoding: str, text: str | None, kept: bytes, a: int, b: int, head: int) -> str:
+    """A sample may begin inside a character. It does if its beginning isn't in the text; then up to three bytes
+    earlier are tried, and the last try stands."""
+    part = lenient(kept + payload[a:b], encoding)
+    if text is None or not a or part[:head] in text:
+        return part
+    for back in range(4):
+        start = a - back if back <= a else max(0, len(payload) - (back - a))
+        part = lenient(kept + payload[min(start, b) : b], encoding)
+        if part[:head] in text:
+            break
+    return part
+
+
 @dataclass
 class _Candidate:
     encoding: str
@@ -231,41 +301,9 @@ class _Run:
 
     def chunks(self, c: _Candidate, text: str | None) -> Iterator[str]:
         """Samples of the payload as text; UnicodeError ends the candidate."""
-        n, size = len(self.payload), self.chunk
+        n = len(self.payload)
         offsets = range(len(self.mark) if c.bom else 0, n, max(1, n // self.steps))
-        if text is not None and c.encoding.startswith("iso2022_"):
-            for at in offsets:
-                part = text[at * len(text) // n :][:size]
-                if not part:
-                    return
-                yield part
-        elif not c.multi_byte and not self.large:
-            base = self.payload[c.stripped :]
-            parts = [base[at : at + size] for at in offsets]
-            parts = parts[: parts.index(b"")] if b"" in parts else parts
-            yield from [strict(x, c.encoding) for x in parts]  # all are valid, or none counts
-        else:
-            kept = self.mark if c.bom and not c.stripped else b""
-            whole = [(at, min(at + size, n)) for at in offsets if at + size <= n + 8]
-            if not c.multi_byte:
-                yield from [strict(kept + self.payload[a:b], c.encoding) for a, b in whole]
-                return
-            for a, b in whole:
-                yield self._aligned(c, text, kept, a, b)
-
-    def _aligned(self, c: _Candidate, text: str | None, kept: bytes, a: int, b: int) -> str:
-        """A sample may begin inside a character. It does if its beginning isn't in the text; then up to three bytes
-        earlier are tried, and the last try stands."""
-        part = lenient(kept + self.payload[a:b], c.encoding)
-        head = min(self.chunk, 16)
-        if text is None or not a or part[:head] in text:
-            return part
-        for back in range(4):
-            start = a - back if back <= a else max(0, len(self.payload) - (back - a))
-            part = lenient(kept + self.payload[min(start, b) : b], c.encoding)
-            if part[:head] in text:
-                break
-        return part
+        return cut_chunks(self.payload, c.encoding, offsets, self.chunk, self.mark if c.bom else b"", bool(c.stripped), c.multi_byte, text, self.large)
 
     def tried(self, encoding: str) -> list[Match] | None:
         """The final answer, if this candidate settles it."""
@@ -330,14 +368,14 @@ class _Run:
         encoding, n = c.encoding, len(self.payload)
         preferred = self.preferred(encoding)
         found = self.match(c, mean, languages, text if not self.large or preferred else None)
-        _fold(self.results, self.match(c, mean, languages, found.text))
+        fold(self.results, self.match(c, mean, languages, found.text))
         if self.sure_languages is not None and not c.multi_byte and mean < 0.02:
             self.successes += 1
         if preferred and mean < 0.1:
             if mean == 0.0:
                 self.say(10, f"Encoding detection: {encoding} is most likely the one.")
                 return [found]
-            _fold(self.early, self.match(c, mean, languages, found.text))
+            fold(self.early, self.match(c, mean, languages, found.text))
         baseline = {"ascii", "utf_8"} <= self.tested
         if self.early and baseline and (self.declared is None or self.declared in self.tested):
             return ranked(self.early)[:1]
@@ -359,6 +397,8 @@ class _Run:
         out = ranked(self.results)
         if out:
             self.say(10, f"Encoding detection: Found {out[0].encoding} as plausible (best-candidate) for content. With {len(out) - 1} alternatives.")
+            if self.options.explain and len(out) > 1:
+                self.say(5, f"Alternatives: {', '.join(m.encoding for m in out[1:])}.")
         else:
             self.say(10, "Encoding detection: Unable to determine any suitable charset.")
         return out
@@ -375,6 +415,38 @@ def detect(payload: bytes, options: Options | None = None) -> tuple[list[Match],
     return run.answer(), run.trace
 
 
+def trials(payload: bytes, options: Options | None = None) -> list[dict]:
+    """Every candidate for itself, without the early ends of :func:`detect`: place in the order of trial, encoding, the
+    mark that it is marked by, whether all of the payload is valid in it, the noise of each sample, and whether that
+    rejects it. What explains an answer, at a hundred times its cost."""
+    options, out = options or Options(), []
+    run = _Run(payload, options)
+    first = [x for x in (run.marked, run.declared, "ascii", "utf_8") if x]
+    only, without = run.only, run.without
+    for encoding in dict.fromkeys((*first, *T.candidates())):
+        if only and encoding not in only or encoding in without:
+            continue
+        bom, multi_byte = encoding == run.marked, T.is_multi_byte(encoding)
+        strip = bom and encoding not in ("utf_16", "utf_32")
+        try:
+            text = strict(payload[len(run.mark) if strip else 0 :], encoding)
+            offsets = range(len(run.mark) if bom else 0, len(payload), max(1, len(payload) // run.steps))
+            noise = [_mess(x, options.threshold)[0] for x in cut_chunks(payload, encoding, offsets, run.chunk, run.mark if bom else b"", strip, multi_byte, text if multi_byte else None)]
+            valid = True
+        except UnicodeError:
+            noise, valid = [], False
+        over = sum(x >= options.threshold for x in noise)
+        rejected = not valid or bool(noise) and (sum(noise) / len(noise) >= options.threshold or over >= max(len(noise) // 4, 2))
+        out.append({"ordinal": len(out), "encoding": encoding, "marked": bom, "valid": valid, "noise": noise, "rejected": rejected})
+    return out
+
+
+def forget() -> None:
+    """Empty the memory of samples that were scored before."""
+    _mess.cache_clear()
+    _coherence.cache_clear()
+
+
 def is_binary(payload: bytes, options: Options | None = None) -> bool:
     """Whether no encoding fits, fallbacks aside."""
     options = options or Options()

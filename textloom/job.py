@@ -2,21 +2,24 @@
 
     spark-submit job.py [-v] [-a] [-n] [-m] [-r] [-f] [-i] [-t THRESHOLD] FILE...
 
-Exit status: 1 for arguments that don't go together, 2 if writing failed, else 0, files without an encoding included.
+A FILE of - is the standard input. Exit status: 1 for arguments that don't go together, 2 if writing failed, else 0, files without an encoding included.
 """
 
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import __version__
 from .functions.detect import Options
-from .operators.detection import report_rows, to_json
-from .sources.files import read_files, write_normalized
+from .operators.detection import charset_matches, report_rows, to_json
+from .sources.files import read_files, sink
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,25 +47,29 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return 0
     spark = spark or SparkSession.builder.appName("textloom").getOrCreate()
     options = Options(threshold=a.threshold, preemptive=not a.no_preemptive, explain=a.verbose)
-    files = read_files(spark, *a.files)
-    written = {}
-    rows = [r.asDict(recursive=True) for r in report_rows(files, "path", "payload", options, a.with_alternative).orderBy("path").toLocalIterator()]
-    if a.normalize:
-        try:
-            written = {r.path: r.unicode_path for r in write_normalized(files, replace=a.replace, options=options).toLocalIterator()}
-        except Exception as error:  # of the store
-            print(error, file=sys.stderr)
-            return 2
-    for r in rows:
-        if r["is_preferred"]:
-            r["unicode_path"] = written.get(r["path"])
-    if a.minimal:
-        by_path: dict[str, list[str]] = {}
-        for r in rows:
-            by_path.setdefault(r["path"], []).append(r["encoding"] or "undefined")
-        print("\n".join(", ".join(x) for x in by_path.values()))
-    else:
-        print(to_json(rows))
+    paths = [x for x in a.files if x != "-"]
+    files = read_files(spark, *paths).select("path", "payload") if paths else None
+    if "-" in a.files:
+        given = spark.createDataFrame([("-", sys.stdin.buffer.read())], "path string, payload binary")
+        files = given if files is None else files.unionByName(given)
+    write = sink(replace=a.replace) if a.normalize else None
+    # what comes from the standard input has no place to be written to
+    report = report_rows(files, "path", "payload", options, a.with_alternative, write and (lambda path, match: None if path == "-" else write(path, match)), ranked=True)
+    rows = (r.asDict(recursive=True) for r in report.orderBy("path", "rank").drop("rank").toLocalIterator())
+    try:
+        if a.minimal:
+            for _, own in groupby(rows, key=lambda r: r["path"]):
+                print(", ".join(r["encoding"] or "undefined" for r in own))
+        else:
+            for part in to_json(rows):
+                print(part, end="")
+            print()
+    except Exception as error:  # of the store
+        print(error, file=sys.stderr)
+        return 2
+    if a.verbose:
+        for r in charset_matches(files, "payload", options).select("path", F.explode("trace").alias("t")).select("path", "t.*").orderBy("path").toLocalIterator():
+            print(f"{r.path} | {logging.getLevelName(r.level)} | {r.message}", file=sys.stderr)
     return 0
 
 

@@ -7,7 +7,9 @@ all cores first (:func:`spread`). Select what is needed before: the batch functi
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import textwrap
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,14 +68,16 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores, if by its size the input would be fewer tasks than there are. The kernel takes a thousand
     times as long as the shuffle of a payload; a small file is one task whatever its rows cost. Large inputs stay where
     they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(4 * cores) if not df.isStreaming and size < cores * TASK_BYTES else df
+    return df.repartition(4 * cores) if size < cores * TASK_BYTES else df
 
 
-def _mapped(df: DataFrame, column: str, keep: Sequence[str] | None, added: list[tuple[str, str, pa.DataType]], of) -> DataFrame:
-    """``df``'s columns to keep (all but the payload if None) and those that ``of`` gives for each payload."""
+def _mapped(df: DataFrame, column: str, keep: Sequence[str] | None, added: list[tuple[str, str, pa.DataType]], of, named: str | None = None) -> DataFrame:
+    """``df``'s columns to keep (all but the payload if None) and those that ``of`` gives for each payload, and for the
+    value of the kept column ``named``, if one is."""
     keep = [c for c in df.columns if c != column] if keep is None else list(keep)
     columns = list(dict.fromkeys([*keep, column]))
     at, kept = columns.index(column), [columns.index(c) for c in keep]
@@ -85,7 +89,8 @@ def _mapped(df: DataFrame, column: str, keep: Sequence[str] | None, added: list[
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS):
                 b = whole.slice(low, ROWS)
-                out = [of(x.as_buffer().to_pybytes()) if x.is_valid else (None,) * len(added) for x in b.column(at)]
+                more = zip() if named is None else zip(b.column(columns.index(named)).to_pylist(), strict=True)
+                out = [of(x.as_buffer().to_pybytes(), *next(more, ())) if x.is_valid else (next(more, ()), *(None,) * len(added))[1:] for x in b.column(at)]
                 values = [pa.array([r[i] for r in out], kind) for i, (_, _, kind) in enumerate(added)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *values], names=[*keep, *(name for name, _, _ in added)])
 
@@ -154,10 +159,11 @@ def normalize(df: DataFrame, column: str = "payload", target: str = "utf_8", opt
     return _mapped(df, column, keep, [("encoding", "string", pa.string()), ("output", "binary", pa.binary()), ("output_text", "string", pa.string())], of)
 
 
-def report_rows(df: DataFrame, path: str = "path", column: str = "payload", options: D.Options | None = None, alternatives: bool = False) -> DataFrame:
+def report_rows(df: DataFrame, path: str = "path", column: str = "payload", options: D.Options | None = None, alternatives: bool = False, sink: Callable[[str, D.Match | None], str | None] | None = None, ranked: bool = False) -> DataFrame:
     """The rows of a report on files: path, encoding, encoding_aliases, alternative_encodings, language, alphabets,
     has_sig_or_bom, chaos and coherence in percent, unicode_path, is_preferred. Without a match one row of chaos 100;
-    with ``alternatives`` also the matches after the best one."""
+    with ``alternatives`` also the matches after the best one. ``sink`` writes the best match's text somewhere, which is
+    its unicode_path, so that a file is detected once; ``ranked`` adds the matches' rank."""
     options = options or D.Options()
     fields = [
         ("encoding", "string", pa.string()),
@@ -173,17 +179,40 @@ def report_rows(df: DataFrame, path: str = "path", column: str = "payload", opti
     ]
     row = pa.struct([(n, t) for n, _, t in fields])
 
-    def of(payload: bytes):
+    def of(payload: bytes, name: str):
         found, _ = D.detect(payload, options)
         if not found:
             return ([dict(zip(row.names, (None, [], [], "Unknown", [], False, 1.0, 0.0, None, True), strict=True))],)
         kept = found if alternatives else found[:1]
-        return ([dict(zip(row.names, (m.encoding, T.aliases(m.encoding), m.could_be_from[1:], m.language, m.alphabets, m.bom, round(m.chaos * 100, 3), round(m.coherence * 100, 3), None, not i), strict=True)) for i, m in enumerate(kept)],)
+        place = sink(name, found[0]) if sink else None
+        return ([dict(zip(row.names, (m.encoding, T.aliases(m.encoding), m.could_be_from[1:], m.language, m.alphabets, m.bom, round(m.chaos * 100, 3), round(m.coherence * 100, 3), None if i else place, not i), strict=True)) for i, m in enumerate(kept)],)
 
     sql = f"array<struct<{','.join(f'{n}:{s}' for n, s, _ in fields)}>>"
-    return _mapped(df, column, [path], [("rows", sql, pa.list_(row))], of).select(path, F.explode("rows").alias("r")).select(path, "r.*")
-
-
-def to_json(rows: Sequence[dict]) -> str:
-    """One report as an object, several as a list; ASCII only, indented by 4."""
-    return json.dumps(rows[0] if len(rows) == 1 else list(rows), ensure_ascii=True, indent=4)
+    return _mapped(df, column, [path], [("rows", sql, pa.list_(row))], of, path).select(path, F.posexplode("rows").alias("rank", "r")).select(path, *["rank"] * ranked, "r.*")
+
+
+TRIAL_SQL = "array<struct<ordinal:int,encoding:string,marked:boolean,valid:boolean,noise:array<double>,rejected:boolean>>"
+TRIAL = pa.list_(pa.struct([("ordinal", pa.int32()), ("encoding", pa.string()), ("marked", pa.bool_()), ("valid", pa.bool_()), ("noise", pa.list_(pa.float64())), ("rejected", pa.bool_())]))
+
+
+def trials(df: DataFrame, column: str = "payload", options: D.Options | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """A row for each payload and candidate, tried without early ends: ordinal, encoding, marked, valid, noise (of each
+    sample), mean_noise, rejected. For explanations: detection itself stops where it can."""
+    out = _mapped(df, column, keep, [("_trials", TRIAL_SQL, TRIAL)], lambda p: (D.trials(p, options),))
+    kept = [c for c in out.columns if c != "_trials"]
+    each = out.select(*kept, F.explode("_trials").alias("t")).select(*kept, "t.*")
+    return each.withColumn("mean_noise", F.aggregate("noise", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("noise"), F.lit(1)))
+
+
+def to_json(rows: Iterable[dict]) -> Iterator[str]:
+    """One report as an object, several as a list, in parts as they come; ASCII only, indented by 4."""
+    rows = iter(rows)
+    first, second = next(rows, None), next(rows, None)
+    if first is None or second is None:
+        yield json.dumps([] if first is None else first, ensure_ascii=True, indent=4)
+        return
+    before = "[\n"
+    for row in chain((first, second), rows):
+        yield before + textwrap.indent(json.dumps(row, ensure_ascii=True, indent=4), "    ")
+        before = ",\n"
+    yield "\n]"

@@ -27,7 +27,7 @@ def _at(indexes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return _upto(np.bincount(indexes, weights=counts, minlength=n)) if len(indexes) else np.zeros(n + 1)
 
 
-def _marks(codes, p, n):
+def mark_weights(codes, p, n):
     """Detector 1: punctuation once, symbols twice, unless safe or a repeat of the printable character before."""
     at = np.flatnonzero(p & C.PRINTABLE)
     own, q = codes[at], p[at]
@@ -47,7 +47,7 @@ def _accent_pairs(codes, p, n):
     return _at(at[1:], both * (((q[1:] & q[:-1] & C.UPPER) > 0) + (base[1:] == base[:-1]).astype(int)), n)
 
 
-def _range_pairs(codes, p, n):
+def range_pairs(codes, p, n):
     """Detector 5: printable neighbours of ranges that don't go together; spaces and marks part neighbours."""
     at = np.flatnonzero(p & C.PRINTABLE)
     q, r = p[at], C.range_indexes(codes[at])
@@ -168,12 +168,12 @@ def _ratios(codes: np.ndarray, p: np.ndarray, stops: np.ndarray, pure_ascii: boo
     out = np.zeros((10, len(stops)))
     printable = sums((p & C.PRINTABLE) > 0)
     if met & (C.PUNCTUATION | C.SYMBOL):
-        x = share(_marks(codes, p, n)[stops], printable)
+        x = share(mark_weights(codes, p, n)[stops], printable)
         out[0] = np.where(x >= 0.3, x, 0)
     if met & C.UNPRINTABLE:
         out[2] = np.where(sums(codes == 0x1B) > 0, 1.0, 8 * sums((p & C.UNPRINTABLE) > 0) / stops)
     if not pure_ascii:  # ASCII is one range
-        out[4] = share(2 * _range_pairs(codes, p, n)[stops], printable, printable > 13)
+        out[4] = share(2 * range_pairs(codes, p, n)[stops], printable, printable > 13)
     # of ASCII, only a symbol inside a word makes it bad
     marks = ((p & (C.SYMBOL | C.DIGIT | C.PUNCTUATION | C.SEPARATOR | C.SPACE)) == C.SYMBOL) if pure_ascii else alpha
     if marks.any():

@@ -6,7 +6,7 @@ loop over characters, and returns counts; all else is Spark's own expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import batches as B
 from ..functions import characters as C
+from ..functions import coherence as K
+from ..functions import mess as M
 from ..functions import tables as T
 
 #: Code points that classes cover: all planes with letters.
@@ -184,6 +186,54 @@ def characters(df: DataFrame, by: list[str], text: str = "text", bits: int = 0,
     return each.groupBy(*by, "character").agg(F.sum("n").alias("n"), *([F.min(F.struct("_order", "_place")).alias("first")] if order else []))
 
 
+def each_of(text: Column | str, of: Callable[[np.ndarray, np.ndarray, int], float], kind: str = "bigint") -> Column:
+    """A number for each text, from its code points, their properties, and how many they are; null for a null text."""
+
+    def numbers(texts: pa.Array) -> pa.Array:
+        out = []
+        for _, _, codes, first in B.code_points(texts):
+            p = C.properties(codes)
+            out += [of(codes[a:b], p[a:b], b - a) if b > a else 0 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return pa.array(out, mask=texts.is_null().to_numpy(zero_copy_only=False)).cast(pa.int64() if kind == "bigint" else pa.float64())
+
+    @F.arrow_udf(kind)
+    def counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(numbers, texts)
+
+    return counted(_col(text))
+
+
+def mark_weights(text: Column | str) -> Column:
+    """Detector 1's count: punctuation once, symbols twice, unless safe or a repeat of the printable one before."""
+    return each_of(text, lambda codes, p, n: int(M.mark_weights(codes, p, n)[-1]))
+
+
+def range_pairs(text: Column | str) -> Column:
+    """Detector 5's count: printable neighbours of ranges that don't go together."""
+    return each_of(text, lambda codes, p, n: int(M.range_pairs(codes, p, n)[-1]))
+
+
+#: Of single characters, what is told by their properties.
+KINDS = {"is_alpha": C.ALPHA, "is_upper": C.UPPER, "is_lower": C.LOWER, "is_digit": C.DIGIT, "is_space": C.SPACE, "is_ascii": C.ASCII, "is_punctuation": C.PUNCTUATION, "is_symbol": C.SYMBOL, "is_case_variable": C.CASED, "is_unprintable": C.UNPRINTABLE, "is_cjk": C.CJK, "is_katakana": C.KATAKANA, "is_hiragana": C.HIRAGANA, "is_hangul": C.HANGUL, "is_thai": C.THAI, "is_arabic": C.ARABIC, "is_latin": C.LATIN}
+
+
+def character_kinds(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """(by..., character, n, base, one flag for each of KINDS): the characters of each group's texts. Properties are
+    looked up for distinct characters alone."""
+
+    def of(letters: pa.Array) -> pa.Array:
+        codes = np.fromiter(map(ord, letters.to_pylist()), np.int64, len(letters))
+        p = C.properties(codes)
+        columns = [pa.array(list(map(chr, C.bases(codes).tolist())), pa.string()), *(pa.array((p & b) > 0) for b in KINDS.values())]
+        return pa.StructArray.from_arrays(columns, names=["base", *KINDS])
+
+    @F.arrow_udf("struct<base:string," + ",".join(f"{k}:boolean" for k in KINDS) + ">")
+    def kinds(letters: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(of, letters)
+
+    return characters(df, by, text).withColumn("_k", kinds(F.col("character"))).select(*by, "character", "n", "_k.*")
+
+
 def ranges_table(spark) -> DataFrame:
     """Fixed size: the Unicode ranges with family and whether they are secondary."""
     return spark.createDataFrame([(n, a, b, T.family(n), T.is_secondary(n)) for n, a, b in T.bounds()], "range string, start int, stop int, family string, secondary boolean")
@@ -208,6 +258,24 @@ def letter_ranks(df: DataFrame, by: list[str], text: str = "text", order: str =
     return ranked.select(*by, F.col("character").alias("letter"), "n", "rank")
 
 
+def popularity(ranks: DataFrame, by: list[str]) -> DataFrame:
+    """From (by..., letter, n, rank) of :func:`letter_ranks`: (by..., language, n_agreeing, n_letters), how many letters
+    have a place that agrees with the language's, for every language. A group has one row for each letter, so it is
+    gathered in one; texts are not."""
+    ordered = ranks.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "letter"))), lambda x: x["letter"]).alias("_letters"))
+
+    def of(letters: pa.Array) -> pa.Array:
+        rows = [[{"language": k, "n_agreeing": K.agreeing(k, x)} for k in T.LANGUAGES] for x in letters.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("language", pa.string()), ("n_agreeing", pa.int64())])))
+
+    @F.arrow_udf("array<struct<language:string,n_agreeing:bigint>>")
+    def agreeing(letters: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(of, letters)
+
+    each = ordered.withColumn("n_letters", F.size("_letters").cast("long")).select(*by, "n_letters", F.explode(agreeing(F.col("_letters"))).alias("x"))
+    return each.select(*by, "x.language", "x.n_agreeing", "n_letters")
+
+
 def alphabet_coverage(df: DataFrame, keys: list[str], text: str = "text", least: float = 0.2) -> DataFrame:
     """(keys..., language, n_shared, n_alphabet): languages of which at least a share of the alphabet is in the text."""
     letters = F.array_distinct(F.filter(F.split(F.lower(_col(text)), ""), lambda x: x != ""))

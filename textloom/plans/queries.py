@@ -12,6 +12,7 @@ from ..functions import sql as S
 from ..functions import tables as T
 from ..functions.detect import Options
 from ..operators import detection as D
+from ..operators import evaluation as E
 from ..operators import profiles as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +199,123 @@ def accent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled(spark, sf_dir).select("doc_id", P.accent_pairs("text").alias("n_pairs"))
 
 
+# Characters, one at a time: DuckDB knows Unicode by itself
+
+_PLACES = f"SELECT doc_id, unnest(string_split(text, '')) AS x, generate_subscripts(string_split(text, ''), 1) AS i FROM ({_SAMPLED}) AS t"
+_KINDS = {
+    "is_alpha": r"\p{L}", "is_upper": r"\p{Lu}", "is_lower": r"[\p{Ll}ªº]", "is_digit": r"[\p{Nd}¹²³]", "is_space": r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\p{Z}]", "is_ascii": r"[\x{00}-\x{7F}]",
+    "is_punctuation": r"\p{P}", "is_symbol": r"[\p{S}¹²³¼½¾\x{FF01}-\x{FF20}]", "is_case_variable": r"[\p{Lu}\p{Ll}]", "is_unprintable": r"[\x{00}-\x{08}\x{0E}-\x{19}\x{1B}\x{7F}]",
+    "is_cjk": r"\p{Han}", "is_katakana": r"[\p{Katakana}]", "is_hiragana": r"\p{Hiragana}", "is_hangul": r"\p{Hangul}", "is_thai": r"\p{Thai}", "is_arabic": r"\p{Arabic}", "is_latin": r"\p{Latin}",
+}
+
+
+@query(
+    f"""WITH c AS (SELECT x AS character, count(*) AS n FROM ({_PLACES}) WHERE x <> '' GROUP BY x)
+    SELECT character, n, CASE WHEN regexp_matches(character, '\\p{{L}}') THEN strip_accents(character) ELSE character END AS base, {", ".join(f"regexp_matches(character, '{p}') AS {k}" for k, p in _KINDS.items())} FROM c"""
+)
+def character_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.character_kinds(sampled(spark, sf_dir), [])
+
+
+# Noise detectors
+
+_WEIGHTS = f"""WITH c AS ({_PLACES}),
+    p AS (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c WHERE regexp_matches(x, '{sql_class(C.PRINTABLE)}')),
+    w AS (SELECT doc_id, sum(CASE WHEN x IS NOT DISTINCT FROM before OR regexp_matches(x, '{sql_class(C.SAFE)}') THEN 0 WHEN regexp_matches(x, '{sql_class(C.PUNCTUATION)}') THEN 1
+      WHEN regexp_matches(x, '{sql_class(C.SYMBOL, C.DIGIT | C.EMOTICON)}') THEN 2 ELSE 0 END) AS n FROM p GROUP BY doc_id)"""
+
+
+@query(f"{_WEIGHTS} SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_marks FROM ({_SAMPLED}) AS d LEFT JOIN w USING (doc_id)")
+def mark_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled(spark, sf_dir).select("doc_id", P.mark_weights("text").alias("n_marks"))
+
+
+_MIXED = ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in T.MIXED_FAMILIES)
+_ANY = ", ".join(f"'{x}'" for x in T.ANY_FAMILIES)
+_WITH_BASIC = ", ".join(f"'{x}'" for x in T.BASIC_LATIN_FAMILIES)
+
+
+@query(
+    f"""WITH r(range, start, stop, family) AS (VALUES {_RANGES}),
+    c AS ({_PLACES}),
+    m AS (SELECT x, range, family, regexp_matches(x, '{sql_class(C.SPACE)}') OR regexp_matches(x, '{sql_class(C.PUNCTUATION)}') OR regexp_matches(x, '{sql_class(C.SAFE)}') AS apart
+      FROM (SELECT DISTINCT x FROM c WHERE regexp_matches(x, '{sql_class(C.PRINTABLE)}')) LEFT JOIN r ON unicode(x) >= start AND unicode(x) < stop),
+    p AS (SELECT doc_id, m.*, lag(range) OVER o AS range2, lag(family) OVER o AS family2, lag(apart) OVER o AS apart2 FROM c JOIN m USING (x) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    s AS (SELECT doc_id, count(*) FILTER (NOT apart AND NOT apart2 AND (range IS DISTINCT FROM range2 OR range IS NULL) AND CASE
+      WHEN range IS NULL OR range2 IS NULL THEN true
+      WHEN family = family2 OR family IN ({_ANY}) OR family2 IN ({_ANY}) OR (family, family2) IN ({_MIXED}) THEN false
+      WHEN range = 'Basic Latin' THEN family2 NOT IN ({_WITH_BASIC}) WHEN range2 = 'Basic Latin' THEN family NOT IN ({_WITH_BASIC}) ELSE true END) AS n FROM p GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_pairs FROM ({_SAMPLED}) AS d LEFT JOIN s USING (doc_id)"""
+)
+def range_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled(spark, sf_dir).select("doc_id", P.range_pairs("text").alias("n_pairs"))
+
+
+_OF = ", ".join(f"len(regexp_extract_all(text, '{sql_class(*b)}')) AS {n}" for n, b in {**P.COUNTS, "n_kana_cjk": (C.ALPHA | C.CJK, C.KATAKANA), "n_kana_rare": (C.ALPHA | C.CJK, C.KATAKANA | C.COMMON), "n_latin": (C.ALPHA | C.LATIN, 0)}.items() if n != "n_chars")
+
+
+@query(
+    f"""{_WEIGHTS}, k AS (SELECT doc_id, length(text) AS n_chars, contains(text, chr(27)) AS escaped, {_OF} FROM ({_SAMPLED}))
+    SELECT doc_id,
+      CASE WHEN coalesce(n, 0) >= 0.3 * n_printable AND n_printable > 0 AND n::DOUBLE / n_printable >= 0.3 THEN n::DOUBLE / n_printable ELSE 0 END AS marks,
+      CASE WHEN n_alpha >= 8 AND n_accentuated::DOUBLE / n_alpha >= 0.35 THEN n_accentuated::DOUBLE / n_alpha ELSE 0 END AS accents,
+      CASE WHEN escaped THEN 1.0::DOUBLE ELSE 8 * n_unprintable::DOUBLE / (n_chars + 1) END AS unprintable,
+      CASE WHEN n_cjk >= 4 THEN greatest((2 * n_cjk_uncommon - n_cjk)::DOUBLE / (5 * greatest(n_cjk, 16)), 0) ELSE 0 END AS cjk,
+      CASE WHEN n_katakana_halfwidth >= 4 AND n_katakana_halfwidth = n_katakana AND n_kana_cjk >= 3 AND n_kana_cjk = n_kana_rare THEN 1.0::DOUBLE ELSE 0 END AS katakana,
+      CASE WHEN n_arabic >= 8 THEN n_arabic_isolated::DOUBLE / n_arabic ELSE 0 END AS arabic
+    FROM k LEFT JOIN w USING (doc_id)"""
+)
+def detector_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six detectors' ratios over whole texts."""
+    details = sampled(spark, sf_dir).select("doc_id", S.mess_details("text").alias("d"))
+    return details.select("doc_id", *(F.col("d")[i].alias(n) for i, n in ((0, "marks"), (1, "accents"), (2, "unprintable"), (6, "cjk"), (7, "katakana"), (9, "arabic"))))
+
+
+# Languages of groups
+
+_RANKED = f"""l AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{sql_class(C.ALPHA)}') AS x FROM documents),
+    c AS (SELECT doc_id, lang, unnest(x) AS letter, generate_subscripts(x, 1) AS place FROM l),
+    n AS (SELECT lang, letter, count(*) AS n, min(doc_id::HUGEINT * 1000000000 + place) AS first FROM c GROUP BY ALL),
+    ranked AS (SELECT lang, letter, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) - 1 AS ours, count(*) OVER (PARTITION BY lang) AS n_letters FROM n)"""
+_PROFILES = literal([(k, c, i, len(v)) for k, v in T.LANGUAGES.items() for i, c in enumerate(v) if v.rindex(c) == i])
+_AGREEING = f"""WITH profile(language, letter, theirs, size) AS (VALUES {_PROFILES}), {_RANKED},
+    shared AS (SELECT lang, language, theirs, ours, size, n_letters, abs(floor(ours * (size::DOUBLE / n_letters))::BIGINT - theirs) AS apart FROM ranked JOIN profile USING (letter)),
+    around AS (SELECT a.lang, a.language, a.theirs, a.size, a.apart, count(*) FILTER (b.theirs < a.theirs AND b.ours < a.ours) AS before, count(*) FILTER (b.theirs >= a.theirs AND b.ours >= a.ours) AS after
+      FROM shared a JOIN shared b ON a.lang IS NOT DISTINCT FROM b.lang AND a.language = b.language GROUP BY ALL),
+    agreeing AS (SELECT lang, language, count(*) FILTER (CASE WHEN size <= 26 AND apart > 4 THEN false WHEN theirs = 0 OR size > 26 AND apart < size / 3.0 THEN true
+      ELSE 5 * before >= 2 * theirs OR 5 * after >= 2 * (size - theirs) END) AS n FROM around GROUP BY ALL),
+    popular AS (SELECT lang, language, coalesce(n, 0) AS n_agreeing, n_letters FROM (SELECT DISTINCT lang, n_letters FROM ranked) AS g CROSS JOIN (SELECT DISTINCT language FROM profile) AS p LEFT JOIN agreeing a USING (lang, language))"""
+
+
+@query(f"{_AGREEING} SELECT lang, language, n_agreeing, n_letters FROM popular")
+def popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the order of the letters of each language's documents agrees with every profile."""
+    return P.popularity(P.letter_ranks(documents(spark, sf_dir), ["lang"]), ["lang"])
+
+
+@query(f"{_AGREEING} SELECT lang, replace(language, '—', '') AS language, max(n_agreeing::DOUBLE / n_letters) AS ratio FROM popular GROUP BY ALL")
+def fold_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = popularity(spark, sf_dir).select("lang", "language", (F.col("n_agreeing") / F.col("n_letters")).alias("ratio"))
+    return P.fold_alternatives(ratios, ["lang"])
+
+
+@query("SELECT source, lang AS language, avg((doc_id % 64) / 64.0::DOUBLE) AS ratio FROM documents GROUP BY ALL")
+def merge_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = documents(spark, sf_dir).select("source", F.col("lang").alias("language"), ((F.col("doc_id") % 64) / 64.0).alias("ratio"))
+    return P.merge_coherence(ratios, ["source"])
+
+
+@query(
+    """WITH t AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS ordinal, unnest(['cp1252', 'latin_1', 'cp850', 'mac_roman']) AS encoding, unnest([text, text, upper(text), text]) AS text, unnest([0.0, 0.0, 0.0, 0.5]) AS chaos FROM documents)
+    SELECT doc_id, min(ordinal) AS ordinal, arg_min(encoding, ordinal) AS encoding, chaos::DOUBLE AS chaos, string_agg(encoding, ',' ORDER BY ordinal) AS could_be_from FROM t GROUP BY doc_id, chaos, text"""
+)
+def fold_submatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four encodings of each document, of which those with equal text and noise are one match."""
+    four = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(e).alias("encoding"), F.lit(c).alias("chaos"), x.alias("text")) for i, (e, c, x) in enumerate((("cp1252", 0.0, F.col("text")), ("latin_1", 0.0, F.col("text")), ("cp850", 0.0, F.upper("text")), ("mac_roman", 0.5, F.col("text"))))))
+    folded = P.fold_submatches(documents(spark, sf_dir).select("doc_id", F.explode(four).alias("x")).select("doc_id", "x.*"), ["doc_id"])
+    return folded.withColumn("could_be_from", F.array_join("could_be_from", ","))
+
+
 # Detection
 
 LEGACY = ("cp1252", "iso8859_15", "mac_roman", "cp850", "utf_16", "utf_32", "utf_8_sig")
@@ -244,6 +362,52 @@ def normalize_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal.select("doc_id", F.ltrim(F.col("output").cast("string"), F.lit("\ufeff")).alias("text"))
 
 
+#: Encodings that hold every character of the documents.
+WHOLE = ("cp1252", "iso8859_15", "mac_roman", "cp850", "utf_16_le", "utf_32_be")
+
+
+@query(f"SELECT doc_id, encoding, text FROM documents, (VALUES {literal([(e,) for e in WHOLE])}) AS e(encoding)")
+def normalize_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in each of six encodings, comes back as it was from a detection that has that one to choose."""
+    out = None
+    for e in WHOLE:
+        one = D.normalize(transcoded(spark, sf_dir, (e,)), keep=["doc_id"], options=Options(only=(e,), threshold=1.0)).select("doc_id", "encoding", F.col("output").cast("string").alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_ASCII = "octet_length(encode(text)) = length(text)"
+
+
+@query(f"SELECT doc_id, x.* FROM documents, LATERAL (VALUES (0, 'ascii', {_ASCII}), (1, 'utf_8', true), (2, 'latin_1', true)) AS x(ordinal, encoding, valid)")
+def candidate_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three candidates of each document, tried without early ends."""
+    return D.trials(payloads(spark, sf_dir), options=Options(only=("ascii", "utf_8", "latin_1")), keep=["doc_id"]).select("doc_id", "ordinal", "encoding", "valid")
+
+
+@query()
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often documents in legacy encodings are detected as what they are, or as what gives the same text."""
+    judged = E.evaluated(transcoded(spark, sf_dir), "source_encoding", keep=["source_encoding"])
+    return E.coverage(judged, "source_encoding")
+
+
+@query()
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the single-answer view agrees with the encoding that documents are in."""
+    return E.coverage(E.compared(transcoded(spark, sf_dir), "source_encoding", keep=["source_encoding"]), "source_encoding")
+
+
+@query()
+def detection_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.latency(E.timed(payloads(spark, sf_dir), keep=["doc_id"]))
+
+
+@query()
+def slowest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.slowest(E.timed(payloads(spark, sf_dir), keep=["doc_id"]))
+
+
 @query()
 def normalize_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.normalize(transcoded(spark, sf_dir), keep=["doc_id", "source_encoding"]).select("doc_id", "source_encoding", "encoding", F.sha2("output", 256).alias("sha256"))

@@ -59,17 +59,57 @@ def test_empty_table(spark):
     assert repeated_substrings(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_regular_texts_that_differ_stay(spark):
+    """Windows of Thue-Morse words, which polynomial hashes modulo a power of two don't tell apart."""
+    x = "a"
+    while len(x) < 1024:
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"r{i}" for i in range(34))
+    texts = [f"{x} {rest}", f"{y} {rest}", " ".join(x[:40]) + " end", " ".join(y[:40]) + " fin"]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeated_substrings(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == brute(texts) and got[0][1] == 0
+
+
+def test_a_very_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"x{i}" for i in range(600_000)) + " " + passage, "start " + passage]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in repeated_substrings(frame(spark, texts)).collect()}
+    assert got == {0: (600_040, 40), 1: (41, 40)}
+
+
+def batches_of(texts, sizes):
+    at = 0
+    for n in sizes:
+        yield at, texts[at : at + n]
+        at += n
+
+
 def test_index_over_batches(spark, tmp_path):
     texts = made(5)
-    half = len(texts) // 2
     index = FingerprintIndex(spark, f"file://{tmp_path}/index")
-    index.add(frame(spark, texts[:half]))
-    expected = brute(texts)[half:]
-    for compacted in (False, True):
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.add(frame(spark, texts[half:], half)).collect()}
-        if not compacted:
-            assert [got[i] for i in range(half, len(texts))] == expected
+    seen = []
+    for number, (first, batch) in enumerate(batches_of(texts, (12, 1, 10, len(texts) - 23))):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.add(frame(spark, batch, first)).collect()}
+        # a batch is judged against what came before and itself
+        assert [got[first + i] for i in range(len(batch))] == brute(seen + batch)[len(seen) :]
+        seen += batch
+        if number == 2:
+            assert len(index.levels()) == 3
             index.compact()
             assert len(index.levels()) == 1
-        else:  # the second half is history by now: whatever has a window is repeated
-            assert all(removed == n for n, removed, _ in got.values() if n >= 35)
+    # by now all is history: whatever has a window is repeated; history holds hashes and no texts
+    got = [(r.n_words, r.n_removed) for r in index.add(frame(spark, texts)).collect()]
+    assert all(removed == n for n, removed in got if n >= 35)
+    columns = spark.read.parquet(index.levels()[0] + "/windows").columns
+    assert columns == ["bucket", "keys", "more"]
+
+
+def test_a_level_that_isnt_whole_is_not_read(spark, tmp_path):
+    index = FingerprintIndex(spark, f"file://{tmp_path}/index")
+    text = " ".join(f"w{i}" for i in range(50))
+    index.add(frame(spark, [text]))
+    (tmp_path / "index" / "level-00001-dead" / "prints").mkdir(parents=True)
+    assert len(index.levels()) == 1
+    assert index.add(frame(spark, [text])).first().n_removed == 50
+    assert index.add(frame(spark, ["a"]).limit(0)).count() == 0

@@ -13,8 +13,10 @@ repeated, and all words under repeated windows go.
    what agrees in all 128 bits is repeated: different windows of a corpus of 10**13 words agree by a chance of 10**-12.
 4. Each run gets a bit for each of its windows and removes the covered words.
 
-:class:`FingerprintIndex` keeps runs across batches: a new batch is merge-joined with the historical runs, verified
-against them, appended as runs of its own, and small runs are compacted into larger ones.
+:class:`FingerprintIndex` keeps sorted runs of window hashes across batches. A new batch is merge-joined with the
+historical runs in the same two steps, first by fingerprints, then by the two hashes of whole windows that verify it; its
+own hashes are appended as runs that never change; compaction merges them, by range, into one run without repeats. History
+is read as hashes and never hashed again; no text is kept. A table by itself is the first batch of an empty index.
 
 Nulls, empty texts and texts under 35 words have no windows and lose nothing. Repeated rows and repeated doc_ids are
 documents of their own, each with a result. Extra columns are ignored. An empty table gives an empty result. A text
@@ -126,8 +128,7 @@ def _repeated_prints(rows: list[dict]) -> list[bytes]:
     keys = np.concatenate(each)
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
-    flag = np.concatenate([np.frombuffer(r["more"], bool) for r in rows])
-    flag = flag.copy()
+    flag = np.concatenate([np.frombuffer(r["more"], bool) if r["run_id"] >= 0 else np.zeros(len(e), bool) for r, e in zip(rows, each, strict=True)])
     flag[order[1:][same]] = True
     flag[order[:-1][same]] = True
     return [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum([len(e) for e in each])[:-1])]
@@ -137,7 +138,7 @@ def _repeated_windows(rows: list[dict]) -> list[bytes]:
     """Level two: keys and checks must agree. more: checks, then flags."""
     each = [np.frombuffer(r["keys"], np.uint64) for r in rows]
     check = np.concatenate([np.frombuffer(r["more"][: 8 * len(e)], np.uint64) for r, e in zip(rows, each, strict=True)])
-    flag = np.concatenate([np.frombuffer(r["more"][8 * len(e) :], bool) for r, e in zip(rows, each, strict=True)]).copy()
+    flag = np.concatenate([np.frombuffer(r["more"][8 * len(e) :], bool) if r["run_id"] >= 0 else np.zeros(len(e), bool) for r, e in zip(rows, each, strict=True)])
     keys = np.concatenate(each)
     order = np.lexsort((check, keys))
     k, c = keys[order], check[order]
@@ -147,17 +148,36 @@ def _repeated_windows(rows: list[dict]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum([len(e) for e in each])[:-1])]
 
 
-def _judged(scope: Scope, table: DataFrame, window: int) -> DataFrame:
-    """(digest, n_removed, kept_sha256, kept) of each text of the runs."""
-    total = table.agg(F.sum("size")).first()[0] or 0
-    narrow, wide = R.buckets_for(total // 8), R.buckets_for(total // 4)
+def _recut(pieces: DataFrame, buckets: int) -> DataFrame:
+    """Historical pieces (keys, more: checks or nothing) in the buckets of this merge."""
+
+    def of(batches):
+        for row in R.each_run(batches):
+            keys = np.frombuffer(row["keys"], np.uint64)
+            more = np.frombuffer(row["more"], np.uint64)
+            edges = R.cut(keys, buckets)
+            for i in np.flatnonzero(np.diff(edges)).tolist():
+                part = slice(edges[i], edges[i + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row["run_id"]], pa.int64()), pa.array([keys[part].tobytes()], pa.binary()), pa.array([more[part].tobytes()], pa.binary())], names=["bucket", "run_id", "keys", "more"])
+
+    return pieces.select("bucket", F.lit(-1).cast("long").alias("run_id"), "keys", "more").mapInArrow(steady(of), R.PIECE)
+
+
+def _judged(scope: Scope, table: DataFrame, window: int, history: tuple[DataFrame, DataFrame] | None = None, old: int = 0) -> DataFrame:
+    """(digest, n_removed, kept_sha256, kept) of each text of the runs, judged against each other and the history's
+    fingerprints and windows, of ``old`` words."""
+    total = (table.agg(F.sum("size")).first()[0] or 0) + old
+    narrow, wide = R.buckets_for(total // 8), R.buckets_for(total // 4 + old)
 
     def prints(batches):
         for row in R.each_run(batches):
             keys, twice = _Windows(R.Run(row), window).fingerprints()
             yield from _pieces(row["run_id"], keys, twice, narrow)
 
-    first = R.returned(R.merge(table.mapInArrow(steady(prints), R.PIECE), _repeated_prints), table.drop("size"))
+    def with_history(pieces: DataFrame, which: int, buckets: int) -> DataFrame:
+        return pieces if history is None else pieces.unionByName(_recut(history[which], buckets))
+
+    first = R.returned(R.merge(with_history(table.mapInArrow(steady(prints), R.PIECE), 0, narrow), _repeated_prints), table.drop("size"))
 
     def candidates(batches):
         for row in R.each_run(batches):
@@ -174,7 +194,7 @@ def _judged(scope: Scope, table: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "run_id", "keys", "more"])
 
     pieces = scope.table(first.mapInArrow(steady(candidates), R.PIECE))
-    second = R.merge(pieces.where("bucket >= 0"), _repeated_windows).unionByName(pieces.where("bucket < 0").select("run_id", "bucket", F.col("keys").alias("found")))
+    second = R.merge(with_history(pieces.where("bucket >= 0"), 1, wide), _repeated_windows).unionByName(pieces.where("bucket < 0").select("run_id", "bucket", F.col("keys").alias("found")))
     both = R.returned(second, table.drop("size"))
 
     def removed(batches):
@@ -209,32 +229,75 @@ def _judged(scope: Scope, table: DataFrame, window: int) -> DataFrame:
     return both.mapInArrow(steady(removed), "digest binary, copies bigint, n_removed bigint, kept_sha256 string, kept binary")
 
 
+def _resulting(docs: DataFrame, judged: DataFrame, window: int, texts: bool) -> DataFrame:
+    each = R.members(docs, lower=False, texts=False)
+    copied = (F.col("copies") > 1) & (F.col("n_words") >= window)
+    whole = F.lower(F.hex("digest"))
+    return each.join(judged, "digest", "left").select(
+        "doc_id",
+        "n_words",
+        F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copied, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", whole)).alias("kept_sha256"),
+        *([F.when(copied, F.lit(b"")).otherwise(F.col("kept")).cast("string").alias("kept")] if texts else []),
+    )
+
+
 def repeated_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (SHA-256 of the kept words
     joined by one space); with ``texts`` also kept, those words, null where nothing went."""
     with Scope(docs.sparkSession) as s:
         table = s.table(R.runs(docs, lower=False, least_words=window))
         judged = s.table(_judged(s, table, window).select("digest", "copies", "n_removed", "kept_sha256", *["kept"] * texts))
-        each = R.members(docs, lower=False, texts=False)
-        copied = (F.col("copies") > 1) & (F.col("n_words") >= window)
-        whole = F.lower(F.hex("digest"))
-        out = each.join(judged, "digest", "left").select(
-            "doc_id",
-            "n_words",
-            F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(copied, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", whole)).alias("kept_sha256"),
-            *([F.when(copied, F.lit(b"")).otherwise(F.col("kept")).cast("string").alias("kept")] if texts else []),
-        )
-        return s.keep(out)
+        return s.keep(_resulting(docs, judged, window, texts))
+
+
+#: A run of hashes: those of one range, sorted. more: the second hashes of windows; nothing for fingerprints.
+HASHES = "bucket int, keys binary, more binary"
+
+
+def _hash_runs(table: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Of runs of texts, the sorted distinct fingerprints and the sorted distinct windows, a run of hashes for each."""
+
+    def prints(batches):
+        for row in R.each_run(batches):
+            keys, _ = _Windows(R.Run(row), window).fingerprints()
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "keys", "more"])
+
+    def windows(batches):
+        for row in R.each_run(batches):
+            w = _Windows(R.Run(row), window)
+            keys, checks, *_ = w.keys(np.ones(1, bool), np.zeros(0, np.uint64), window)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([checks.tobytes()], pa.binary())], names=["bucket", "keys", "more"])
+
+    return table.mapInArrow(steady(prints), HASHES), table.mapInArrow(steady(windows), HASHES)
+
+
+def _compacted(runs: DataFrame, buckets: int) -> DataFrame:
+    """One sorted run of each range, without repeats."""
+
+    def of(pieces: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in pieces["keys"]])
+        more = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in pieces["more"]])
+        order = np.lexsort((more, keys)) if len(more) else np.argsort(keys, kind="stable")
+        keys, more = keys[order], more[order] if len(more) else more
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        if len(more):
+            new[1:] |= more[1:] != more[:-1]
+            more = more[new]
+        return pa.table({"bucket": pieces["bucket"][:1], "keys": pa.array([keys[new].tobytes()], pa.binary()), "more": pa.array([more.tobytes()], pa.binary())})
+
+    return _recut(runs, buckets).groupBy("bucket").applyInArrow(of, HASHES)
 
 
 class FingerprintIndex:
     """An index on ``path`` (a folder of any store Spark reaches) that grows by batches.
 
     ``add(docs)`` gives, for the batch, the result of :func:`repeated_substrings` judged against the batch and all
-    earlier ones, then appends the batch's runs. Files are never changed; a failed ``add`` leaves no visible run,
-    since a level is listed only once its ``_SUCCESS`` file is there. ``compact()`` gathers all levels into one, with
-    one text of each digest, and then drops the old levels.
+    earlier ones, then appends the batch's hashes as a level of runs. Files are never changed; a failed ``add`` leaves no
+    visible level, since one is listed only once all its ``_SUCCESS`` files are there. ``compact()`` merges all levels into
+    one run of each range, and then drops the old levels; if it ends between, hashes are there twice, which changes no
+    result.
     """
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW):
@@ -244,49 +307,47 @@ class FingerprintIndex:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _is_whole(self, level: str) -> bool:
+        places = [self._fs(f"{level}/{part}/_SUCCESS") for part in ("prints", "windows")]
+        return all(fs.exists(p) for p, fs in places)
+
     def levels(self) -> list[str]:
         p, fs = self._fs(self.path)
         if not fs.exists(p):
             return []
-        found = [str(x.getPath()) for x in fs.listStatus(p)]
-        return sorted(x for x in found if self._fs(x + "/_SUCCESS")[1].exists(self._fs(x + "/_SUCCESS")[0]))
+        return sorted(x for x in (str(x.getPath()) for x in fs.listStatus(p)) if self._is_whole(x))
+
+    def _history(self) -> tuple[DataFrame, DataFrame] | None:
+        old = self.levels()
+        if not old:
+            return None
+        prints, windows = (self.spark.read.schema(HASHES).parquet(*(f"{x}/{part}" for x in old)) for part in ("prints", "windows"))
+        return prints, windows
+
+    def _words(self, windows: DataFrame) -> int:
+        return windows.agg(F.sum(F.octet_length("keys"))).first()[0] // 8
 
-    def _stored(self, level: str, number: int) -> DataFrame:
-        """Run ids are unique within a level; the level's number tells them apart."""
-        return self.spark.read.schema(R.RUN + ", size bigint").parquet(level).withColumn("run_id", F.col("run_id") + F.lit(number << 48))
+    def _write(self, number: int, prints: DataFrame, windows: DataFrame) -> None:
+        level = f"{self.path}/level-{number:05d}-{uuid.uuid4().hex}"
+        prints.write.parquet(f"{level}/prints")
+        windows.write.parquet(f"{level}/windows")
 
     def add(self, docs: DataFrame) -> DataFrame:
-        old = self.levels()
-        level = f"{self.path}/level-{len(old):05d}-{uuid.uuid4().hex}"
+        history = self._history()
         with Scope(self.spark) as s:
-            batch = s.table(R.runs(docs, lower=False, least_words=self.window))
-            table = batch
-            for i, x in enumerate(old):
-                table = table.unionByName(self._stored(x, i + 1))
-            # a text of the batch that history holds too has every window repeated: it counts as a copy
-            judged = s.table(_judged(s, table, self.window)).groupBy("digest").agg(F.sum("copies").alias("copies"), F.max("n_removed").alias("n_removed"), F.min("kept_sha256").alias("kept_sha256"))
-            each = R.members(docs, lower=False, texts=False)
-            copied = (F.col("copies") > 1) & (F.col("n_words") >= self.window)
-            out = s.keep(each.join(judged, "digest", "left").select("doc_id", "n_words", F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(copied, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256")))
-            batch.write.parquet(level)
+            table = s.table(R.runs(docs, lower=False, least_words=self.window))
+            judged = s.table(_judged(s, table, self.window, history, self._words(history[1]) if history else 0).select("digest", "copies", "n_removed", "kept_sha256"))
+            out = s.keep(_resulting(docs, judged, self.window, False))
+            self._write(len(self.levels()), *_hash_runs(table, self.window))
         return out
 
     def compact(self) -> None:
-        """One level with each distinct text once."""
-        old = self.levels()
+        """One level, with each distinct hash once."""
+        old, history = self.levels(), self._history()
         if len(old) < 2:
             return
-        table = self._stored(old[0], 1)
-        for i, x in enumerate(old[1:]):
-            table = table.unionByName(self._stored(x, i + 2))
-
-        def texts(batches):
-            for row in R.each_run(batches):
-                run = R.Run(row)
-                yield pa.RecordBatch.from_arrays([pa.array(run.ids, pa.int64()), pa.array([run.text(i).decode() for i in range(len(run.ids))], pa.string())], names=["doc_id", "text"])
-
-        once = R.runs(table.mapInArrow(steady(texts), "doc_id bigint, text string"), lower=False, least_words=self.window)
-        once.write.parquet(f"{self.path}/level-{0:05d}-{uuid.uuid4().hex}")
+        buckets = R.buckets_for(self._words(history[1]))
+        self._write(0, *(_compacted(x, buckets) for x in history))
         for x in old:
             p, fs = self._fs(x)
             fs.delete(p, True)
@@ -294,5 +355,3 @@ class FingerprintIndex:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-
-

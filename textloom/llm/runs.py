@@ -140,12 +140,14 @@ PIECE = "bucket int, run_id bigint, keys binary, more binary"
 
 
 def merge(pieces: DataFrame, found: Callable[[list[dict]], list[bytes]]) -> DataFrame:
-    """``found`` gets the pieces of one bucket, and returns for each the bytes that go back to its run."""
+    """``found`` gets the pieces of one bucket, and returns for each the bytes that go back to its run. Pieces of a
+    negative run_id are history, to which nothing goes back."""
 
     def of(table: pa.Table) -> pa.Table:
         release()
         rows = table.to_pylist()
-        out = found(rows)
+        back = [(r, x) for r, x in zip(rows, found(rows), strict=True) if r["run_id"] >= 0]
+        rows, out = [r for r, _ in back], [x for _, x in back]
         return pa.table({"run_id": pa.array([r["run_id"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "found": pa.array(out, pa.binary())})
 
     return pieces.groupBy("bucket").applyInArrow(of, "run_id bigint, bucket int, found binary")

@@ -301,7 +301,8 @@ def first_of_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int
         stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("first"))
         gone = s.keep(rows.join(first, "digest", "left").where(~F.coalesce(stays, F.lit(False))).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct())
         repeated = not docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (key == F.col("_key")), "left_anti")
+    # never broadcast: what goes grows with the input
+    kept = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone")) & (key == F.col("_key")), "left_anti")
     if repeated:
         kept = kept.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
     return kept

@@ -81,3 +81,63 @@ def test_repeated_lines_go_from_a_clean_group(spark):
 
 def test_cutoff_is_its_quantile():
     assert abs(Q._chi2_share(5, Q.CUTOFF) - (1 - 1e-6)) < 1e-9
+
+
+def _brute_mcd(x, rng, starts=300):
+    """The best of many random starts of the textbook algorithm, with the operator's floors and consistency factor."""
+    import numpy as np
+
+    floors = np.array([Q.FLOORS[n] * Q.UNIT for n in Q.NAMES]) ** 2
+    h, scale = len(x) // 2, Q.consistency(len(Q.NAMES), Q.SHARE)
+
+    def estimate(rows):
+        c = np.cov(rows.T, bias=True) * scale
+        c[np.diag_indices(len(c))] = np.maximum(np.diag(c), floors)
+        return rows.mean(axis=0), c
+
+    best = None
+    for _ in range(starts):
+        m, c = estimate(x[rng.choice(len(x), len(Q.NAMES) + 1, replace=False)])
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.pinv(c), x - m)
+            m, c = estimate(x[np.argsort(d, kind="stable")[:h]])
+        size = np.linalg.slogdet(c)[1]
+        if best is None or size < best[0]:
+            best = size, m, c
+    return best
+
+
+def test_estimates_and_verdicts_against_many_random_starts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    spread = np.array([900, 600, 60, 150, 200])
+    groups = {
+        "clean": rng.normal(0, 1, (400, 5)) * spread,
+        "tilted": (rng.normal(0, 1, (300, 5)) @ np.array([[1, 0.8, 0, 0, 0], [0, 0.6, 0, 0, 0], [0, 0, 1, 0.5, 0], [0, 0, 0, 0.9, 0], [0, 0, 0, 0, 1]])) * spread,
+        "third": np.concatenate([rng.normal(0, 1, (200, 5)) * spread, rng.normal(0, 0.05, (95, 5)) * spread + 14 * spread]),
+        "tail": np.concatenate([rng.normal(0, 1, (250, 5)) * spread, rng.normal(0, 1, (30, 5)) * spread + np.array([0, 0, 900, 2000, 0])]),
+    }
+    rows, whole = [], {}
+    for name, x in groups.items():
+        whole[name] = np.rint(x + 5000).astype(int)
+        rows += [(name, *map(int, r), 1) for r in whole[name]]
+    df = spark.createDataFrame(rows, "group string, " + ", ".join(f"{n} bigint" for n in Q.NAMES) + ", n bigint")
+    with Q.Scope(spark) as s:
+        got = {r.group: r for r in Q.estimated(s, df).collect()}
+    for name, x in whole.items():
+        r = got[name]
+        factor = np.array([[r[f"l_{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        mean = np.array([r[f"m_{i}"] for i in range(5)])
+        ours = (np.linalg.solve(factor, (x - mean).T) ** 2).sum(axis=0)
+        if name == "third":
+            # the least determinant of all would hold the copies and the few nearest others: it must not be found
+            assert (ours[200:] > Q.CUTOFF).all() and (ours[:200] <= Q.CUTOFF).all()
+            continue
+        size, m, c = _brute_mcd(x.astype(float), rng)
+        # no worse than the best of 300 starts, up to the bins of the distances
+        assert 2 * np.log(np.diag(factor)).sum() <= size + 0.35, name
+        theirs = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        clear = (theirs < 0.6 * Q.CUTOFF) | (theirs > 1.6 * Q.CUTOFF)
+        assert ((ours > Q.CUTOFF) == (theirs > Q.CUTOFF))[clear].all() and clear.mean() > 0.95, name
+    assert (np.abs(whole["third"][200:].mean(axis=0) - 5000) > 10 * spread).all()

@@ -60,12 +60,35 @@ def test_selection_is_the_prefix_of_the_keys(spark):
 
     from pyspark.sql import functions as F
 
-    keyed = {r[0]: r[1] for r in df.select("doc_id", (F.pmod(F.xxhash64(F.lit(M.SEED), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)).collect()}
-    got = {r.doc_id: r for r in M.mixed(df).collect()}
+    weight = 1.0 + F.col("doc_id") % 5
+    keyed = {r[0]: r[1] for r in df.select("doc_id", (F.pmod(F.xxhash64(F.lit(M.SEED), "doc_id", F.xxhash64("text")), F.lit(1 << 52)) + 0.5) / float(1 << 52)).collect()}
+    got = {r.doc_id: r for r in M.mixed(df, weight).collect()}
     for k in range(3):
-        own = sorted((-math.log(keyed[i]), i) for i in range(k, 900, 3))
+        own = sorted((-math.log(keyed[i]) / (1 + i % 5), i) for i in range(k, 900, 3))
         copies = [got[i].copies for _, i in own]
         assert copies == sorted(copies, reverse=True) and max(copies) - min(copies) <= 1
+    # of the part that is drawn, the heavier are more often in
+    drawn = [r for r in got.values() if 0 < sum(x.copies for x in got.values() if x.source_size == r.source_size)]
+    low, high = ([r.copies for r in drawn if r.doc_id % 5 == w] for w in (0, 4))
+    assert sum(high) > sum(low)
+
+
+def test_quality_tells_junk(spark):
+    clean = "The river rises in the hills and runs past the old town.\nIts water turns two mills below the bridge."
+    texts = [clean, " ".join(w + "###" for w in clean.split()), "\n".join([clean.split("\n")[0]] * 12), "buy now " * 60, "", None]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r.q for r in df.select("i", M.quality(M.words_of(F.lower("text")), F.col("text")).alias("q")).orderBy("i").collect()]
+    assert got[0] == 1.0 and got[1] == got[3] == M.LEAST_WEIGHT and got[2] < 0.1 and all(M.LEAST_WEIGHT <= x <= 1 for x in got)
+
+
+def test_a_very_long_text_and_ids_that_repeat(spark):
+    rows = [(1, "long words " * 300_000, "a", "x", "y"), *((None, f"text {i}", "a", "x", "y") for i in range(40)), *((7, "same", "b", "x", "y") for _ in range(40))]
+    got = M.mixed(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r["size"] for r in got) == 600_000 + 80 + 40 and all(r.taken <= 2 * r["size"] and r.copies <= 2 for r in got)
+    target = next(r.target for r in got if r.doc_id == 7)
+    assert abs(sum(r.taken for r in got if r.doc_id == 7) - target) <= 1
 
 
 def test_empty_and_sizeless(spark):

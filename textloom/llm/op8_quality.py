@@ -6,9 +6,10 @@ of symbols a character, repeated lines a line, and repeated words a word. For ea
 covariance determinant is estimated: concentration steps each take the half of the documents nearest to the last estimate
 and estimate mean and covariance again, until no group's determinant falls, STEPS at most. There are two starts, which
 less than half of a group can't carry off: the shortest half of each statistic, and medians with median deviations; the
-smaller determinant decides. Of documents as far as the edge of the half, all count by the part that fills it, so a
-block of copies doesn't enter whole. A document
-over CUTOFF in squared Mahalanobis distance (for the normal law, one clean document in a million) is rejected.
+smaller determinant decides. Random starts are left out on purpose: a block of a third of copies and the few documents
+nearest to it can have the least determinant of all halves, and a start inside it would find that. Of documents as far as
+the edge of the half, all count by the part that fills it, so a block of copies doesn't enter whole. A document over CUTOFF
+in squared Mahalanobis distance (for the normal law, one clean document in a million) is rejected.
 
 FLOORS are the least standard deviations a statistic is taken to have (a group whose documents hold no symbol at all has
 variance zero). They are a third or less of what the least event makes: one repeated line of ten is 0.32 in v_lines, one
@@ -17,7 +18,8 @@ in a group without any; length alone decides beyond a factor of e^3. Vectors are
 all sums are exact and reruns agree. Quantiles are read from histograms, whose size doesn't grow with the input; every
 aggregate is summed before the shuffle, so one large group is no single task's work.
 
-Groups of fewer than LEAST documents are pooled; if the pool is as small, its documents are kept. Null lang and source
+Groups of fewer than LEAST documents are pooled, as half of them are too few for the twenty numbers of an estimate; if
+the pool is as small, its documents are kept. Null lang and source
 are groups of their own. Null and empty texts have no words and fail the base rules. Repeated rows count each; extra
 columns are ignored; an empty table gives no rows.
 """
@@ -182,10 +184,38 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log(d2 + 1.0) * 64)
 
 
+def estimated(s: Scope, vectors: DataFrame) -> DataFrame:
+    """From (group, the NAMES as whole numbers, n rows that have them): the minimum covariance determinant of each group,
+    as means m_i and Cholesky factor l_ij."""
+    k = len(NAMES)
+    long = s.table(vectors.select("group", "n", F.posexplode(F.array(*NAMES)).alias("i", "v")).groupBy("group", "i", "v").agg(F.sum("n").alias("n")))
+    estimates = s.table(_starts(long))
+    both = vectors.withColumn("group", F.explode(F.array(*(F.concat("group", F.lit(x)) for x in ("#0", "#1")))))
+    size = sum((F.log(f"l_{i}{i}") for i in range(k)), F.lit(0.0))
+    for step in range(STEPS):
+        placed = _distances(both, estimates).withColumn("bin", _bin(F.col("d2")))
+        new = _estimate(_nearest(placed), consistency(k, SHARE)).withColumn("size", size)
+        if step:  # the start is no group's half, so its determinant says nothing
+            new = new.join(estimates.select("group", F.col("size").alias("before")), "group").withColumn("fell", F.col("size") < F.col("before") - 1e-6).drop("before")
+        else:
+            new = new.withColumn("fell", F.lit(True))
+        new = s.table(new)
+        if step:
+            stay = estimates.join(new.where("not fell").select("group"), "group")
+            estimates = new.where("fell").drop("fell").unionByName(stay)
+            if new.where("fell").isEmpty():
+                break
+            estimates = s.table(estimates)
+        else:
+            estimates = new.drop("fell")
+    values = [c for c in estimates.columns if c not in ("group", "size")]
+    best = estimates.groupBy(F.expr("substring(group, 1, length(group) - 2)").alias("group")).agg(F.min(F.struct("size", *values)).alias("best"))
+    return best.select("group", *(f"best.{c}" for c in values))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (doc_id, text, lang, source): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept; and d2, the squared distance, null where the base rules decide."""
-    k = len(NAMES)
     with Scope(docs.sparkSession) as s:
         base = base_statistics(docs.select("doc_id", "lang", "source", "text"))
         key = F.struct(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"))
@@ -194,30 +224,7 @@ def judged(docs: DataFrame) -> DataFrame:
         pooled = s.table(sizes.select("own", F.when(F.col("size") >= LEAST, F.col("own")).otherwise("").alias("group")))
         vectors = s.table(stats.where("not base_failed").join(pooled, "own").groupBy("group", *NAMES).agg(F.count(F.lit(1)).alias("n")))
         large = vectors.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("group")
-        vectors = vectors.join(large, "group")
-        long = s.table(vectors.select("group", "n", F.posexplode(F.array(*NAMES)).alias("i", "v")).groupBy("group", "i", "v").agg(F.sum("n").alias("n")))
-        estimates = s.table(_starts(long))
-        both = vectors.withColumn("group", F.explode(F.array(*(F.concat("group", F.lit(x)) for x in ("#0", "#1")))))
-        size = sum((F.log(f"l_{i}{i}") for i in range(k)), F.lit(0.0))
-        for step in range(STEPS):
-            placed = _distances(both, estimates).withColumn("bin", _bin(F.col("d2")))
-            new = _estimate(_nearest(placed), consistency(k, SHARE)).withColumn("size", size)
-            if step:  # the start is no group's half, so its determinant says nothing
-                new = new.join(estimates.select("group", F.col("size").alias("before")), "group").withColumn("fell", F.col("size") < F.col("before") - 1e-6).drop("before")
-            else:
-                new = new.withColumn("fell", F.lit(True))
-            new = s.table(new)
-            if step:
-                stay = estimates.join(new.where("not fell").select("group"), "group")
-                estimates = new.where("fell").drop("fell").unionByName(stay)
-                if new.where("fell").isEmpty():
-                    break
-                estimates = s.table(estimates)
-            else:
-                estimates = new.drop("fell")
-        values = [c for c in estimates.columns if c not in ("group", "size")]
-        best = estimates.groupBy(F.expr("substring(group, 1, length(group) - 2)").alias("group")).agg(F.min(F.struct("size", *values)).alias("best"))
-        estimates = best.select("group", *(f"best.{c}" for c in values))
+        estimates = estimated(s, vectors.join(large, "group"))
         grouped = stats.join(pooled, "own", "left").withColumn("group", F.when(~F.col("base_failed"), F.col("group")))
         far = _distances(grouped, estimates)
         return s.keep(far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)).alias("kept"), "d2"))

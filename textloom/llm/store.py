@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. Only where the session names none (tests, one machine) a temporary one is set."""
+    """The shared folder. Only where the session names none and all runs on one machine, as in tests, a temporary one is
+    set; on a cluster executors wouldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -59,6 +62,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(*BATCH)
 
 
+_kept: list[str] = []
+
+
+def drop_results(spark: SparkSession) -> None:
+    """Delete the tables of all results that operators have given so far in this process; they can't be read any more."""
+    while _kept:
+        delete(spark, _kept.pop())
+
+
 class Scope:
     """``with Scope(spark) as s``: ``s.table(df)`` writes a table and gives it back as read; ``s.keep(df)`` likewise,
     but that table outlives the scope. Inside, Arrow batches are small."""
@@ -91,4 +103,6 @@ class Scope:
         return self._write(df if parts is None else df.coalesce(parts), self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
+        if self.kept not in _kept:
+            _kept.append(self.kept)
         return self._write(df, self.kept)

@@ -68,22 +68,23 @@ def agreeing(name: str, ordered: Sequence[str]) -> int:
     shared = [(place[c], i) for i, c in enumerate(ordered) if c in place]
     if not shared:
         return 0
-    theirs, ours = np.array(shared).T
-    distance = np.abs((ours * (size / n)).astype(np.int64) - theirs)
-    sure = theirs == 0
-    if size > 26:
-        sure |= distance < size / 3
-    else:
-        near = distance <= 4
-        if not near.any():
-            return 0
-        sure &= near
-    open_ = ~sure if size > 26 else near & ~sure
-    lower, place_here = theirs[open_, None], ours[open_, None]
-    before = ((theirs < lower) & (ours < place_here)).sum(axis=1)
-    after = ((theirs >= lower) & (ours >= place_here)).sum(axis=1)
-    agrees = (5 * before >= 2 * theirs[open_]) | (5 * after >= 2 * (size - theirs[open_]))
-    return int(sure.sum()) + int(agrees.sum())
+    scale, small = size / n, size <= 26
+    certain, open_ = 0, []
+    for theirs, ours in shared:
+        apart = abs(int(ours * scale) - theirs)
+        if small and apart > 4:
+            continue
+        if theirs == 0 or not small and apart < size / 3:
+            certain += 1
+        else:
+            open_.append((theirs, ours))
+    if not open_:
+        return certain
+    where, place_here = np.array(shared).T
+    lower, ours = np.array(open_).T
+    before = ((where < lower[:, None]) & (place_here < ours[:, None])).sum(axis=1)
+    after = ((where >= lower[:, None]) & (place_here >= ours[:, None])).sum(axis=1)
+    return certain + int(np.count_nonzero((5 * before >= 2 * lower) | (5 * after >= 2 * (size - lower))))
 
 
 def layers(text: str) -> list[str]:

@@ -14,12 +14,15 @@ from . import tables as T
 
 NAMES = ("TooManySymbolOrPunctuation", "TooManyAccentuated", "Unprintable", "SuspiciousDuplicateAccent", "SuspiciousRange", "SuperWeirdWord", "CjkUncommon", "SuspiciousKatakana", "ArchaicUpperLower", "ArabicIsolatedForm")
 #: Symbols that may stand inside a word.
-IN_WORDS = [ord(x) for x in "<>-=~|_"]
+_IN_WORDS = np.zeros(0x110000, bool)
+_IN_WORDS[[ord(x) for x in "<>-=~|_"]] = True
 
 
 def _upto(x: np.ndarray) -> np.ndarray:
     """Sums over the first 0, 1, ... entries."""
-    return np.concatenate([[0], np.cumsum(x)])
+    out = np.zeros(len(x) + 1, np.float64 if x.dtype.kind == "f" else np.int64)
+    np.cumsum(x, out=out[1:])
+    return out
 
 
 def _at(indexes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -72,7 +75,7 @@ def _words(codes, p, n, met):
     where = np.flatnonzero(alpha)
     first = where[letters[start]]
     last = where[letters[stop] - 1]
-    marks = ~alpha & ~ends & ((p & C.SYMBOL) > 0) & ((p & C.DIGIT) == 0) & ~np.isin(codes, IN_WORDS)
+    marks = ~alpha & ~ends & ((p & C.SYMBOL) > 0) & ((p & C.DIGIT) == 0) & ~_IN_WORDS[codes]
     m = _upto(marks)
     inner = m[stop] - m[first]
 

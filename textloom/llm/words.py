@@ -10,11 +10,11 @@ the words (another ``seed``, for words and sequences).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+
+from ..functions.batches import slices  # noqa: F401
 
 #: Bytes of words: all but 0x20 and 0x09-0x0D, as in the pattern [^\x20\x09-\x0D]+.
 NONSPACE = np.ones(256, bool)
@@ -118,22 +118,3 @@ def window_hashes(h: np.ndarray, doc: np.ndarray, size: int, seed: int = 0) -> t
         length *= 2
     at = np.flatnonzero(doc[:n] == doc[size - 1 :])
     return mix(total[at] + _u(size)), at
-
-
-def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of slices of about ``most`` bytes; a longer text is a slice of its own.
-    Null counts as empty."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
-    if texts.null_count:
-        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
-    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
-    if not len(texts):
-        return
-    every = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(every, every[at] + most, "right")) - 1)
-        yield at, end, data[every[at] : every[end]], every[at : end + 1] - every[at]
-        at = end

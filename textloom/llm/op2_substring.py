@@ -355,3 +355,17 @@ class FingerprintIndex:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: By every window, every pair and every row: for small tables.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, p, array_to_string(w[p + 1 : p + 35], ' ') AS win FROM (SELECT r, w, unnest(range(0, len(w) - 34)) AS p FROM d WHERE len(w) >= 35)),
+h AS (SELECT r, p FROM g JOIN (SELECT win FROM g GROUP BY win HAVING count(*) > 1) USING (win)),
+c AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS q FROM h),
+n AS (SELECT r, count(*) AS n_removed FROM c GROUP BY r),
+l AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS q FROM d SEMI JOIN n USING (r)),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY q) AS kept FROM l ANTI JOIN c USING (r, q) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(CASE WHEN n_removed IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""

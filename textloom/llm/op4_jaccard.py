@@ -310,3 +310,20 @@ def first_of_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: By every window, every pair and every row: for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT array_to_string(w, ' ') AS text, min(doc_id) AS id, any_value(w) AS w FROM d GROUP BY 1),
+e AS (SELECT id, w, unnest(range(0, greatest(1, len(w) - 2))) AS p FROM t WHERE len(w) > 0),
+g AS (SELECT DISTINCT id, array_to_string(w[p + 1 : p + 3], ' ') AS shingle FROM e),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM g AS a JOIN g AS b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n AS x ON x.id = a JOIN n AS y ON y.id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+m AS (SELECT a AS id, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN len(d.w) = 0 THEN doc_id ELSE least(t.id, coalesce(m.least, t.id)) END AS component_id
+FROM d JOIN t ON t.text = array_to_string(d.w, ' ') LEFT JOIN n ON n.id = t.id LEFT JOIN m ON m.id = t.id
+"""

@@ -230,3 +230,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sp
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return contaminated(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark.select("item_id", "text"))
+
+
+#: By every window, every pair and every row: for small tables.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS p FROM i WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, k, array_to_string(w[p + 1 : p + k], ' ') AS win FROM s),
+g AS (SELECT r, k, w, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM x) AS ks WHERE len(w) >= k),
+h AS (SELECT r, p, k, item_id FROM (SELECT r, p, k, array_to_string(w[p + 1 : p + k], ' ') AS win FROM g) AS a JOIN x USING (k, win)),
+c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, p, k FROM h)) GROUP BY r),
+n AS (SELECT r, count(DISTINCT coalesce(item_id, '=')) AS n_items, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS items FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN n USING (r)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_substring, op3_urls, op4_jaccard, op5_decontaminate, op10_licenses
+from . import op1_html, op2_substring, op3_urls, op4_jaccard, op5_decontaminate, op10_licenses
 from .op1_html import op1_html_extraction
 from .op2_substring import op2_substring_dedup
 from .op3_urls import op3_url_filters
@@ -44,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 #: Where SQL can express a query; the others are tested against brute force, a round trip or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
+    "op1_html_extraction": op1_html.ORACLE,
     "op2_substring_dedup": op2_substring.ORACLE,
     "op3_url_filters": op3_urls.ORACLE,
     "op4_jaccard_join": op4_jaccard.ORACLE,

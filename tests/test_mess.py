@@ -124,3 +124,17 @@ def test_range_pairs(a, b, expected):
 def test_unknown_range():
     with pytest.raises(KeyError):
         T.is_suspicious_pair("Klingon", "Basic Latin")
+
+
+def test_all_languages_at_once():
+    import random
+
+    from textloom.functions import coherence as K
+    from textloom.functions import tables as T
+
+    rng = random.Random(8)
+    every = sorted(set("".join(T.LANGUAGES.values())) | set("0ßñ"))
+    for _ in range(150):
+        pool = rng.choice([every, list("eationsrhldcumfpgwybvkxjzqéèüäö"), list(T.LANGUAGES["Russian"]), list(T.LANGUAGES["Japanese"]), list("!?")])
+        ordered = rng.sample(pool, rng.randrange(len(pool)))[: rng.choice([5, 20, 40, 64, 65, 90])]
+        assert K.all_agreeing(ordered) == {name: K.agreeing(name, ordered) for name in T.LANGUAGES}

@@ -87,6 +87,43 @@ def agreeing(name: str, ordered: Sequence[str]) -> int:
     return certain + int(np.count_nonzero((5 * before >= 2 * lower) | (5 * after >= 2 * (size - lower))))
 
 
+@cache
+def _place_table() -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Of each letter its place in every language, in order of the languages (-1: none); and the alphabets' sizes."""
+    table: dict[str, np.ndarray] = {}
+    for k, name in enumerate(T.LANGUAGES):
+        for c, i in _places(name).items():
+            table.setdefault(c, np.full(len(T.LANGUAGES), -1, np.int32))[k] = i
+    return table, np.array([len(x) for x in T.LANGUAGES.values()])
+
+
+#: Numbers of letters for which all languages are compared at once.
+FEW = 64
+
+
+def all_agreeing(ordered: Sequence[str]) -> dict[str, int]:
+    """:func:`agreeing` of every language."""
+    n = len(ordered)
+    if not 0 < n <= FEW:
+        return {name: agreeing(name, ordered) for name in T.LANGUAGES}
+    table, size = _place_table()
+    met = [i for i, c in enumerate(ordered) if c in table]
+    if not met:
+        return dict.fromkeys(T.LANGUAGES, 0)
+    theirs, ours = np.array([table[ordered[i]] for i in met]), np.array(met)[:, None]
+    shared, small = theirs >= 0, size <= 26
+    apart = np.abs((ours * (size / n)).astype(np.int64) - theirs)
+    open_ = shared & ~(small & (apart > 4))
+    sure = open_ & ((theirs == 0) | (~small & (apart < size / 3)))
+    # letters by their place here, so those before one are those above it
+    below = (theirs[None, :, :] < theirs[:, None, :]) & shared[None, :, :]
+    earlier = (np.arange(len(met))[:, None] > np.arange(len(met)))[:, :, None]
+    before = (below & earlier).sum(axis=1)
+    after = (shared[None, :, :] & ~below & ~earlier).sum(axis=1)
+    agrees = open_ & ~sure & ((5 * before >= 2 * theirs) | (5 * after >= 2 * (size - theirs)))
+    return dict(zip(T.LANGUAGES, (sure | agrees).sum(axis=0).tolist(), strict=True))
+
+
 def layers(text: str) -> list[str]:
     """The letters of the text, lower-cased, by layer: each letter goes to the first layer whose first letter's range
     goes with its own."""
@@ -154,8 +191,9 @@ def _coherence(text: str, threshold: float, inclusion: tuple[str, ...]) -> tuple
         if len(layer) <= 32:
             continue
         ordered = ordered_letters(layer)
+        agree = all_agreeing(ordered) if not wanted else {name: agreeing(name, ordered) for name in wanted}
         for name in wanted or alphabet_languages(ordered, latin_only):
-            ratio = popularity(name, ordered)
+            ratio = agree[name] / len(ordered)
             if ratio < threshold:
                 continue
             high += ratio >= 0.8

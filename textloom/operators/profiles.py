@@ -265,7 +265,7 @@ def popularity(ranks: DataFrame, by: list[str]) -> DataFrame:
     ordered = ranks.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "letter"))), lambda x: x["letter"]).alias("_letters"))
 
     def of(letters: pa.Array) -> pa.Array:
-        rows = [[{"language": k, "n_agreeing": K.agreeing(k, x)} for k in T.LANGUAGES] for x in letters.to_pylist()]
+        rows = [[{"language": k, "n_agreeing": n} for k, n in K.all_agreeing(x).items()] for x in letters.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("language", pa.string()), ("n_agreeing", pa.int64())])))
 
     @F.arrow_udf("array<struct<language:string,n_agreeing:bigint>>")

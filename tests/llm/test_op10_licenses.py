@@ -43,11 +43,26 @@ def test_against_every_window(spark):
     assert got == {i: b for i, t in enumerate(texts) if (b := brute(t, templates))}
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "Released under the MIT License. Licensed under CC BY-NC 4.0.", "x", "y", 1)], SCHEMA)
+def test_a_joined_table_gives_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Released under the MIT License. Licensed under CC BY-NC 4.0.", "x", "y", 1)] * 2, SCHEMA)
     whole = sorted(map(tuple, L.licenses(df).collect()))
-    monkeypatch.setattr(L, "BLOCK", 2)
-    assert sorted(map(tuple, L.licenses(df).collect())) == whole and len(whole) == 2
+    monkeypatch.setattr(L, "BROADCAST", 0)
+    assert sorted(map(tuple, L.licenses(df).collect())) == whole and len(whole) == 4
+
+
+def test_hundreds_of_long_templates(spark):
+    rng = random.Random(9)
+    templates = {f"L{k}": " ".join(f"t{rng.randrange(3000)}" for _ in range(rng.randrange(20, 600))) for k in range(300)}
+    names = rng.sample(sorted(templates), 12)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(200)) + " " + templates[n] + " the end" for n in names] + ["nothing of the kind " * 50]
+    df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = sorted((r.doc_id, r.template, r.containment) for r in L.licenses(df, templates).collect())
+    assert got == [(i, n, 1.0) for i, n in enumerate(names)]
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "filler words of no use " * 100_000 + " Released under the MIT License.", "x", "y", 1)], SCHEMA)
+    assert [(r.template, r.shared) for r in L.licenses(df).collect()] == [("MIT", 1)]
 
 
 def test_bands_make_a_miss_unlikely():

@@ -6,13 +6,15 @@
 2. A window that holds 80 % of a template's m shingles has a Jaccard similarity of at least
    0.8 m / (window shingles + 0.2 m) with it. Each class takes as many bands, of one MinHash value each, as make the
    chance that such a window agrees with the template in none of them less than MISS.
-3. Templates retrieved by a band are verified: the window's distinct shingles, as words, are intersected with the
+3. Windows of which a band value is one of the templates' are taken out of their documents and joined with the table of
+   bands: that retrieves templates. They are verified: the window's distinct shingles, as words, are intersected with the
    template's. The best window of each template counts, the first of equally good ones.
 
 A document that lacks a template's anchors can't hold 80 % of its shingles: anchors are words of which each covers the
 shingles it is in, chosen until over 20 % are covered. Documents without any anchor are passed over by plain substring
-search. All is done within a row, so nothing is shuffled, whatever the skew. Templates are literals of the plan: at
-most BLOCK at once, more are scanned in blocks.
+search. All but the retrieved windows stays within its row, so no skew of the documents matters; of templates the plan
+holds the band values and anchors alone. Their table is broadcast if it is smaller than BROADCAST bytes, joined by its
+keys otherwise.
 
 Null and empty texts match nothing. Each row of the table is scanned for itself, copies and repeated ids too. Extra
 columns are ignored; an empty table gives no rows. Templates under five words are refused.
@@ -23,13 +25,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, NEED, MISS, BLOCK = 5, 0.8, 1e-6, 64
+SHINGLE, NEED, MISS, BROADCAST = 5, 0.8, 1e-6, 4 << 20
 
 #: Notices by which texts state a licence, by SPDX identifier.
 TEMPLATES = {
@@ -108,21 +109,6 @@ def classes(templates: list[Template]) -> list[Class]:
     return [Class(tuple(g), len(g[0].words), len(g[-1].words)) for g in groups]
 
 
-def blocks(grouped: list[Class]) -> list[list[Class]]:
-    """Blocks of at most BLOCK templates. A class may be cut; its parts keep its windows."""
-    out: list[list[Class]] = [[]]
-    for c in grouped:
-        rest = c.templates
-        while rest:
-            room = BLOCK - sum(len(x.templates) for x in out[-1])
-            if not room:
-                out.append([])
-                continue
-            out[-1].append(Class(rest[:room], c.shortest, c.longest))
-            rest = rest[room:]
-    return out
-
-
 def anchors(templates: list[Template]) -> list[str]:
     """Words of which every text with a match holds one."""
     chosen: list[str] = []
@@ -142,86 +128,74 @@ def anchors(templates: list[Template]) -> list[str]:
     return chosen
 
 
-def _literal(values: list, kind: str) -> Column:
-    return F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>")
-
-
 def _hashed(k: int) -> Column:
     """The shingles' hashes under hash function k."""
     return F.transform("g", lambda x: F.xxhash64(F.lit(k), x))
 
 
-def _retrieval(values: list[int], c: Class) -> Callable[[Column], Column]:
-    """Whether a window agrees with a template in a band."""
+def _holds_one(text: Column, words: list[str]) -> Column:
+    """Whether the text, in lower case, holds one of the words; in an array of one it is lower-cased once."""
 
-    def agrees(x: Column) -> Column:
-        out = x["v"][0] == values[0]
-        for k in range(1, c.bands):
-            out = out | (x["v"][k] == values[k])
+    def one(low: Column) -> Column:
+        out = low.contains(words[0])
+        for w in words[1:]:
+            out = out | low.contains(w)
         return out
 
-    return agrees
+    return F.exists(F.array(F.lower(text)), one)
+
 
+def _band_table(spark: SparkSession, grouped: list[Class]) -> DataFrame:
+    """(class, band, value, template, shingles, needed) of all templates: MinHash values by the scan's own functions."""
+    rows = [(number, c.bands, t.name, t.shingles, [s.split(" ") for s in t.shingles], t.needed) for number, c in enumerate(grouped) for t in c.templates]
+    own = spark.createDataFrame(rows, "class int, bands int, template string, shingles array<string>, s array<array<string>>, needed int")
+    own = own.withColumn("g", F.transform("s", lambda s: F.xxhash64(*(F.get(s, F.lit(k)) for k in range(SHINGLE)))))
+    values = F.array(*(F.struct(F.lit(k).alias("band"), F.array_min(_hashed(k)).alias("value")) for k in range(max(c.bands for c in grouped))))
+    return own.select("class", "template", "shingles", "needed", F.explode(F.filter(values, lambda x: x["band"] < F.col("bands"))).alias("x")).select("class", "x.*", "template", "shingles", "needed")
 
-def _verification(t: Template, inside: int) -> Callable[[Column], Column]:
-    """The number of the template's shingles that a window holds, and the window's place, so that the first is larger."""
 
-    def shared(x: Column) -> Column:
-        shingles = F.transform(F.sequence(x["i"], F.least(x["i"] + inside - 1, F.col("n") - SHINGLE)), lambda j: F.array_join(F.slice("w", j + 1, SHINGLE), " "))
-        return F.struct(F.size(F.array_intersect(shingles, _literal(t.shingles, "string"))).alias("shared"), (-x["i"]).alias("i"))
+def _retrieved(number: int, c: Class, values: dict[tuple[int, int], list[int]]) -> Column:
+    """The windows of a row of which a band value is that of a template of the class: an array of (class, i, v, words)."""
+    inside = c.window - SHINGLE + 1
+    least = f"array({', '.join(f'array_min(slice(h{k}, i + 1, {inside}))' for k in range(c.bands))})"
+    windows = F.expr(f"transform(sequence(0, greatest(0, n - {c.shortest}), {c.stride}), i -> struct(i as i, {least} as v))")
 
-    return shared
+    def agrees(x: Column) -> Column:
+        out = x["v"][0].isin(values[number, 0])
+        for k in range(1, c.bands):
+            out = out | x["v"][k].isin(values[number, k])
+        return out
 
+    def taken(x: Column) -> Column:
+        return F.struct(F.lit(number).alias("class"), x["i"].alias("i"), x["v"].alias("v"), F.slice("w", x["i"] + 1, F.lit(c.window)).alias("words"))
 
-def _scan(docs: DataFrame, grouped: list[Class]) -> DataFrame:
-    spark = docs.sparkSession
-    templates = [t for c in grouped for t in c.templates]
-    bands = max(c.bands for c in grouped)
-    low = F.lower("text")
-    some = None
-    for w in anchors(templates):
-        some = low.contains(w) if some is None else some | low.contains(w)
-    d = docs.where(some).select("doc_id", F.filter(F.split(F.translate("text", UPPER, LOWER), BETWEEN), lambda x: x != "").alias("w"))
-    d = d.withColumn("n", F.size("w")).where(F.col("n") >= SHINGLE)
-    d = d.withColumn("g", F.transform(F.sequence(F.lit(0), F.col("n") - SHINGLE), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(SHINGLE)))))
-    d = d.select("*", *(_hashed(k).alias(f"h{k}") for k in range(bands)))
-    # the templates' own MinHash values, by the same functions; a few rows that the driver makes itself
-    own = spark.createDataFrame([(t.name, [s.split(" ") for s in t.shingles]) for t in templates], "name string, s array<array<string>>")
-    own = own.withColumn("g", F.transform("s", lambda s: F.xxhash64(*(F.get(s, F.lit(k)) for k in range(SHINGLE)))))
-    values = {r["name"]: r["v"] for r in own.select("name", F.array(*(F.array_min(_hashed(k)) for k in range(bands))).alias("v")).collect()}
-    found = []
-    for number, c in enumerate(grouped):
-        inside = c.window - SHINGLE + 1
-        least = c.shortest
-        d = d.withColumn(
-            f"c{number}",
-            F.expr(
-                f"filter(transform(sequence(0, greatest(0, n - {least}), {c.stride}), i -> struct(i as i, array({', '.join(f'array_min(slice(h{k}, i + 1, {inside}))' for k in range(c.bands))}) as v)), x -> "
-                + " or ".join(f"array_contains(array({', '.join(str(values[t.name][k]) + 'L' if values[t.name][k] != -(2**63) else 'bigint(-9223372036854775808)' for t in c.templates)}), x.v[{k}])" for k in range(c.bands))
-                + ")"
-            ),
-        )
-    for number, c in enumerate(grouped):
-        inside = c.window - SHINGLE + 1
-        for t in c.templates:
-
-            agrees, best = _retrieval(values[t.name], c), _verification(t, inside)
-            top = F.array_max(F.transform(F.filter(f"c{number}", agrees), best))
-            found.append(F.struct(F.lit(t.name).alias("template"), top["shared"].alias("shared"), (-top["i"]).alias("start"), F.lit(len(t.shingles)).alias("n_shingles"), F.lit(t.needed).alias("needed")))
-    hits = d.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x["shared"] >= x["needed"])).alias("x"))
-    return hits.select("doc_id", F.col("x.template").alias("template"), F.col("x.start").cast("long").alias("start"), F.col("x.shared").cast("long").alias("shared"), F.col("x.n_shingles").cast("long").alias("n_shingles"), (F.col("x.shared") / F.col("x.n_shingles")).alias("containment"))
+    return F.transform(F.filter(windows, agrees), taken)
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """For each row of ``docs`` (doc_id, text) and each template that one of its windows contains by 80 % or more:
     doc_id, template, start (the best window's first word), shared, n_shingles, containment."""
     parsed = parse(TEMPLATES if templates is None else templates)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in blocks(classes(parsed)):
-        part = _scan(docs, block)
-        out = part if out is None else out.unionByName(part)
-    return out
+    grouped = classes(parsed)
+    spark = docs.sparkSession
+    # a few rows for each template, made by the driver itself
+    table = _band_table(spark, grouped)
+    values: dict[tuple[int, int], list[int]] = {}
+    for r in table.select("class", "band", "value").collect():
+        values.setdefault((r["class"], r["band"]), []).append(r["value"])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    d = own.where(_holds_one(F.col("text"), anchors(parsed))).select("doc_id", "row", F.filter(F.split(F.translate("text", UPPER, LOWER), BETWEEN), lambda x: x != "").alias("w"))
+    d = d.withColumn("n", F.size("w")).where(F.col("n") >= SHINGLE)
+    d = d.withColumn("g", F.transform(F.sequence(F.lit(0), F.col("n") - SHINGLE), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(SHINGLE)))))
+    d = d.select("*", *(_hashed(k).alias(f"h{k}") for k in range(max(c.bands for c in grouped))))
+    windows = d.select("doc_id", "row", F.explode(F.concat(*(_retrieved(number, c, values) for number, c in enumerate(grouped)))).alias("x")).select("doc_id", "row", "x.class", "x.i", "x.words", F.posexplode("x.v").alias("band", "value"))
+    size = sum(len(s) + 16 for t in parsed for s in t.shingles) * max(c.bands for c in grouped)
+    met = windows.join(F.broadcast(table) if size < BROADCAST else table, ["class", "band", "value"])
+    shingles = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda j: F.array_join(F.slice("words", j + 1, SHINGLE), " "))
+    held = F.size(F.array_intersect(F.when(F.size("words") >= SHINGLE, shingles), F.col("shingles")))
+    hits = met.select("doc_id", "row", "template", "i", held.alias("shared"), F.size("shingles").alias("m"), "needed").where("shared >= needed")
+    best = hits.groupBy("row", "doc_id", "template", "m").agg(F.max(F.struct("shared", (-F.col("i")).alias("i"))).alias("x"))
+    return best.select("doc_id", "template", (-F.col("x.i")).cast("long").alias("start"), F.col("x.shared").cast("long").alias("shared"), F.col("m").cast("long").alias("n_shingles"), (F.col("x.shared") / F.col("m")).alias("containment"))
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

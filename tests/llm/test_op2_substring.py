@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
+from textloom.llm import runs
 from textloom.llm.op2_substring import FingerprintIndex, repeated_substrings
 
 SCHEMA = "doc_id bigint, text string, lang string, digest string, copies bigint"
@@ -113,3 +116,27 @@ def test_a_level_that_isnt_whole_is_not_read(spark, tmp_path):
     assert len(index.levels()) == 1
     assert index.add(frame(spark, [text])).first().n_removed == 50
     assert index.add(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+@pytest.fixture
+def many_runs(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shares_of_the_runs_give_the_same(spark, monkeypatch, many_runs):
+    monkeypatch.setattr(runs, "RUNS_AT_ONCE", 2)
+    assert runs.runs(frame(spark, made(9)), lower=False).count() > 2
+    texts = made(9)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeated_substrings(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_shares_with_history(spark, monkeypatch, many_runs, tmp_path):
+    monkeypatch.setattr(runs, "RUNS_AT_ONCE", 1)
+    texts = made(6)
+    index = FingerprintIndex(spark, f"file://{tmp_path}/index")
+    index.add(frame(spark, texts[:15]))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.add(frame(spark, texts[15:], 15)).collect()}
+    assert [got[i] for i in range(15, len(texts))] == brute(texts)[15:]

@@ -72,3 +72,22 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_shares_of_the_runs_give_the_same(spark, monkeypatch):
+    from textloom.llm import runs
+
+    rng = random.Random(4)
+    rows = list(enumerate(family(rng, 60, 40, 3) + family(rng, 20, 120, 6) + ["the same text " * 4] * 3))
+    monkeypatch.setattr(runs, "RUNS_AT_ONCE", 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[5000:])), (3, " ".join(words[:100_000]))]
+    assert run(spark, rows) == {1: (199_998, 1), 2: (194_998, 1), 3: (99_998, 3)}

@@ -122,30 +122,72 @@ def _pieces(run_id: int, keys: np.ndarray, more: np.ndarray, buckets: int) -> It
     )
 
 
-def _repeated_prints(rows: list[dict]) -> list[bytes]:
-    """Level one: a fingerprint is repeated if it is in two runs or twice in one."""
-    each = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    keys = np.concatenate(each)
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    flag = np.concatenate([np.frombuffer(r["more"], bool) if r["run_id"] >= 0 else np.zeros(len(e), bool) for r, e in zip(rows, each, strict=True)])
-    flag[order[1:][same]] = True
-    flag[order[:-1][same]] = True
-    return [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum([len(e) for e in each])[:-1])]
-
-
-def _repeated_windows(rows: list[dict]) -> list[bytes]:
-    """Level two: keys and checks must agree. more: checks, then flags."""
-    each = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    check = np.concatenate([np.frombuffer(r["more"][: 8 * len(e)], np.uint64) for r, e in zip(rows, each, strict=True)])
-    flag = np.concatenate([np.frombuffer(r["more"][8 * len(e) :], bool) if r["run_id"] >= 0 else np.zeros(len(e), bool) for r, e in zip(rows, each, strict=True)])
-    keys = np.concatenate(each)
-    order = np.lexsort((check, keys))
-    k, c = keys[order], check[order]
-    same = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-    flag[order[1:][same]] = True
-    flag[order[:-1][same]] = True
-    return [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum([len(e) for e in each])[:-1])]
+def _flags(row: dict, n: int, at: int = 0) -> np.ndarray:
+    """Whether each key is twice in its run; history says nothing of that."""
+    return np.frombuffer(row["more"][at:], bool) if row["run_id"] >= 0 else np.zeros(n, bool)
+
+
+class _RepeatedPrints(R.Merge):
+    """A fingerprint is repeated if it is in two runs or twice in one. more: whether it is twice."""
+
+    def _flagged(self, rows: list[dict]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        each = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = np.concatenate(each)
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        flag = np.concatenate([_flags(r, len(e)) for r, e in zip(rows, each, strict=True)])
+        flag[order[1:][same]] = True
+        flag[order[:-1][same]] = True
+        return [len(e) for e in each], keys, flag
+
+    def found(self, rows: list[dict]) -> list[bytes]:
+        sizes, _, flag = self._flagged(rows)
+        return [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum(sizes)[:-1])]
+
+    def gathered(self, rows: list[dict]) -> tuple[bytes, bytes]:
+        _, keys, flag = self._flagged(rows)
+        keys, first = np.unique(keys, return_index=True)
+        return keys.tobytes(), flag[first].tobytes()
+
+    def dealt(self, whole: dict, found: bytes, row: dict) -> bytes:
+        every, own = np.frombuffer(whole["keys"], np.uint64), np.frombuffer(row["keys"], np.uint64)
+        return np.packbits(np.unpackbits(np.frombuffer(found, np.uint8), count=len(every))[np.searchsorted(every, own)]).tobytes()
+
+
+class _RepeatedWindows(R.Merge):
+    """Keys and checks must agree. more: checks, then whether each is twice."""
+
+    def _flagged(self, rows: list[dict]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, keys, checks and flags in the order of the rows; and the places of distinct windows, sorted."""
+        each = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        check = np.concatenate([np.frombuffer(r["more"][: 8 * len(e)], np.uint64) for r, e in zip(rows, each, strict=True)])
+        flag = np.concatenate([_flags(r, len(e), 8 * len(e)) for r, e in zip(rows, each, strict=True)])
+        keys = np.concatenate(each)
+        order = np.lexsort((check, keys))
+        k, c = keys[order], check[order]
+        same = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+        flag[order[1:][same]] = True
+        flag[order[:-1][same]] = True
+        return [len(e) for e in each], keys, check, flag, order[np.concatenate([[True], ~same])]
+
+    def found(self, rows: list[dict]) -> list[bytes]:
+        sizes, _, _, flag, _ = self._flagged(rows)
+        return [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum(sizes)[:-1])]
+
+    def gathered(self, rows: list[dict]) -> tuple[bytes, bytes]:
+        _, keys, check, flag, first = self._flagged(rows)
+        return keys[first].tobytes(), check[first].tobytes() + flag[first].tobytes()
+
+    def dealt(self, whole: dict, found: bytes, row: dict) -> bytes:
+        every, own = (np.frombuffer(x["keys"], np.uint64) for x in (whole, row))
+        checks = [np.frombuffer(x["more"][: 8 * len(e)], np.uint64) for x, e in ((whole, every), (row, own))]
+        # all of the row's windows are in the whole, so the distinct ones of both are the whole's, in its order
+        keys, check = np.concatenate([every, own]), np.concatenate(checks)
+        order = np.lexsort((check, keys))
+        k, c = keys[order], check[order]
+        place = np.empty(len(k), np.int64)
+        place[order] = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
+        return np.packbits(np.unpackbits(np.frombuffer(found, np.uint8), count=len(every))[place[len(every) :]]).tobytes()
 
 
 def _recut(pieces: DataFrame, buckets: int) -> DataFrame:
@@ -166,7 +208,8 @@ def _recut(pieces: DataFrame, buckets: int) -> DataFrame:
 def _judged(scope: Scope, table: DataFrame, window: int, history: tuple[DataFrame, DataFrame] | None = None, old: int = 0) -> DataFrame:
     """(digest, n_removed, kept_sha256, kept) of each text of the runs, judged against each other and the history's
     fingerprints and windows, of ``old`` words."""
-    total = (table.agg(F.sum("size")).first()[0] or 0) + old
+    size, n_runs = table.agg(F.sum("size"), F.count(F.lit(1))).first()
+    total = (size or 0) + old
     narrow, wide = R.buckets_for(total // 8), R.buckets_for(total // 4 + old)
 
     def prints(batches):
@@ -174,10 +217,10 @@ def _judged(scope: Scope, table: DataFrame, window: int, history: tuple[DataFram
             keys, twice = _Windows(R.Run(row), window).fingerprints()
             yield from _pieces(row["run_id"], keys, twice, narrow)
 
-    def with_history(pieces: DataFrame, which: int, buckets: int) -> DataFrame:
-        return pieces if history is None else pieces.unionByName(_recut(history[which], buckets))
+    def merged(pieces: DataFrame, by: R.Merge, which: int, buckets: int) -> DataFrame:
+        return R.merge(scope, pieces, by, n_runs, None if history is None else _recut(history[which], buckets))
 
-    first = R.returned(R.merge(with_history(table.mapInArrow(steady(prints), R.PIECE), 0, narrow), _repeated_prints), table.drop("size"))
+    first = R.returned(merged(table.mapInArrow(steady(prints), R.PIECE), _RepeatedPrints(), 0, narrow), table.drop("size"))
 
     def candidates(batches):
         for row in R.each_run(batches):
@@ -194,7 +237,7 @@ def _judged(scope: Scope, table: DataFrame, window: int, history: tuple[DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "run_id", "keys", "more"])
 
     pieces = scope.table(first.mapInArrow(steady(candidates), R.PIECE))
-    second = R.merge(with_history(pieces.where("bucket >= 0"), 1, wide), _repeated_windows).unionByName(pieces.where("bucket < 0").select("run_id", "bucket", F.col("keys").alias("found")))
+    second = merged(pieces.where("bucket >= 0"), _RepeatedWindows(), 1, wide).unionByName(pieces.where("bucket < 0").select("run_id", "bucket", F.col("keys").alias("found")))
     both = R.returned(second, table.drop("size"))
 
     def removed(batches):

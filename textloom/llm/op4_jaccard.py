@@ -96,13 +96,29 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def _classes(rows: list[dict]) -> list[bytes]:
-    each = [_unpacked(r["keys"]) for r in rows]
-    _, place = np.unique(np.concatenate(each), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(zstandard.decompress(r["more"]), np.uint8) for r in rows])
-    total = np.bincount(place, weights=counts)
-    found = np.minimum(np.log2(total).astype(np.uint8), 15)[place]
-    return [zstandard.compress(x.tobytes(), 1) for x in np.split(found, np.cumsum([len(e) for e in each])[:-1])]
+class _Classes(R.Merge):
+    """The logarithm of the frequency of each token over all runs. more: how often it is in its run, 255 at most, or in
+    many runs together, in 32 bits."""
+
+    def _counted(self, rows: list[dict]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        each = [_unpacked(r["keys"]) for r in rows]
+        keys, place = np.unique(np.concatenate(each), return_inverse=True)
+        counts = [zstandard.decompress(r["more"]) for r in rows]
+        counts = np.concatenate([np.frombuffer(c, np.uint8 if len(c) == len(e) else np.uint32) for c, e in zip(counts, each, strict=True)])
+        return [len(e) for e in each], keys, place, np.bincount(place, weights=counts)
+
+    def found(self, rows: list[dict]) -> list[bytes]:
+        sizes, _, place, total = self._counted(rows)
+        classes = np.minimum(np.log2(total).astype(np.uint8), 15)[place]
+        return [zstandard.compress(x.tobytes(), 1) for x in np.split(classes, np.cumsum(sizes)[:-1])]
+
+    def gathered(self, rows: list[dict]) -> tuple[bytes, bytes]:
+        _, keys, _, total = self._counted(rows)
+        return _packed(keys), zstandard.compress(np.minimum(total, 1 << 20).astype(np.uint32).tobytes(), 1)
+
+    def dealt(self, whole: dict, found: bytes, row: dict) -> bytes:
+        classes = np.frombuffer(zstandard.decompress(found), np.uint8)
+        return zstandard.compress(classes[np.searchsorted(_unpacked(whole["keys"]), _unpacked(row["keys"]))].tobytes(), 1)
 
 
 def _combinations(tokens: np.ndarray, n: int, level: int) -> Iterator[np.ndarray]:
@@ -157,7 +173,8 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
 
 def _indexed(scope: Scope, table: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
     """Each text of the runs with its number of tokens; where any key is left, with its keys and the text."""
-    buckets = R.buckets_for(table.agg(F.sum("size")).first()[0] or 0)
+    size, n_runs = table.agg(F.sum("size"), F.count(F.lit(1))).first()
+    buckets = R.buckets_for(size or 0)
     bits = buckets.bit_length() - 1
     shift, mask = np.uint64(64 - bits - SHORT), np.uint64((1 << SHORT) - 1)
 
@@ -194,7 +211,7 @@ def _indexed(scope: Scope, table: DataFrame, shingle: int, numerator: int, denom
             ids = pa.array(run.ids, pa.int64(), mask=run.ids == R.NO_ID)
             yield pa.RecordBatch.from_arrays([pa.array(run.digests, pa.binary()), pa.array(uid, pa.int64()), ids, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary()), pa.array(alone, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["digest", "uid", "id", "n", "keys", "z", "alone", "sketch"])
 
-    counted = R.merge(table.mapInArrow(steady(pieces), R.PIECE), _classes)
+    counted = R.merge(scope, table.mapInArrow(steady(pieces), R.PIECE), _Classes(), n_runs)
     return scope.table(R.returned(counted, table.drop("size")).mapInArrow(steady(texts), TEXT))
 
 

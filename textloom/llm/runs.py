@@ -3,15 +3,15 @@
 A *run* is one row that holds some hundreds of distinct texts. Steps that compare all texts with all texts sort the
 keys of each run (:func:`sorted_keys`), cut the list by key range into buckets, and merge each bucket over all runs
 (:func:`merge`). What returns to a run is one small number for each of its keys, in the run's own order, so no key
-travels twice. A key has one entry for each run at most, however many rows it has: hot keys are gathered before the
-shuffle. Buckets are sized by the number of keys (:func:`buckets_for`), so a merge fits in memory at any input size.
+travels twice. A key has one entry for each run at most, however many rows it has, and where runs are many, one for each
+share of them: hot keys are gathered before they meet. Buckets are sized by the number of keys (:func:`buckets_for`), so a merge fits in memory at any input size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import release, steady
+from .store import Scope
 
 RUN_BYTES, RUN_TEXTS = 2 << 20, 1 << 16
 KEYS_PER_BUCKET = 2_000_000
@@ -139,15 +140,62 @@ def returned(flags: DataFrame, table: DataFrame) -> DataFrame:
 PIECE = "bucket int, run_id bigint, keys binary, more binary"
 
 
-def merge(pieces: DataFrame, found: Callable[[list[dict]], list[bytes]]) -> DataFrame:
-    """``found`` gets the pieces of one bucket, and returns for each the bytes that go back to its run. Pieces of a
-    negative run_id are history, to which nothing goes back."""
+#: Of more runs than these, pieces are gathered by shares of the runs before they are merged: a key that is in every run
+#: then is as many entries of its bucket as there are shares.
+RUNS_AT_ONCE = 4096
+
+
+class Merge:
+    """What a merge does with pieces of one bucket (dicts of run_id, keys, more)."""
+
+    def found(self, rows: list[dict]) -> list[bytes]:
+        """For each piece, the bytes that go back to its run: something for each key, by all pieces."""
+        raise NotImplementedError
+
+    def gathered(self, rows: list[dict]) -> tuple[bytes, bytes]:
+        """keys and more of one piece that stands for all."""
+        raise NotImplementedError
+
+    def dealt(self, whole: dict, found: bytes, row: dict) -> bytes:
+        """From what was found for the gathered piece, what goes back to one of those that it stands for."""
+        raise NotImplementedError
+
+
+FOUND = "run_id bigint, bucket int, found binary"
+
+
+def merge(scope: Scope, pieces: DataFrame, by: Merge, runs: int, history: DataFrame | None = None) -> DataFrame:
+    """(run_id, bucket, found) of the pieces of so many runs, in the light of historical pieces, to which nothing goes
+    back."""
+
+    def result(rows: list[dict], out: list[bytes]) -> pa.Table:
+        return pa.table({"run_id": pa.array([r["run_id"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "found": pa.array(out, pa.binary())})
 
     def of(table: pa.Table) -> pa.Table:
         release()
         rows = table.to_pylist()
-        back = [(r, x) for r, x in zip(rows, found(rows), strict=True) if r["run_id"] >= 0]
-        rows, out = [r for r, _ in back], [x for _, x in back]
-        return pa.table({"run_id": pa.array([r["run_id"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "found": pa.array(out, pa.binary())})
+        back = [(r, x) for r, x in zip(rows, by.found(rows), strict=True) if r["run_id"] >= 0]
+        return result([r for r, _ in back], [x for _, x in back])
+
+    shares = -(-runs // RUNS_AT_ONCE)
+    if shares <= 1:
+        every = pieces if history is None else pieces.unionByName(history)
+        return every.groupBy("bucket").applyInArrow(of, FOUND)
 
-    return pieces.groupBy("bucket").applyInArrow(of, "run_id bigint, bucket int, found binary")
+    def gather(table: pa.Table) -> pa.Table:
+        release()
+        rows = table.to_pylist()
+        keys, more = by.gathered(rows)
+        return pa.table({"bucket": pa.array([rows[0]["bucket"]], pa.int32()), "run_id": pa.array([rows[0]["share"]], pa.int64()), "keys": pa.array([keys], pa.binary()), "more": pa.array([more], pa.binary())})
+
+    def deal(of_share: pa.Table, table: pa.Table) -> pa.Table:
+        release()
+        (whole,), rows = of_share.to_pylist(), table.to_pylist()
+        return result(rows, [by.dealt(whole, whole["found"], r) for r in rows])
+
+    pieces = scope.table(pieces)
+    shared = pieces.withColumn("share", F.pmod("run_id", F.lit(shares)).cast("long"))
+    unions = scope.table(shared.groupBy("bucket", "share").applyInArrow(gather, PIECE))
+    answers = merge(scope, unions, by, 1, history)
+    answered = unions.join(answers, ["run_id", "bucket"]).withColumnRenamed("run_id", "share")
+    return answered.groupBy("bucket", "share").cogroup(shared.groupBy("bucket", "share")).applyInArrow(deal, FOUND)

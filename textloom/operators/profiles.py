@@ -278,10 +278,29 @@ def popularity(ranks: DataFrame, by: list[str]) -> DataFrame:
 
 def alphabet_coverage(df: DataFrame, keys: list[str], text: str = "text", least: float = 0.2) -> DataFrame:
     """(keys..., language, n_shared, n_alphabet): languages of which at least a share of the alphabet is in the text."""
-    letters = F.array_distinct(F.filter(F.split(F.lower(_col(text)), ""), lambda x: x != ""))
-    table = F.array(*(F.struct(F.lit(k).alias("language"), F.array(*map(F.lit, v)).alias("letters")) for k, v in T.LANGUAGES.items()))
-    each = df.select(*keys, letters.alias("_l")).select(*keys, F.explode(F.transform(table, lambda t: F.struct(t["language"].alias("language"), F.size(F.array_intersect("_l", t["letters"])).cast("long").alias("n_shared"), F.size(t["letters"]).cast("long").alias("n_alphabet")))).alias("x"))
-    return each.select(*keys, "x.*").where(F.col("n_shared") >= F.lit(least) * F.col("n_alphabet"))
+    names = list(T.LANGUAGES)
+    size = np.array([len(v) for v in T.LANGUAGES.values()])
+    letters = sorted(set("".join(T.LANGUAGES.values())))
+    known, holds = np.array([ord(c) for c in letters]), np.array([[c in v for v in T.LANGUAGES.values()] for c in letters])
+
+    def of(texts: pa.Array) -> pa.Array:
+        rows: list[list[dict]] = []
+        for low, high, codes, first in B.code_points(texts):
+            doc = np.repeat(np.arange(high - low), np.diff(first))
+            met = np.unique(doc * 0x110000 + codes)
+            met = met[np.isin(met % 0x110000, known)]
+            shared = np.zeros((high - low, len(names)), np.int64)
+            np.add.at(shared, met // 0x110000, holds[np.searchsorted(known, met % 0x110000)])
+            enough = shared >= least * size
+            rows += [[{"language": names[k], "n_shared": int(own[k]), "n_alphabet": int(size[k])} for k in np.flatnonzero(ok)] for own, ok in zip(shared, enough, strict=True)]
+        return pa.array(rows, pa.list_(pa.struct([("language", pa.string()), ("n_shared", pa.int64()), ("n_alphabet", pa.int64())])))
+
+    @F.arrow_udf("array<struct<language:string,n_shared:bigint,n_alphabet:bigint>>")
+    def covered(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(of, texts)
+
+    each = df.select(*keys, F.explode(covered(F.lower(_col(text)))).alias("x"))
+    return each.select(*keys, "x.language", "x.n_shared", "x.n_alphabet")
 
 
 def merge_coherence(df: DataFrame, by: list[str]) -> DataFrame:

@@ -276,7 +276,7 @@ def _resulting(docs: DataFrame, judged: DataFrame, window: int, texts: bool) ->
     each = R.members(docs, lower=False, texts=False)
     copied = (F.col("copies") > 1) & (F.col("n_words") >= window)
     whole = F.lower(F.hex("digest"))
-    return each.join(judged, "digest", "left").select(
+    return R.with_labels(each, judged).select(
         "doc_id",
         "n_words",
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

@@ -158,7 +158,7 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray, numerator: int, denomina
     return np.unique(np.concatenate(out))
 
 
-TEXT = "digest binary, uid bigint, id bigint, n bigint, keys array<bigint>, z binary, alone bigint, sketch array<bigint>"
+TEXT = "digest binary, uid bigint, id bigint, copies bigint, n bigint, keys array<bigint>, z binary, alone bigint, sketch array<bigint>"
 #: Longs of a parity sketch.
 SKETCH = 8
 #: Comparisons for each posting that one round may make.
@@ -209,7 +209,7 @@ def _indexed(scope: Scope, table: DataFrame, shingle: int, numerator: int, denom
                     keys[i], z[i], sketch[i] = got.view(np.int64), pack(run.text(i)), parity_sketch(tokens[first[i] : first[i + 1]])
             uid = (row["run_id"] << 16) + np.arange(len(n))
             ids = pa.array(run.ids, pa.int64(), mask=run.ids == R.NO_ID)
-            yield pa.RecordBatch.from_arrays([pa.array(run.digests, pa.binary()), pa.array(uid, pa.int64()), ids, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary()), pa.array(alone, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["digest", "uid", "id", "n", "keys", "z", "alone", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(run.digests, pa.binary()), pa.array(uid, pa.int64()), ids, pa.array(run.copies, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary()), pa.array(alone, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["digest", "uid", "id", "copies", "n", "keys", "z", "alone", "sketch"])
 
     counted = R.merge(scope, table.mapInArrow(steady(pieces), R.PIECE), _Classes(), n_runs)
     return scope.table(R.returned(counted, table.drop("size")).mapInArrow(steady(texts), TEXT))
@@ -284,24 +284,24 @@ def _links(scope: Scope, texts: DataFrame, shingle: int, numerator: int, denomin
 
 
 def _labelled(s: Scope, docs: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
-    """Each distinct text: digest, its smallest id, n shingles, component, the smallest id of that, and whether the text
+    """Each distinct text: digest, its smallest id, copies, n shingles, component, the smallest id of that, and whether the text
     leads it: of those with the smallest id, the first by digest."""
     if not 2 * numerator > denominator:
         raise ValueError("the similarity must be over one half")
     table = s.table(R.runs(docs, lower=True))
     texts = _indexed(s, table, shingle, numerator, denominator)
     groups = _links(s, texts, shingle, numerator, denominator)
-    labelled = texts.select("digest", "uid", "id", "n").join(groups.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    labelled = texts.select("digest", "uid", "id", "copies", "n").join(groups.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
     least = labelled.groupBy("component").agg(first["id"].alias("component_id"), first["digest"].alias("lead"))
-    return s.table(labelled.join(least, "component").select("digest", "id", "n", "component_id", (F.col("digest") == F.col("lead")).alias("leads")))
+    return s.table(labelled.join(least, "component").select("digest", "id", "copies", "n", "component_id", (F.col("digest") == F.col("lead")).alias("leads")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     with Scope(docs.sparkSession) as s:
-        labelled = _labelled(s, docs, shingle, numerator, denominator).select("digest", "n", "component_id")
-        out = R.members(docs, lower=True, texts=False).join(labelled, "digest", "left")
+        labelled = _labelled(s, docs, shingle, numerator, denominator).select("digest", "copies", "n", "component_id")
+        out = R.with_labels(R.members(docs, lower=True, texts=False), labelled)
         return s.keep(out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n").isNotNull(), F.col("component_id")), F.col("doc_id")).alias("component_id")))
 
 
@@ -312,7 +312,8 @@ def first_of_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int
     key = F.xxhash64("text")
     with Scope(docs.sparkSession) as s:
         labelled = _labelled(s, docs, shingle, numerator, denominator).where("n > 0")
-        rows = s.table(R.members(docs, lower=True, texts=False, key=key).join(labelled.select("digest", "id", "leads"), "digest"))
+        every = R.members(docs, lower=True, texts=False, key=key).where("n_words > 0")
+        rows = s.table(R.with_labels(every, labelled.select("digest", "copies", "id", "leads")))
         # texts that differ in case or white space alone share a digest
         first = rows.where(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("digest").agg(F.min("key").alias("first"))
         stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("first"))

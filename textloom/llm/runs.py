@@ -140,6 +140,23 @@ def returned(flags: DataFrame, table: DataFrame) -> DataFrame:
 PIECE = "bucket int, run_id bigint, keys binary, more binary"
 
 
+#: A text with more than this share of all rows is hot: there can't be more such texts than one by the share.
+HOT = 1 / 1000
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each of ``rows`` (digest, ...) with what ``labels`` (digest, copies, ...) says of its digest, null if nothing. The
+    labels of hot texts, a thousand at most, are broadcast; their rows are spread over all tasks."""
+    total = labels.agg(F.sum("copies")).first()[0] or 0
+    names = [c for c in labels.columns if c != "digest"]
+    hot = labels.where(F.col("copies") > F.lit(HOT * total)).select(F.col("digest").alias("_hot"), F.struct(*names).alias("_known"))
+    met = rows.join(F.broadcast(hot), F.col("digest") == F.col("_hot"), "left")
+    # a row that is done joins with nothing, by a key of its own
+    key = F.when(F.col("_hot").isNull(), F.col("digest")).otherwise(F.concat("digest", F.encode(F.monotonically_increasing_id().cast("string"), "UTF-8")))
+    found = met.withColumn("_key", key).join(labels.select(F.col("digest").alias("_key"), F.struct(*names).alias("_found")), "_key", "left")
+    return found.select(*rows.columns, *(F.coalesce(F.col(f"_known.{c}"), F.col(f"_found.{c}")).alias(c) for c in names))
+
+
 #: Of more runs than these, pieces are gathered by shares of the runs before they are merged: a key that is in every run
 #: then is as many entries of its bucket as there are shares.
 RUNS_AT_ONCE = 4096

@@ -12,7 +12,7 @@
 
 A document that lacks a template's anchors can't hold 80 % of its shingles: anchors are words of which each covers the
 shingles it is in, chosen until over 20 % are covered. Documents without any anchor are passed over by plain substring
-search. All but the retrieved windows stays within its row, so no skew of the documents matters; of templates the plan
+search, windows without one are left out. All but the retrieved windows stays within its row, so no skew of the documents matters; of templates the plan
 holds the band values and anchors alone. Their table is broadcast if it is smaller than BROADCAST bytes, joined by its
 keys otherwise.
 
@@ -156,9 +156,12 @@ def _band_table(spark: SparkSession, grouped: list[Class]) -> DataFrame:
 
 def _retrieved(number: int, c: Class, values: dict[tuple[int, int], list[int]]) -> Column:
     """The windows of a row of which a band value is that of a template of the class: an array of (class, i, v, words)."""
-    inside = c.window - SHINGLE + 1
-    least = f"array({', '.join(f'array_min(slice(h{k}, i + 1, {inside}))' for k in range(c.bands))})"
-    windows = F.expr(f"transform(sequence(0, greatest(0, n - {c.shortest}), {c.stride}), i -> struct(i as i, {least} as v))")
+    inside, words = c.window - SHINGLE + 1, ", ".join(f"'{x}'" for x in anchors(list(c.templates)))
+    # windows that hold an anchor: with an anchor at p, those that begin at so many strides
+    first, last = f"greatest(0, (p - {c.window} + {c.stride}) div {c.stride})", f"least(p div {c.stride}, greatest(0, n - {c.shortest}) div {c.stride})"
+    starts = f"array_distinct(flatten(transform(filter(sequence(0, n - 1), p -> get(w, p) in ({words})), p -> sequence({first}, {last}))))"
+    least = f"array({', '.join(f'array_min(slice(h{k}, {c.stride} * s + 1, {inside}))' for k in range(c.bands))})"
+    windows = F.expr(f"transform({starts}, s -> struct({c.stride} * s as i, {least} as v))")
 
     def agrees(x: Column) -> Column:
         out = x["v"][0].isin(values[number, 0])

@@ -184,3 +184,22 @@ def test_explain_shows_what_is_noted(capsys):
     level = api.logger.level
     api.from_bytes(BULGARIAN.encode("cp1251"), explain=True, only=("cp1251",))
     assert "cp1251" in capsys.readouterr().err and api.logger.level == level and not any(isinstance(h, logging.StreamHandler) for h in api.logger.handlers)
+
+
+def test_errors():
+    with pytest.raises(ImportError):
+        T.code_page("no_such_page")
+    with pytest.raises(OSError):
+        T.code_page("utf_8")
+    with pytest.raises(KeyError):
+        T.is_suspicious_pair("Basic Latin", "No Such Range")
+    with pytest.raises(TypeError):
+        T.unicode_range("ab")
+    with pytest.raises(ValueError):
+        T.encoding_name("utf-57")
+    with pytest.raises(ValueError):
+        K.popularity("Klingon", "abc")
+    with pytest.raises(LookupError):
+        api.from_bytes(b"plain").best().output("no_such_codec")
+    with pytest.raises(UnicodeDecodeError):
+        D.strict(b"+2AA-", "utf_7")

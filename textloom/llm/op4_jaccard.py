@@ -314,10 +314,13 @@ def first_of_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int
         labelled = _labelled(s, docs, shingle, numerator, denominator).where("n > 0")
         every = R.members(docs, lower=True, texts=False, key=key).where("n_words > 0")
         rows = s.table(R.with_labels(every, labelled.select("digest", "copies", "id", "leads")))
+        # the rows that may stay: few of a text, however many copies it has
+        own = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("id"))
+        first_rows = rows.where(own)
         # texts that differ in case or white space alone share a digest
-        first = rows.where(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("digest").agg(F.min("key").alias("first"))
-        stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("first"))
-        gone = s.keep(rows.join(first, "digest", "left").where(~F.coalesce(stays, F.lit(False))).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct())
+        later = first_rows.join(first_rows.groupBy("digest").agg(F.min("key").alias("first")), "digest").where("key <> first")
+        both = rows.where(~F.coalesce(own, F.lit(False))).select("doc_id", "key").unionByName(later.select("doc_id", "key"))
+        gone = s.keep(both.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct())
         repeated = not docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     # never broadcast: what goes grows with the input
     kept = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone")) & (key == F.col("_key")), "left_anti")

@@ -192,25 +192,21 @@ def estimated(s: Scope, vectors: DataFrame) -> DataFrame:
     estimates = s.table(_starts(long))
     both = vectors.withColumn("group", F.explode(F.array(*(F.concat("group", F.lit(x)) for x in ("#0", "#1")))))
     size = sum((F.log(f"l_{i}{i}") for i in range(k)), F.lit(0.0))
+    values = [f"m_{i}" for i in range(k)] + [f"l_{i}{j}" for i in range(k) for j in range(i + 1)] + ["size"]
     for step in range(STEPS):
         placed = _distances(both, estimates).withColumn("bin", _bin(F.col("d2")))
         new = _estimate(_nearest(placed), consistency(k, SHARE)).withColumn("size", size)
-        if step:  # the start is no group's half, so its determinant says nothing
-            new = new.join(estimates.select("group", F.col("size").alias("before")), "group").withColumn("fell", F.col("size") < F.col("before") - 1e-6).drop("before")
-        else:
-            new = new.withColumn("fell", F.lit(True))
-        new = s.table(new)
-        if step:
-            stay = estimates.join(new.where("not fell").select("group"), "group")
-            estimates = new.where("fell").drop("fell").unionByName(stay)
-            if new.where("fell").isEmpty():
-                break
-            estimates = s.table(estimates)
-        else:
-            estimates = new.drop("fell")
-    values = [c for c in estimates.columns if c not in ("group", "size")]
-    best = estimates.groupBy(F.expr("substring(group, 1, length(group) - 2)").alias("group")).agg(F.min(F.struct("size", *values)).alias("best"))
-    return best.select("group", *(f"best.{c}" for c in values))
+        if not step:  # the start is no group's half, so its determinant says nothing
+            estimates = s.table(new)
+            continue
+        # a group keeps its estimate unless the determinant falls
+        old = estimates.select("group", *(F.col(c).alias(f"old_{c}") for c in values))
+        fell = F.col("size") < F.col("old_size") - 1e-6
+        estimates = s.table(new.join(old, "group").select("group", *(F.when(fell, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in values), fell.alias("fell")))
+        if estimates.where("fell").isEmpty():
+            break
+    best = estimates.groupBy(F.expr("substring(group, 1, length(group) - 2)").alias("group")).agg(F.min(F.struct("size", *values[:-1])).alias("best"))
+    return best.select("group", *(f"best.{c}" for c in values[:-1]))
 
 
 def judged(docs: DataFrame) -> DataFrame:

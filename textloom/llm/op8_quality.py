@@ -4,12 +4,12 @@ Base rules come first: fewer than 50 words, or more than half of the words under
 others, five transformed statistics make a vector: log of the number of words, characters a word, and the square roots
 of symbols a character, repeated lines a line, and repeated words a word. For each language and source the minimum
 covariance determinant is estimated: concentration steps each take the half of the documents nearest to the last estimate
-and estimate mean and covariance again, until no group's determinant falls, STEPS at most. There are two starts, which
-less than half of a group can't carry off: the shortest half of each statistic, and medians with median deviations; the
-smaller determinant decides. Random starts are left out on purpose: a block of a third of copies and the few documents
-nearest to it can have the least determinant of all halves, and a start inside it would find that. Of documents as far as
-the edge of the half, all count by the part that fills it, so a block of copies doesn't enter whole. A document over CUTOFF
-in squared Mahalanobis distance (for the normal law, one clean document in a million) is rejected.
+and estimate mean and covariance again, until no group's determinant falls by more than LEAST_FALL, STEPS at most. There
+are two starts, which less than half of a group can't carry off: the shortest half of each statistic, and medians with
+median deviations; the smaller determinant decides. Random starts are left out on purpose: a block of a third of copies and
+the few documents nearest to it can have the least determinant of all halves, and a start inside it would find that. Of
+documents as far as the edge of the half, all count by the part that fills it, so a block of copies doesn't enter whole. A
+document over CUTOFF in squared Mahalanobis distance (for the normal law, one clean document in a million) is rejected.
 
 FLOORS are the least standard deviations a statistic is taken to have (a group whose documents hold no symbol at all has
 variance zero). They are a third or less of what the least event makes: one repeated line of ten is 0.32 in v_lines, one
@@ -36,6 +36,8 @@ from .store import Scope
 
 SPACES = " \t\n\x0b\x0c\r"
 STEPS, SHARE, LEAST = 12, 0.5, 50
+#: Half the logarithm of a determinant has to fall by so much, a tenth of a percent of one standard deviation.
+LEAST_FALL = 1e-3
 #: The chi-squared quantile of five degrees that a clean document exceeds with this probability.
 TAIL = 1e-6
 #: Parts of a distribution, in which its shortest half is looked for.
@@ -201,7 +203,7 @@ def estimated(s: Scope, vectors: DataFrame) -> DataFrame:
             continue
         # a group keeps its estimate unless the determinant falls
         old = estimates.select("group", *(F.col(c).alias(f"old_{c}") for c in values))
-        fell = F.col("size") < F.col("old_size") - 1e-6
+        fell = F.col("size") < F.col("old_size") - LEAST_FALL
         estimates = s.table(new.join(old, "group").select("group", *(F.when(fell, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in values), fell.alias("fell")))
         if estimates.where("fell").isEmpty():
             break

@@ -27,13 +27,25 @@ def release() -> None:
     _trim()()
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def register(name: str, clear: Callable[[], None]) -> None:
+    """What a module keeps in a worker from task to task; it goes when the worker begins other work."""
+    _caches[name] = clear
+
+
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def steady(kernel: Kernel) -> Kernel:
-    """The kernel of a mapInArrow, returning memory after each batch it yields and at its end."""
+def steady(kernel: Kernel, keeps: str = "") -> Kernel:
+    """The kernel of a mapInArrow, returning memory after each batch it yields and at its end. ``keeps``: the cache that
+    it uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, clear in _caches.items():
+            if name != keeps:
+                clear()
         release()
         for out in kernel(batches):
             yield out

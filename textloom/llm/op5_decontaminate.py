@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .memory import steady
+from .memory import register, steady
 from .store import bound_batches, open_store, shared_dir
 from .words import ALNUM, LOWER, Words, slices, window_hashes, words
 
@@ -165,6 +165,9 @@ def write_indexes(benchmark: DataFrame, folder: str, window: int = WINDOW) -> li
 _loaded: OrderedDict[str, tuple[int, list[Index]]] = OrderedDict()
 
 
+register("indexes", lambda: _loaded.clear())
+
+
 def load(path: str) -> list[Index]:
     """The index of a file; the last ones stay while they fit in KEPT_BYTES."""
     if path not in _loaded:
@@ -221,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sp
 
     @F.arrow_udf(FOUND_SQL)
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from steady(lambda batches: (_judge(x, paths) for x in batches))(texts)
+        yield from steady(lambda batches: (_judge(x, paths) for x in batches), "indexes")(texts)
 
     judged = docs.select(*keep, judge(F.col("text")).alias("_found"))
     return judged.select(*keep, *(F.col(f"_found.{f.name}").alias(f.name) for f in list(FOUND)[: len(FOUND) if spans else 5]))

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .memory import steady
+from .memory import register, steady
 from .store import delete, open_store, shared_dir, small_batches
 from .words import slices
 
@@ -197,6 +197,14 @@ def pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, bool]]:
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
+def _forget() -> None:
+    for e in _encoders.values():
+        e.young, e.old = {}, {}
+
+
+register("words", _forget)
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -285,7 +293,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, size: int = SEQU
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     with small_batches(docs.sparkSession):
-        parts = sorted(tuple(r) for r in dealt.mapInArrow(steady(write), "part bigint, path string, n bigint").collect())
+        parts = sorted(tuple(r) for r in dealt.mapInArrow(steady(write, "words"), "part bigint, path string, n bigint").collect())
     with open(vocabulary, "rb") as f:
         digest = hashlib.sha256(f.read()).hexdigest()
     files = [{"name": path.rsplit("/", 1)[1], "ids": n} for _, path, n in parts]

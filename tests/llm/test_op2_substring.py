@@ -1,12 +1,15 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from textloom.llm import runs
-from textloom.llm.op2_substring import FingerprintIndex, repeated_substrings
+from textloom.llm.op2_substring import FingerprintIndex, _RepeatedWindows, repeated_substrings
+from textloom.llm.store import Scope
 
 SCHEMA = "doc_id bigint, text string, lang string, digest string, copies bigint"
 
@@ -140,3 +143,30 @@ def test_shares_with_history(spark, monkeypatch, many_runs, tmp_path):
     index.add(frame(spark, texts[:15]))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.add(frame(spark, texts[15:], 15)).collect()}
     assert [got[i] for i in range(15, len(texts))] == brute(texts)[15:]
+
+
+def test_a_share_of_thousands_of_runs_is_dealt_at_once(spark, monkeypatch):
+    """One bucket of 3,000 runs in two shares. Sorting a share anew for each of its runs took minutes."""
+    rng = np.random.default_rng(1)
+    # some keys are there again, with the same check or with another one
+    pool, checks = rng.integers(0, 1 << 60, 300_000, dtype=np.uint64), rng.integers(0, 1 << 60, 3, dtype=np.uint64)
+    rows = []
+    for i in range(3000):
+        keys = np.sort(rng.choice(pool, 150, replace=False))
+        rows.append({"bucket": 0, "run_id": i, "keys": keys.tobytes(), "more": checks[rng.integers(0, 3, 150)].tobytes() + bytes(150)})
+    expected = dict(zip((r["run_id"] for r in rows), _RepeatedWindows().found(rows), strict=True))
+    assert 0 < np.unpackbits(np.frombuffer(b"".join(expected.values()), np.uint8)).sum() < 450_000
+    monkeypatch.setattr(runs, "RUNS_AT_ONCE", 1500)
+    pieces = spark.createDataFrame([tuple(r.values()) for r in rows], runs.PIECE)
+    began = time.monotonic()
+    with Scope(spark) as s:
+        got = {r.run_id: bytes(r.found) for r in runs.merge(s, pieces, _RepeatedWindows(), 3000).collect()}
+    assert got == expected and time.monotonic() - began < 40
+
+
+def test_many_windows_of_one_key_are_told_apart():
+    by = _RepeatedWindows()
+    rows = [{"run_id": i, "bucket": 0, "keys": np.array([5, 7, 7, 7 + i], np.uint64).tobytes(), "more": np.array([1, i, 10 + i, 20], np.uint64).tobytes() + bytes(4)} for i in range(5)]
+    keys, more = by.gathered(rows)
+    whole = {"run_id": 0, "bucket": 0, "keys": keys, "more": more}
+    assert by.dealt(whole, by.found([whole])[0], rows) == by.found(rows)

@@ -149,9 +149,10 @@ class _RepeatedPrints(R.Merge):
         keys, first = np.unique(keys, return_index=True)
         return keys.tobytes(), flag[first].tobytes()
 
-    def dealt(self, whole: dict, found: bytes, row: dict) -> bytes:
-        every, own = np.frombuffer(whole["keys"], np.uint64), np.frombuffer(row["keys"], np.uint64)
-        return np.packbits(np.unpackbits(np.frombuffer(found, np.uint8), count=len(every))[np.searchsorted(every, own)]).tobytes()
+    def dealt(self, whole: dict, found: bytes, rows: list[dict]) -> list[bytes]:
+        every = np.frombuffer(whole["keys"], np.uint64)
+        flag = np.unpackbits(np.frombuffer(found, np.uint8), count=len(every))
+        return [np.packbits(flag[np.searchsorted(every, np.frombuffer(r["keys"], np.uint64))]).tobytes() for r in rows]
 
 
 class _RepeatedWindows(R.Merge):
@@ -178,16 +179,20 @@ class _RepeatedWindows(R.Merge):
         _, keys, check, flag, first = self._flagged(rows)
         return keys[first].tobytes(), check[first].tobytes() + flag[first].tobytes()
 
-    def dealt(self, whole: dict, found: bytes, row: dict) -> bytes:
-        every, own = (np.frombuffer(x["keys"], np.uint64) for x in (whole, row))
-        checks = [np.frombuffer(x["more"][: 8 * len(e)], np.uint64) for x, e in ((whole, every), (row, own))]
-        # all of the row's windows are in the whole, so the distinct ones of both are the whole's, in its order
-        keys, check = np.concatenate([every, own]), np.concatenate(checks)
-        order = np.lexsort((check, keys))
-        k, c = keys[order], check[order]
-        place = np.empty(len(k), np.int64)
-        place[order] = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
-        return np.packbits(np.unpackbits(np.frombuffer(found, np.uint8), count=len(every))[place[len(every) :]]).tobytes()
+    def dealt(self, whole: dict, found: bytes, rows: list[dict]) -> list[bytes]:
+        every = np.frombuffer(whole["keys"], np.uint64)
+        checks = np.frombuffer(whole["more"][: 8 * len(every)], np.uint64)
+        flag = np.unpackbits(np.frombuffer(found, np.uint8), count=len(every))
+        out = []
+        for r in rows:
+            own = np.frombuffer(r["keys"], np.uint64)
+            check = np.frombuffer(r["more"][: 8 * len(own)], np.uint64)
+            # all of the row's windows are in the whole; those of one key lie side by side, in the order of their checks
+            place = np.searchsorted(every, own)
+            while len(later := np.flatnonzero(checks[place] != check)):
+                place[later] += 1
+            out.append(np.packbits(flag[place]).tobytes())
+        return out
 
 
 def _recut(pieces: DataFrame, buckets: int) -> DataFrame:

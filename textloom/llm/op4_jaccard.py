@@ -116,9 +116,9 @@ class _Classes(R.Merge):
         _, keys, _, total = self._counted(rows)
         return _packed(keys), zstandard.compress(np.minimum(total, 1 << 20).astype(np.uint32).tobytes(), 1)
 
-    def dealt(self, whole: dict, found: bytes, row: dict) -> bytes:
-        classes = np.frombuffer(zstandard.decompress(found), np.uint8)
-        return zstandard.compress(classes[np.searchsorted(_unpacked(whole["keys"]), _unpacked(row["keys"]))].tobytes(), 1)
+    def dealt(self, whole: dict, found: bytes, rows: list[dict]) -> list[bytes]:
+        every, classes = _unpacked(whole["keys"]), np.frombuffer(zstandard.decompress(found), np.uint8)
+        return [zstandard.compress(classes[np.searchsorted(every, _unpacked(r["keys"]))].tobytes(), 1) for r in rows]
 
 
 def _combinations(tokens: np.ndarray, n: int, level: int) -> Iterator[np.ndarray]:

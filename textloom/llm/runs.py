@@ -173,8 +173,9 @@ class Merge:
         """keys and more of one piece that stands for all."""
         raise NotImplementedError
 
-    def dealt(self, whole: dict, found: bytes, row: dict) -> bytes:
-        """From what was found for the gathered piece, what goes back to one of those that it stands for."""
+    def dealt(self, whole: dict, found: bytes, rows: list[dict]) -> list[bytes]:
+        """From what was found for the gathered piece, what goes back to each of those that it stands for. They are
+        thousands, so what is done to the whole is done once."""
         raise NotImplementedError
 
 
@@ -208,10 +209,10 @@ def merge(scope: Scope, pieces: DataFrame, by: Merge, runs: int, history: DataFr
     def deal(of_share: pa.Table, table: pa.Table) -> pa.Table:
         release()
         (whole,), rows = of_share.to_pylist(), table.to_pylist()
-        return result(rows, [by.dealt(whole, whole["found"], r) for r in rows])
+        return result(rows, by.dealt(whole, whole["found"], rows))
 
     pieces = scope.table(pieces)
-    shared = pieces.withColumn("share", F.pmod("run_id", F.lit(shares)).cast("long"))
+    shared = pieces.withColumn("share", F.pmod(F.xxhash64("run_id"), F.lit(shares)).cast("long"))
     unions = scope.table(shared.groupBy("bucket", "share").applyInArrow(gather, PIECE))
     answers = merge(scope, unions, by, 1, history)
     answered = unions.join(answers, ["run_id", "bucket"]).withColumnRenamed("run_id", "share")

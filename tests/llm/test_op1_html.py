@@ -78,6 +78,21 @@ def test_alignment_decides_without_markup():
     assert all(got[i] == f"Story {i} It happened {i} times" for i in range(12))
 
 
+def test_alignment_decides_between_articles():
+    """A teaser that the pages of a host share is in an <article> as well as their stories; paragraphs of a story that are
+    on other pages too stay."""
+    def page(i):
+        return f"<main><p>Best of all sites</p><article><p>Win a car</p></article><article><h1>Story {i}</h1><p>The same quote</p></article></main>"
+
+    rows = [(i, f"http://a.b/n/{i:03}", page(i)) for i in range(6)]
+    got = {r[0]: r[2] for r in H._stream((i, u, "a.b", u, h) for i, u, h in rows)}
+    assert got == {i: f"Story {i} The same quote" for i in range(6)}
+    # nothing tells in which one the article is, alone on the host or where all is shared
+    alone = "Best of all sites Win a car Story 1 The same quote"
+    assert text(page(1)) == alone == text(page(1), page(1), page(1))
+    assert text("<article><p>A</p><article><p>B</p></article><p>C</p></article>", "<article><p>X</p></article>") == "A B C"
+
+
 def test_without_the_alignment_the_site_frame_stays():
     page = H.lines("<div>Site</div><div>Story</div>")
     assert H.main_text(page, []) == "Site Story" and H.main_text(page, [H.lines("<div>Site</div><div>Other</div>")]) == "Story"

@@ -5,13 +5,15 @@
 2. Pages are dealt out in ranges of (host, path) and sorted. Of a host, the two pages before and the two after by path
    are a page's neighbours; pages of the very same lines count as one, so that copies don't stand for the host. A range
    is a stream, of which five different pages are held at a time: a host with a third of all pages is many tasks' work.
-3. The lines of a page are aligned with those of each neighbour by longest common subsequence. A line that two of the
-   neighbours share, or the only one, is the host's template, and goes: one alone may be a near copy.
-4. Markup, where a page has it, outranks that, since a menu or an advert may differ from page to page, and a paragraph
-   may be on several: lines inside <article> or <main> that nothing marks as frame are the article, and if there are
-   any, nothing else is; lines of an element that is frame by its tag, role or by being hidden go, and so do lines of one
-   that a class or id names as menu, header, footer, sidebar, notice, advert, form or reader comments. A page left with
-   nothing keeps its free lines, shared or not; with none of them, those that only a class or id marks.
+3. The lines of every page are aligned with those of each neighbour by longest common subsequence. A line that two of
+   the neighbours share, or the only one, is the host's template, and goes: one alone may be a near copy.
+4. What is left is checked by markup, where a page has it, since a menu or an advert may differ from page to page, and a
+   paragraph may be on several. Lines of an element that is frame by its tag, role or by being hidden go, and so do lines
+   of one that a class or id names as menu, header, footer, sidebar, notice, advert, form or reader comments. An
+   <article> or <main> of which the alignment leaves any line is the article, with all its lines that nothing marks as
+   frame, and nothing outside such elements is; one of which it leaves none, as of a teaser that the host's pages share,
+   goes, unless there is no other. A page left with nothing keeps its free lines, shared or not; with none of them, those
+   that only a class or id marks.
 
 Null and empty html gives the empty text, null urls are pages of the empty host. A page alone on its host is aligned
 with nothing. At the ends of a range, of 8 MB or more, the pages of the next one are not seen: up to four pages a border
@@ -66,6 +68,8 @@ FREE, ARTICLE, NAMED, FRAMED = range(4)
 class Line:
     text: str
     kind: int
+    #: The number of the innermost <article> or <main> of the page that it is in; 0 for none.
+    part: int = 0
 
 
 def _is_mark(name: str) -> bool:
@@ -96,19 +100,23 @@ class _Open:
         self.stack: list[tuple[str, int, bool]] = []
         self.names: Counter[str] = Counter()
         self.kinds = [0] * 4
-        self.main = 0
+        self.parts = [0]
+        self.made = 0
 
     def push(self, name: str, kind: int, main: bool) -> None:
         self.stack.append((name, kind, main))
         self.names[name] += 1
         self.kinds[kind] += 1
-        self.main += main
+        if main:
+            self.made += 1
+            self.parts.append(self.made)
 
     def pop(self) -> str:
         name, kind, main = self.stack.pop()
         self.names[name] -= 1
         self.kinds[kind] -= 1
-        self.main -= main
+        if main:
+            self.parts.pop()
         return name
 
     def close(self, name: str) -> bool:
@@ -118,22 +126,24 @@ class _Open:
             pass
         return True
 
-    def kind(self) -> int:
-        return FRAMED if self.kinds[FRAMED] else NAMED if self.kinds[NAMED] else ARTICLE if self.main else FREE
+    def state(self) -> tuple[int, int]:
+        """The kind and the part of a line here."""
+        part = self.parts[-1]
+        return FRAMED if self.kinds[FRAMED] else NAMED if self.kinds[NAMED] else ARTICLE if part else FREE, part
 
 
 def lines(page: str) -> list[Line]:
     """The text lines of a page, in order, with what their elements say about them."""
     out: list[Line] = []
     held: list[str] = []
-    open_, kind, at = _Open(), FREE, 0
+    open_, kind, part, at = _Open(), FREE, 0, 0
     never_closed: set[str] = set()
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append(Line(text, kind))
+                out.append(Line(text, kind, part))
             held.clear()
 
     m = TAG.search(page)
@@ -157,13 +167,13 @@ def lines(page: str) -> list[Line]:
                 if open_.names[name]:
                     flush()
                     open_.close(name)
-                    kind = open_.kind()
+                    kind, part = open_.state()
             elif name not in VOID and m[3]:
                 said, _ = _said(m[3])
                 if said or open_.names[name]:
                     flush()
                     open_.push(name, said, False)
-                    kind = open_.kind()
+                    kind, part = open_.state()
             elif name not in VOID and open_.names[name]:
                 # so that its end doesn't close a marked one
                 open_.push(name, FREE, False)
@@ -171,10 +181,10 @@ def lines(page: str) -> list[Line]:
             flush()
             if open_.stack and open_.stack[-1][0] in ("p", "li") and not m[1] and (open_.stack[-1][0] == "p" or name == "li"):
                 open_.pop()
-                kind = open_.kind()
+                kind, part = open_.state()
             if m[1]:
                 if open_.close(name):
-                    kind = open_.kind()
+                    kind, part = open_.state()
             elif name not in VOID:
                 said, main = _said(m[3]) if m[3] else (FREE, False)
                 if name in MAIN:
@@ -186,7 +196,7 @@ def lines(page: str) -> list[Line]:
                     said = FREE
                 if said or main or name not in LEAVES:
                     open_.push(name, said, main)
-                    kind = open_.kind()
+                    kind, part = open_.state()
         elif not m[0].startswith("<!--"):
             flush()
         m = TAG.search(page, at)
@@ -273,9 +283,11 @@ def template(page: list[Line], neighbours: list[list[Line]]) -> list[bool]:
 
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
     """The article of a page, given the lines of the pages nearest to it."""
-    if any(x.kind == ARTICLE for x in page):
-        return " ".join(x.text for x in page if x.kind == ARTICLE)
     common = template(page, neighbours)
+    own = {x.part for x, t in zip(page, common, strict=True) if x.kind == ARTICLE and not t}
+    article = [x.text for x in page if x.kind == ARTICLE and (x.part in own or not own)]
+    if article:
+        return " ".join(article)
     for kind in (FREE, NAMED):
         for with_common in (False, True):
             left = [x.text for x, t in zip(page, common, strict=True) if x.kind == kind and (with_common or not t)]

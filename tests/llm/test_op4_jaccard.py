@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from textloom.llm import op4_jaccard
 from textloom.llm.op4_jaccard import near_duplicates
 
 SCHEMA = "doc_id bigint, text string, lang string, uid bigint, digest string"
@@ -91,3 +92,39 @@ def test_a_very_long_text(spark):
     words = [f"w{i}" for i in range(200_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[5000:])), (3, " ".join(words[:100_000]))]
     assert run(spark, rows) == {1: (199_998, 1), 2: (194_998, 1), 3: (99_998, 3)}
+
+
+@pytest.mark.parametrize("variants", [10**9, 2])
+def test_texts_just_apart_meet_once_and_few_are_verified(spark, monkeypatch, variants):
+    """Of 1000 words, 30 texts of 2 to 4 edits link with the first, 30 of 18 to 20 with none. With edits that no other
+    text has hardly any pair is left to verify; with shared ones the sketch can't tell, but a pair is made once."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(1000)]
+    texts = [" ".join(base)]
+    for edits in [rng.randrange(2, 5) for _ in range(30)] + [rng.randrange(18, 21) for _ in range(30)]:
+        own = list(base)
+        for k in rng.sample(range(5, 995, 5), edits):
+            own[k] = f"e{k}x{rng.randrange(variants)}"
+        texts.append(" ".join(own))
+    verified, made = [], []
+    verify, met = op4_jaccard._verified, op4_jaccard._met
+
+    def counted(pairs, *rest):
+        verified.append(pairs.count())
+        return verify(pairs, *rest)
+
+    def counting(*given):
+        pairs = met(*given)
+        made.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(op4_jaccard, "_verified", counted)
+    monkeypatch.setattr(op4_jaccard, "_met", counting, raising=False)
+    rows = list(enumerate(texts))
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert len({c for _, c in got.values()}) == 31
+    if variants > 2:
+        assert sum(verified) < 120
+    else:
+        assert sum(m for m, _ in made) <= 3 * sum(d for _, d in made) and sum(d for _, d in made) > 100

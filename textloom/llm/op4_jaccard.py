@@ -12,13 +12,14 @@ Tokens are distinct 3-word shingles. Two documents link when 100 * intersection
    If frequent tokens are in it, the prefix is extended to n - o + g + 1 tokens, of which partners without a common
    rare token share g + 1 frequent ones; these fall into g hash classes, so two of them share a class, and the pairs of
    frequent tokens of one class are indexed. g grows with n, so a document has about n / 5 such pairs.
-4. Keys deal out candidates by rounds, and the shingles of the texts, word by word, verify them. Before that, sizes and a parity sketch bound the
-   overlap: of 512 hash classes, those that hold an odd number of tokens of one text and an even one of the other
-   each hold a token that isn't shared. The first round compares one text of each key, that of the fewest unshared
-   tokens, with the others. Then links are contracted to components, and only pairs of different components are
-   compared: texts outside their key's largest component with all of the key, in slices while that would be too much
-   at once. A group of near copies so costs a few comparisons for each copy and not all pairs, while no component that
-   all pairs would connect is missed.
+4. Keys deal out candidates by rounds, and the shingles of the texts, word by word, verify them. Before that, sizes,
+   tokens that no other text has and a parity sketch of the rest bound the overlap: of 512 hash classes, those that
+   hold an odd number of these tokens of one text and an even one of the other each hold a token that isn't shared.
+   The first round compares one text of each key, that of the fewest unshared tokens, with the others. Then links are
+   contracted to components, and only pairs of different components are compared: texts outside their key's largest
+   component with all of the key, in slices while that would be too much at once. A pair that shares many keys is made
+   at the smallest of them; only if that isn't among the first of both texts, at others too. A group of near copies so
+   costs a few comparisons for each copy and not all pairs, while no component that all pairs would connect is missed.
 
 Null and empty texts have no tokens and link with nothing; their component is their own doc_id. Texts of one or two
 words have their whole sequence as one token. Repeated rows and doc_ids are gathered by text. A null doc_id gets the
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runs as R
@@ -161,6 +162,8 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray, numerator: int, denomina
 TEXT = "digest binary, uid bigint, id bigint, copies bigint, n bigint, keys array<bigint>, z binary, alone bigint, sketch array<bigint>"
 #: Longs of a parity sketch.
 SKETCH = 8
+#: So many of a text's keys tell at which one a pair is made.
+FIRST = 8
 #: Comparisons for each posting that one round may make.
 MOST_COMPARISONS = 1000
 
@@ -206,7 +209,8 @@ def _indexed(scope: Scope, table: DataFrame, shingle: int, numerator: int, denom
             for i in np.flatnonzero(alone < n + (-numerator * n) // denominator + 1).tolist():
                 got = index_keys(tokens[first[i] : first[i + 1]], classes[first[i] : first[i + 1]], numerator, denominator)
                 if len(got):
-                    keys[i], z[i], sketch[i] = got.view(np.int64), pack(run.text(i)), parity_sketch(tokens[first[i] : first[i + 1]])
+                    own, shared = tokens[first[i] : first[i + 1]], classes[first[i] : first[i + 1]] > 0
+                    keys[i], z[i], sketch[i] = got.view(np.int64), pack(run.text(i)), parity_sketch(own[shared])
             uid = (row["run_id"] << 16) + np.arange(len(n))
             ids = pa.array(run.ids, pa.int64(), mask=run.ids == R.NO_ID)
             yield pa.RecordBatch.from_arrays([pa.array(run.digests, pa.binary()), pa.array(uid, pa.int64()), ids, pa.array(run.copies, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary()), pa.array(alone, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["digest", "uid", "id", "copies", "n", "keys", "z", "alone", "sketch"])
@@ -247,6 +251,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int,
     return full.select("a", "b", "za", "zb").coalesce(parts).mapInArrow(steady(check), "a bigint, b bigint")
 
 
+def _met(texts: DataFrame, pivots: DataFrame, near: Column) -> DataFrame:
+    """The pairs (a, b) of texts and pivots of different components that share a key and may link. Each is made at its
+    smallest key, which is never passed over: what both have among their first keys isn't smaller."""
+    here = F.coalesce(F.array_min(F.array_intersect("first", "pfirst")), F.col("key")) >= F.col("key")
+    pairs = texts.join(pivots, (F.col("key") == F.col("pkey")) & (F.col("component") != F.col("pc")) & near & here)
+    return pairs.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b"))
+
+
 def _links(scope: Scope, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
     """(node, component) of all texts that link with another."""
     listed = texts.where(F.col("keys").isNotNull())
@@ -257,24 +269,25 @@ def _links(scope: Scope, texts: DataFrame, shingle: int, numerator: int, denomin
     own = listed.select("uid", "n", "keys", "alone", *(F.get("sketch", F.lit(i)).alias(x) for i, x in enumerate(marks)))
     each = own.select("uid", "n", "alone", *marks, F.explode("keys").alias("key"))
     sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "uid"))["uid"].alias("lead")).where("size > 1")
-    postings = scope.table(each.drop("alone").join(sizes, "key"), parts)
+    postings = scope.table(each.join(sizes, "key"), parts)
     apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p{x}"))) for x in marks), F.lit(0))
+    # tokens that occur once are in no other text; the sketch is of the others
+    apart = apart + F.col("alone") + F.col("palone")
     near = F.expr(f"{denominator} * least(n, pn) >= {numerator} * greatest(n, pn)") & (apart * (denominator + numerator) <= (denominator - numerator) * (F.col("n") + F.col("pn")))
-    other = [F.col("n").alias("pn"), *(F.col(x).alias(f"p{x}") for x in marks)]
-    pairs = postings.where("uid <> lead").select("uid", "n", *marks, "lead").distinct().join(own.select(F.col("uid").alias("lead"), *other), "lead").where(near).select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b")).distinct()
+    other = [F.col("n").alias("pn"), F.col("alone").alias("palone"), *(F.col(x).alias(f"p{x}") for x in marks)]
+    pairs = postings.where("uid <> lead").select("uid", "n", "alone", *marks, "lead").distinct().join(own.select(F.col("uid").alias("lead"), *other), "lead").where(near).select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b")).distinct()
     edges = scope.table(_verified(pairs, listed, shingle, numerator, denominator, checks))
     groups = components(scope, edges, parts)
+    firsts = own.select("uid", F.slice(F.array_sort("keys"), 1, FIRST).alias("first"))
     now = postings.join(groups.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     shares = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("share")).groupBy("key").agg(F.max_by("component", F.struct("share", "component")).alias("main"), F.max("share").alias("share"), F.sum("share").alias("all"))
-    open_ = scope.table(now.join(shares.where("share < all"), "key"), parts)
+    open_ = scope.table(now.join(shares.where("share < all"), "key").join(firsts, "uid"), parts)
     # every pair of two components of a key has a text outside the key's main component
     compared, rows = open_.agg(F.sum(F.when(F.col("component") != F.col("main"), F.col("size"))), F.count(F.lit(1))).first()
     slices = 1 + (compared or 0) // (MOST_COMPARISONS * max(1, rows))
     for i in range(slices if rows else 0):
-        pivots = open_.where(F.col("component") != F.col("main")).where(F.pmod(F.xxhash64("uid"), F.lit(slices)) == i).select("key", F.col("uid").alias("p"), F.col("component").alias("pc"), *other)
-        pairs = open_.join(pivots, (open_["key"] == pivots["key"]) & (F.col("component") != F.col("pc")) & near)
-        pairs = pairs.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct()
-        found = scope.table(_verified(pairs, listed, shingle, numerator, denominator, checks))
+        pivots = open_.where(F.col("component") != F.col("main")).where(F.pmod(F.xxhash64("uid"), F.lit(slices)) == i).select(F.col("key").alias("pkey"), F.col("uid").alias("p"), F.col("component").alias("pc"), F.col("first").alias("pfirst"), *other)
+        found = scope.table(_verified(_met(open_, pivots, near).distinct(), listed, shingle, numerator, denominator, checks))
         if not found.isEmpty():
             groups = components(scope, groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), parts)
             if i + 1 < slices:

@@ -165,3 +165,11 @@ def test_trials(spark):
     df = spark.createDataFrame([(1, "été à la mer, où l'été fut beau".encode("cp1252"))], "id int, payload binary")
     got = {r.encoding: r for r in D.trials(df, keep=["id"]).collect()}
     assert not got["utf_8"].valid and got["cp1252"].valid and not got["cp1252"].rejected and got["ascii"].ordinal == 0 and len(got) > 80
+
+
+def test_folding_moves_digests_and_no_texts(spark):
+    rows = [(1, 0, "a", 0.0, "x"), (1, 1, "b", 0.0, "x"), (1, 2, "c", 0.5, "x"), (1, 3, "d", 0.0, "X"), (2, 0, "a", 0.0, None), (2, 1, "b", 0.0, None), (2, 2, "c", 0.0, "")]
+    folded = P.fold_submatches(spark.createDataFrame(rows, "id int, ordinal int, encoding string, chaos double, text string"), ["id"])
+    assert sorted((r.id, r.ordinal, r.encoding, r.chaos, r.could_be_from) for r in folded.collect()) == [(1, 0, "a", 0.0, ["a", "b"]), (1, 2, "c", 0.5, ["c"]), (1, 3, "d", 0.0, ["d"]), (2, 0, "a", 0.0, ["a", "b"]), (2, 2, "c", 0.0, ["c"])]
+    exchanges = [x for x in folded._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert exchanges and not any("text#" in x.split("[", 2)[1] for x in exchanges)

@@ -334,7 +334,7 @@ def code_page_similarity(pages: DataFrame) -> DataFrame:
 
 def fold_submatches(df: DataFrame, keys: list[str]) -> DataFrame:
     """From (keys..., ordinal, encoding, chaos, text): matches of equal noise and text as one, under the encoding that
-    was tried first, with could_be_from in order of trial."""
+    was tried first, with could_be_from in order of trial. Texts are told apart by their SHA-256, so they don't move."""
     tried = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "encoding"))), lambda x: x["encoding"])
-    folded = df.groupBy(*keys, "chaos", F.xxhash64("text").alias("_h"), "text").agg(tried.alias("could_be_from"), F.min("ordinal").alias("ordinal"))
+    folded = df.groupBy(*keys, "chaos", F.unhex(F.sha2("text", 256)).alias("_digest")).agg(tried.alias("could_be_from"), F.min("ordinal").alias("ordinal"))
     return folded.select(*keys, "ordinal", F.get("could_be_from", F.lit(0)).alias("encoding"), "chaos", "could_be_from")

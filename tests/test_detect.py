@@ -203,3 +203,21 @@ def test_errors():
         api.from_bytes(b"plain").best().output("no_such_codec")
     with pytest.raises(UnicodeDecodeError):
         D.strict(b"+2AA-", "utf_7")
+
+
+def test_payloads_judged_side_by_side_are_judged_as_alone(monkeypatch):
+    texts = ["Der alte Müller wohnt in der großen Straße, älter als früher. " * 60, "Ça été créé à l'époque où les élèves rêvaient. " * 90, "Привет мир, это проверка текста. " * 70, "日本語のテキストです。漢字もあります。" * 60, "plain words of ascii only " * 200]
+    payloads = [(t + str(i)).encode(e, "ignore") for i in range(4) for t in texts for e in ("cp1252", "mac_roman", "utf_8", "utf_16", "koi8_r", "shift_jis", "utf_7")]
+    payloads += [b"", b"\x00\x01\xff" * 50, b'<meta charset="latin1"> caf\xe9', b"\x81"]
+
+    def shown(answer):
+        return [(m.encoding, m.chaos, m.bom, m.languages, m.declared, m.could_be_from, m.decoded()) for m in answer[0]], answer[1]
+
+    for options in (D.Options(), D.Options(fallback=False, threshold=0.1, steps=9, chunk_size=100), D.Options(only=("cp1252", "utf_8"), explain=True)):
+        alone = [shown(D.detect(p, options)) for p in payloads]
+        D.forget()
+        calls, scored = [], D.many_details
+        monkeypatch.setattr(D, "many_details", lambda x, limit, scored=scored: calls.append(len(x)) or scored(x, limit))
+        assert [shown(x) for x in D.detect_many(payloads, options)] == alone
+        monkeypatch.undo()
+        assert len(calls) < len(payloads)

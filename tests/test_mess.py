@@ -2,7 +2,7 @@ import pytest
 
 from textloom.functions import characters as C
 from textloom.functions import tables as T
-from textloom.functions.mess import NAMES, mess_details, mess_ratio
+from textloom.functions.mess import NAMES, many_details, mess_details, mess_ratio
 
 ARABIC = "تقع المدينة القديمة على ضفة النهر، ويزورها الناس في كل صيف."
 RUSSIAN = "Старый город стоит на берегу реки, и летом сюда приезжают люди."
@@ -138,3 +138,10 @@ def test_all_languages_at_once():
         pool = rng.choice([every, list("eationsrhldcumfpgwybvkxjzqéèüäö"), list(T.LANGUAGES["Russian"]), list(T.LANGUAGES["Japanese"]), list("!?")])
         ordered = rng.sample(pool, rng.randrange(len(pool)))[: rng.choice([5, 20, 40, 64, 65, 90])]
         assert K.all_agreeing(ordered) == {name: K.agreeing(name, ordered) for name in T.LANGUAGES}
+
+
+def test_texts_together_are_scored_as_alone():
+    texts = ["", "a", "Àé " * 50, "$$ x%y ## " * 80, "AbCdé " * 90, "日本語龘 " * 30, "ｱｲｳｴ龘靐齉 ", "\x1b", "ÆªÆª", "aÉ", "é¿ ", "plain words " * 100, "ﻉ ﺍ ﺏ ﺕ ﺙ " * 9, " é.", "xYxYxé"]
+    texts += [a + b for a in texts for b in texts]
+    for limit in (0.2, float("inf")):
+        assert many_details(texts, limit) == [mess_details(x, limit) for x in texts]

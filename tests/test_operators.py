@@ -173,3 +173,17 @@ def test_folding_moves_digests_and_no_texts(spark):
     assert sorted((r.id, r.ordinal, r.encoding, r.chaos, r.could_be_from) for r in folded.collect()) == [(1, 0, "a", 0.0, ["a", "b"]), (1, 2, "c", 0.5, ["c"]), (1, 3, "d", 0.0, ["d"]), (2, 0, "a", 0.0, ["a", "b"]), (2, 2, "c", 0.0, ["c"])]
     exchanges = [x for x in folded._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
     assert exchanges and not any("text#" in x.split("[", 2)[1] for x in exchanges)
+
+
+def test_payloads_are_judged_side_by_side_up_to_a_size(monkeypatch):
+    from textloom.operators import detection
+
+    monkeypatch.setattr(detection, "TOGETHER_BYTES", 10)
+    payloads = [b"aaaa", None, b"bbbb", b"cccc", b"", b"d" * 30, b"e", b"f" * 10]
+    assert [list(x) for x in detection.together(payloads)] == [[0, 1, 2], [3, 4], [5], [6], [7]]
+
+
+def test_equivalence_counts_places_that_differ():
+    from textloom.operators.evaluation import equivalence
+
+    assert equivalence(b"caf\xe9 \xa4", "cp1252", "iso8859_15") == 1 - 1 / 6 and equivalence(b"abcd", "latin_1", "utf_16_le") == 1 - 2 / 4

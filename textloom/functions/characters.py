@@ -136,11 +136,16 @@ def bases(codes: np.ndarray) -> np.ndarray:
     return _base[codes]
 
 
+@cache
+def _range_table() -> np.ndarray:
+    names, edges = T.ranges()
+    found = edges[np.searchsorted(edges[:, 0], np.arange(0x110000), "right") - 1, 1]
+    return np.where(found < 0, len(names), found).astype(np.int16)
+
+
 def range_indexes(codes: np.ndarray) -> np.ndarray:
     """The index of each code point's range; the number of ranges where it is in none."""
-    names, edges = T.ranges()
-    found = edges[np.searchsorted(edges[:, 0], codes, "right") - 1, 1]
-    return np.where(found < 0, len(names), found)
+    return _range_table()[codes]
 
 
 def codes_of(text: str) -> np.ndarray:

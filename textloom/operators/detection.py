@@ -41,6 +41,8 @@ MATCH_SQL = (
 )
 #: Rows handed to the kernel at once; a batch holds whole payloads.
 ROWS = 256
+#: Bytes of payloads that are judged side by side: their texts are held meanwhile.
+TOGETHER_BYTES = 4 << 20
 
 
 def match_row(rank: int, m: D.Match) -> dict:
@@ -75,9 +77,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * cores) if size < cores * TASK_BYTES else df
 
 
-def _mapped(df: DataFrame, column: str, keep: Sequence[str] | None, added: list[tuple[str, str, pa.DataType]], of, named: str | None = None) -> DataFrame:
+def together(payloads: list[bytes | None]) -> Iterator[range]:
+    """Rows whose payloads are judged side by side: about ``TOGETHER_BYTES``, a larger payload by itself."""
+    low = size = 0
+    for i, p in enumerate(payloads):
+        n = len(p or b"")
+        if i > low and size + n > TOGETHER_BYTES:
+            yield range(low, i)
+            low, size = i, 0
+        size += n
+    yield range(low, len(payloads))
+
+
+def _mapped(df: DataFrame, column: str, keep: Sequence[str] | None, added: list[tuple[str, str, pa.DataType]], of, named: str | None = None, detected: D.Options | None = None) -> DataFrame:
     """``df``'s columns to keep (all but the payload if None) and those that ``of`` gives for each payload, and for the
-    value of the kept column ``named``, if one is."""
+    value of the kept column ``named``, if one is. With ``detected`` payloads are judged side by side under these options,
+    and ``of`` is given the answer first."""
     keep = [c for c in df.columns if c != column] if keep is None else list(keep)
     columns = list(dict.fromkeys([*keep, column]))
     at, kept = columns.index(column), [columns.index(c) for c in keep]
@@ -85,12 +100,22 @@ def _mapped(df: DataFrame, column: str, keep: Sequence[str] | None, added: list[
     if kinds[column] not in ("binary", "string"):
         raise TypeError(f"{column} is {kinds[column]}, not binary")
 
+    def judged(payloads: list[bytes | None], more: list[tuple]) -> Iterator[tuple]:
+        for rows in together(payloads):
+            there = [i for i in rows if payloads[i] is not None]
+            answers = dict(zip(there, D.detect_many([payloads[i] for i in there], detected), strict=True)) if detected else {}
+            for i in rows:
+                if payloads[i] is None:
+                    yield (None,) * len(added)
+                else:
+                    yield of(*([answers.pop(i)] if detected else []), payloads[i], *more[i])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS):
                 b = whole.slice(low, ROWS)
-                more = zip() if named is None else zip(b.column(columns.index(named)).to_pylist(), strict=True)
-                out = [of(x.as_buffer().to_pybytes(), *next(more, ())) if x.is_valid else (next(more, ()), *(None,) * len(added))[1:] for x in b.column(at)]
+                more = [()] * b.num_rows if named is None else [(x,) for x in b.column(columns.index(named)).to_pylist()]
+                out = list(judged([x.as_buffer().to_pybytes() if x.is_valid else None for x in b.column(at)], more))
                 values = [pa.array([r[i] for r in out], kind) for i, (_, _, kind) in enumerate(added)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *values], names=[*keep, *(name for name, _, _ in added)])
 
@@ -103,23 +128,23 @@ def charset_matches(df: DataFrame, column: str = "payload", options: D.Options |
     one), and ``trace``, what detection noted."""
     options = options or D.Options()
 
-    def of(payload: bytes):
-        found, trace = D.detect(payload, options)
+    def of(answer: D.Answer, payload: bytes):
+        found, trace = answer
         return [match_row(i, m) for i, m in enumerate(found)], [{"level": a, "message": b} for a, b in trace]
 
     trace = pa.list_(pa.struct([("level", pa.int32()), ("message", pa.string())]))
-    return _mapped(df, column, keep, [("matches", f"array<{MATCH_SQL}>", pa.list_(MATCH)), ("trace", "array<struct<level:int,message:string>>", trace)], of)
+    return _mapped(df, column, keep, [("matches", f"array<{MATCH_SQL}>", pa.list_(MATCH)), ("trace", "array<struct<level:int,message:string>>", trace)], of, detected=options)
 
 
 def detect_best(df: DataFrame, column: str = "payload", options: D.Options | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """With ``best``, the first match, null where there is none."""
     options = options or D.Options()
 
-    def of(payload: bytes):
-        found, _ = D.detect(payload, options)
+    def of(answer: D.Answer, payload: bytes):
+        found, _ = answer
         return (match_row(0, found[0]) if found else None,)
 
-    return _mapped(df, column, keep, [("best", MATCH_SQL, MATCH)], of)
+    return _mapped(df, column, keep, [("best", MATCH_SQL, MATCH)], of, detected=options)
 
 
 def all_matches(df: DataFrame, column: str = "payload", options: D.Options | None = None, keep: Sequence[str] | None = None) -> DataFrame:
@@ -130,17 +155,17 @@ def all_matches(df: DataFrame, column: str = "payload", options: D.Options | Non
 
 def with_binary_flag(df: DataFrame, column: str = "payload", options: D.Options | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """With ``is_binary``: no encoding fits."""
-    return _mapped(df, column, keep, [("is_binary", "boolean", pa.bool_())], lambda p: (D.is_binary(p, options),))
+    return _mapped(df, column, keep, [("is_binary", "boolean", pa.bool_())], lambda answer, p: (not answer[0],), detected=D.without_fallback(options))
 
 
 def legacy_detect(df: DataFrame, column: str = "payload", rename: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
     """With encoding, language and confidence as an older detector names them."""
 
-    def of(payload: bytes):
-        found = D.legacy(payload, rename)
+    def of(answer: D.Answer, payload: bytes):
+        found = D.legacy_of(answer[0], payload, rename)
         return found["encoding"], found["language"], found["confidence"]
 
-    return _mapped(df, column, keep, [("encoding", "string", pa.string()), ("language", "string", pa.string()), ("confidence", "double", pa.float64())], of)
+    return _mapped(df, column, keep, [("encoding", "string", pa.string()), ("language", "string", pa.string()), ("confidence", "double", pa.float64())], of, detected=D.Options())
 
 
 def normalize(df: DataFrame, column: str = "payload", target: str = "utf_8", options: D.Options | None = None, keep: Sequence[str] | None = None) -> DataFrame:
@@ -149,14 +174,14 @@ def normalize(df: DataFrame, column: str = "payload", target: str = "utf_8", opt
     options = options or D.Options()
     T.encoding_name(target)
 
-    def of(payload: bytes):
-        found, _ = D.detect(payload, options)
+    def of(answer: D.Answer, payload: bytes):
+        found, _ = answer
         if not found:
             return None, None, None
         text = found[0].output_text(target)
         return found[0].encoding, text.encode(target, "replace"), text
 
-    return _mapped(df, column, keep, [("encoding", "string", pa.string()), ("output", "binary", pa.binary()), ("output_text", "string", pa.string())], of)
+    return _mapped(df, column, keep, [("encoding", "string", pa.string()), ("output", "binary", pa.binary()), ("output_text", "string", pa.string())], of, detected=options)
 
 
 def report_rows(df: DataFrame, path: str = "path", column: str = "payload", options: D.Options | None = None, alternatives: bool = False, sink: Callable[[str, D.Match | None], str | None] | None = None, ranked: bool = False) -> DataFrame:
@@ -179,8 +204,8 @@ def report_rows(df: DataFrame, path: str = "path", column: str = "payload", opti
     ]
     row = pa.struct([(n, t) for n, _, t in fields])
 
-    def of(payload: bytes, name: str):
-        found, _ = D.detect(payload, options)
+    def of(answer: D.Answer, payload: bytes, name: str):
+        found, _ = answer
         if not found:
             return ([dict(zip(row.names, (None, [], [], "Unknown", [], False, 1.0, 0.0, None, True), strict=True))],)
         kept = found if alternatives else found[:1]
@@ -188,7 +213,7 @@ def report_rows(df: DataFrame, path: str = "path", column: str = "payload", opti
         return ([dict(zip(row.names, (m.encoding, T.aliases(m.encoding), m.could_be_from[1:], m.language, m.alphabets, m.bom, round(m.chaos * 100, 3), round(m.coherence * 100, 3), None if i else place, not i), strict=True)) for i, m in enumerate(kept)],)
 
     sql = f"array<struct<{','.join(f'{n}:{s}' for n, s, _ in fields)}>>"
-    return _mapped(df, column, [path], [("rows", sql, pa.list_(row))], of, path).select(path, F.posexplode("rows").alias("rank", "r")).select(path, *["rank"] * ranked, "r.*")
+    return _mapped(df, column, [path], [("rows", sql, pa.list_(row))], of, path, options).select(path, F.posexplode("rows").alias("rank", "r")).select(path, *["rank"] * ranked, "r.*")
 
 
 TRIAL_SQL = "array<struct<ordinal:int,encoding:string,marked:boolean,valid:boolean,noise:array<double>,rejected:boolean>>"

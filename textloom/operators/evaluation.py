@@ -7,10 +7,12 @@ import codecs
 import time
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import characters as C
 from ..functions import detect as D
 from ..functions import tables as T
 from .detection import _mapped
@@ -21,8 +23,9 @@ ENOUGH = 0.98
 
 def equivalence(payload: bytes, a: str, b: str) -> float:
     """The share of the characters decoded by ``a`` that ``b`` decodes alike, place by place."""
-    x, y = payload.decode(a), payload.decode(b)
-    return 1.0 - sum(p != q for p, q in zip(x, y, strict=False)) / len(x)
+    x, y = C.codes_of(payload.decode(a)), C.codes_of(payload.decode(b))
+    n = min(len(x), len(y))
+    return 1.0 - int(np.count_nonzero(x[:n] != y[:n])) / len(x)
 
 
 def codec_name(name: str) -> str:
@@ -51,13 +54,13 @@ def evaluated(df: DataFrame, expected: str, column: str = "payload", options: D.
     """With ``detected``, ``success`` and ``equivalence`` against the name in the column ``expected`` (null: binary)."""
     options = options or D.Options()
 
-    def of(payload: bytes, name: str | None):
-        found, _ = D.detect(payload, options)
+    def of(answer: D.Answer, payload: bytes, name: str | None):
+        found, _ = answer
         detected = found[0].encoding if found else None
         return detected, *agree(payload, name, detected)
 
     kept = [c for c in df.columns if c != column] if keep is None else list(dict.fromkeys([*keep, expected]))
-    return _mapped(df, column, kept, [("detected", "string", pa.string()), ("success", "boolean", pa.bool_()), ("equivalence", "double", pa.float64())], of, expected)
+    return _mapped(df, column, kept, [("detected", "string", pa.string()), ("success", "boolean", pa.bool_()), ("equivalence", "double", pa.float64())], of, expected, options)
 
 
 def coverage(judged: DataFrame, *by: str) -> DataFrame:
@@ -69,12 +72,12 @@ def compared(df: DataFrame, other: str, column: str = "payload", keep: Sequence[
     """With ``detected`` (as the single-answer view names it), ``success`` and ``equivalence`` against another detector's
     answer in the column ``other``."""
 
-    def of(payload: bytes, name: str | None):
-        detected = D.legacy(payload)["encoding"]
+    def of(answer: D.Answer, payload: bytes, name: str | None):
+        detected = D.legacy_of(answer[0], payload)["encoding"]
         return detected, *agree(payload, name, detected)
 
     kept = [c for c in df.columns if c != column] if keep is None else list(dict.fromkeys([*keep, other]))
-    return _mapped(df, column, kept, [("detected", "string", pa.string()), ("success", "boolean", pa.bool_()), ("equivalence", "double", pa.float64())], of, other)
+    return _mapped(df, column, kept, [("detected", "string", pa.string()), ("success", "boolean", pa.bool_()), ("equivalence", "double", pa.float64())], of, other, D.Options())
 
 
 def timed(df: DataFrame, column: str = "payload", options: D.Options | None = None, keep: Sequence[str] | None = None, rounds: int = 1, size_factor: int = 1, most_bytes: int | None = None) -> DataFrame:

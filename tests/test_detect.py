@@ -221,3 +221,17 @@ def test_payloads_judged_side_by_side_are_judged_as_alone(monkeypatch):
         assert [shown(x) for x in D.detect_many(payloads, options)] == alone
         monkeypatch.undo()
         assert len(calls) < len(payloads)
+
+
+def test_languages_looked_for_together_are_those_found_alone():
+    texts = ["Der alte Müller wohnt in der großen Straße, älter als früher. " * 8, "Les élèves rêvaient à l'école de la forêt. " * 9, "Привет мир, это проверка текста и букв. " * 9, "short", "", "日本語のテキストです。漢字もありますので、色々な文字を使います。" * 9]
+    requests = [(t, limit, wanted) for t in texts for limit in (0.1, 0.4) for wanted in ((), ("Latin Based",), ("English", "German", "French"), ("Russian",))]
+    alone = []
+    for r in requests:
+        K.forget()
+        alone.append(K._coherence(*r))
+    K.forget()
+    K.prepare(requests)
+    assert [K._known[r] for r in requests] == alone and any(alone)
+    for letters in (K.ordered_letters(t.lower()) for t in texts[:3]):
+        assert K.all_agreeing(letters) == {name: K.agreeing(name, letters) for name in T.LANGUAGES}
